@@ -128,17 +128,18 @@ def macd_signals(spark, sf):
     return summary(R.indicator_signals(hourly(spark, sf), "macd"))
 
 
-def _ema_sql() -> str:
+def ema_rows_sql() -> str:
+    """CTEs up to `sig` of the EMA cross rules; needs WITH RECURSIVE."""
     vs = [(int(f), int(s)) for f, s in R.variants("ema_cross")]
     e = ewm_sql("ee", "nb", {f"e{n}": ("close", span(n)) for n in sorted({n for v in vs for n in v})})
     longs = " UNION ALL ".join(f"SELECT symbol, i, 'fast_window={f}:slow_window={s}' AS tail, CASE WHEN i >= {s} THEN e{f} - e{s} END AS x FROM ee" for f, s in vs)
-    return f"""WITH RECURSIVE {numbered_sql(BARS_1H)}, {e}, a AS ({longs}),
-c AS (SELECT *, lag(x) OVER (PARTITION BY symbol, tail ORDER BY i) AS px FROM a),
-s AS (SELECT symbol, i, 'ema_cross:trend_cross:' || tail AS rule_id, coalesce(px <= 0 AND x > 0, false) AS entry, coalesce(px >= 0 AND x < 0, false) AS exit FROM c)
-SELECT symbol, rule_id, {SUMMARY} FROM s GROUP BY 1, 2"""
+    return f"""{e}, ea AS ({longs}),
+ec AS (SELECT *, lag(x) OVER (PARTITION BY symbol, tail ORDER BY i) AS px FROM ea),
+sig AS (SELECT ec.symbol, nb.ts, ec.i, nb.close, nb.ret, 'ema_cross:trend_cross:' || tail AS rule_id, coalesce(px <= 0 AND x > 0, false) AS entry, coalesce(px >= 0 AND x < 0, false) AS exit
+ FROM ec JOIN nb ON nb.symbol = ec.symbol AND nb.i = ec.i)"""
 
 
-@query("ema_cross_signals", _ema_sql())
+@query("ema_cross_signals", f"WITH RECURSIVE {numbered_sql(BARS_1H)}, {ema_rows_sql()} SELECT symbol, rule_id, {SUMMARY} FROM sig GROUP BY 1, 2")
 def ema_cross_signals(spark, sf):
     return summary(R.indicator_signals(hourly(spark, sf), "ema_cross"))
 
@@ -183,14 +184,14 @@ def stoch_rsi_signals(spark, sf):
 
 
 def atr_sql(windows) -> str:
-    return ewm_sql("at", "nb", {f"a{n}": ("tr", alpha(n)) for n in windows})
+    return ewm_sql("atrs", "nb", {f"a{n}": ("tr", alpha(n)) for n in windows})
 
 
 @query("atr", f"""WITH RECURSIVE {numbered_sql(BARS_1D)}, {atr_sql((14, 21))}
-SELECT symbol, ts, {r('CASE WHEN i >= 14 THEN a14 ELSE 0 END', 'atr_14')}, {r('CASE WHEN i >= 21 THEN a21 ELSE 0 END', 'atr_21')} FROM at""")
+SELECT symbol, ts, {r('CASE WHEN i >= 14 THEN a14 ELSE 0 END', 'atr_14', 5)}, {r('CASE WHEN i >= 21 THEN a21 ELSE 0 END', 'atr_21', 5)} FROM atrs""")
 def atr(spark, sf):
     out = by_blocks(daily(spark, sf), ["symbol"], lambda df, w: R.average_true_range(df, w, ["symbol", "_blk"], [14, 21]), 900)
-    return show(out, KEY, ["atr_14", "atr_21"])
+    return show(out, KEY, ["atr_14", "atr_21"], 5)
 
 
 def adx_sql(bars: str, ns) -> str:

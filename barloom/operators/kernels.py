@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import WindowSpec
 
 from barloom.functions.expr import EPS, finite, nonzero
-from barloom.operators.series import BLOCK_ROWS, before, own_rows, spread_blocks
+from barloom.operators.series import BLOCK_ROWS, before, carried, spread_blocks
 
 # --- fixed row frames -------------------------------------------------------------------------
 
@@ -227,7 +227,7 @@ def ewm_with_gaps(
         ]
     )
     starts = _block_starts(ends, keys, specs)
-    joined = out.join(starts, part)
+    joined = out.join(carried(starts), part)
     final = []
     for s in specs:
         y = F.exp(F.col(f"_cc_{s.out}")) * F.col(f"_s_{s.out}.y0") + F.col(f"_dd_{s.out}")
@@ -344,7 +344,7 @@ def expanding_z(
         *[F.count(c).over(w).alias(f"_n_{c}") for c in columns],
         *[F.avg(c).over(w).alias(f"_m_{c}") for c in columns],
         *[F.var_pop(c).over(w).alias(f"_v_{c}") for c in columns],
-    ).join(merged, part)
+    ).join(carried(merged), part)
     zs = []
     for c in columns:
         n1, m1, q1 = (F.coalesce(F.col(f"_a{p}_{c}"), F.lit(0.0)) for p in "nmq")

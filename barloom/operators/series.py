@@ -33,6 +33,15 @@ def before(keys: Sequence[str], order: Sequence[str]) -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
 
 
+def carried(blocks: DataFrame) -> DataFrame:
+    """The per-block side of a join back to the rows.
+
+    Hashed per partition, never broadcast: it grows with the data, and size estimates of the row
+    side are too low where rules are exploded.
+    """
+    return blocks.hint("shuffle_hash")
+
+
 def dense_position(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], segment: Column, name: str = "pos"
 ) -> DataFrame:
@@ -47,7 +56,7 @@ def dense_position(
     rank = F.row_number().over(Window.partitionBy(*keys, "_seg").orderBy(*order))
     return (
         cut.withColumn("_rn", rank)
-        .join(bases, [*keys, "_seg"])
+        .join(carried(bases), [*keys, "_seg"])
         .withColumn(name, F.col("_base") + F.col("_rn") - 1)
         .drop("_seg", "_rn", "_base")
     )
@@ -100,7 +109,7 @@ def running_sum(
     w = Window.partitionBy(*keys, block).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if lagged else 0)
     zero = F.lit(0)
     inside = src.select("*", *[F.sum(f"_s_{k}").over(w).alias(f"_i_{k}") for k in sums])
-    return inside.join(bases, [*keys, block]).select(
+    return inside.join(carried(bases), [*keys, block]).select(
         *[c for c in df.columns],
         *[(F.coalesce(F.col(f"_b_{k}"), zero) + F.coalesce(F.col(f"_i_{k}"), zero)).alias(k) for k in sums],
     )
@@ -121,7 +130,7 @@ def carry_forward(
     w = Window.partitionBy(*keys, block).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if lagged else 0)
     keep = [c for c in df.columns if c not in columns]
     inside = df.select(*keep, *[F.last(c, ignorenulls=True).over(w).alias(f"_i_{c}") for c in columns])
-    return inside.join(carries, [*keys, block]).select(
+    return inside.join(carried(carries), [*keys, block]).select(
         *keep, *[F.coalesce(f"_i_{c}", f"_c_{c}").alias(c) for c in columns]
     )
 
@@ -140,6 +149,6 @@ def carry_backward(
     w = Window.partitionBy(*keys, block).orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
     keep = [c for c in df.columns if c not in columns]
     inside = df.select(*keep, *[F.first(c, ignorenulls=True).over(w).alias(f"_i_{c}") for c in columns])
-    return inside.join(carries, [*keys, block]).select(
+    return inside.join(carried(carries), [*keys, block]).select(
         *keep, *[F.coalesce(f"_i_{c}", f"_c_{c}").alias(c) for c in columns]
     )

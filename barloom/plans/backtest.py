@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.expr import EPS, clip01
-from barloom.operators.series import before
+from barloom.operators.series import before, carried
+from barloom.session import stage
 
 BARS_PER_YEAR = 525_600
 
@@ -32,7 +33,7 @@ def with_positions(signals: DataFrame, keys: Sequence[str]) -> DataFrame:
     bases = totals.select(*keys, "seg", F.coalesce(F.sum("_t").over(before(keys, ["seg"])), F.lit(0)).alias("_base"))
     w = Window.partitionBy(*keys, "seg").orderBy("ts")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    out = src.join(bases, [*keys, "seg"]).withColumn("held", (F.col("_base") + F.sum("_step").over(upto)) > 0)
+    out = src.join(carried(bases), [*keys, "seg"]).withColumn("held", (F.col("_base") + F.sum("_step").over(upto)) > 0)
     return out.withColumn("was_held", F.coalesce(F.lag("held").over(w), F.col("_base") > 0)).drop("_step", "_base")
 
 
@@ -93,7 +94,7 @@ def equity_curve(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Equity and drawdown of every bar. The running peak starts at the first equity value."""
     keys = list(keys)
     seg = _segments(pieces(rows, keys), keys).select(*keys, "seg", "e0", "m0")
-    out = _inside(rows, keys).join(seg, [*keys, "seg"])
+    out = _inside(rows, keys).join(carried(seg), [*keys, "seg"])
     equity = F.col("e0") * F.col("_eq")
     peak = F.greatest(F.col("m0"), F.col("e0") * F.col("_peak"))
     return out.select(*rows.columns, equity.alias("equity"), (equity / peak - 1.0).alias("drawdown"))
@@ -103,7 +104,7 @@ def trades(piece: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row per trade; parts of a trade in neighbouring segments share its number."""
     keys = list(keys)
     seg = _segments(piece, keys).select(*keys, "seg", "base")
-    parts = piece.where("held_bars > 0").join(seg, [*keys, "seg"])
+    parts = piece.where("held_bars > 0").join(carried(seg), [*keys, "seg"])
     return parts.groupBy(*keys, (F.col("base") + F.col("run")).alias("trade_id")).agg(
         (F.product("trade_growth") - 1.0).alias("trade_return"), F.sum("trade_pnl").alias("pnl"),
         F.sum("held_bars").alias("bars"), F.min("start_ts").alias("start_ts"), F.max("end_ts").alias("end_ts"),
@@ -111,9 +112,16 @@ def trades(piece: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def rule_metrics(signals: DataFrame, keys: Sequence[str], bps: float | Column = 10.0) -> DataFrame:
-    """Gross and net return, drawdown, win rate, trades, Sharpe and trade Sharpe per key."""
+    """Gross and net return, drawdown, win rate, trades, Sharpe and trade Sharpe per key.
+
+    The rule x bar rows are passed once; what is staged is one row per trade and segment.
+    """
     keys = list(keys)
-    piece = pieces(with_returns(with_positions(signals, keys), bps), keys)
+    piece = stage(pieces(with_returns(with_positions(signals, keys), bps), keys), "pieces")
+    return metrics_of_pieces(piece, keys)
+
+
+def metrics_of_pieces(piece: DataFrame, keys: Sequence[str]) -> DataFrame:
     seg = _segments(piece, keys)
     dd = F.least(F.col("worst"), F.when(F.col("m0").isNotNull(), F.col("e0") * F.col("lo") / F.col("m0") - 1.0))
     curve = seg.groupBy(*keys).agg(

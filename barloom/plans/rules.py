@@ -331,23 +331,21 @@ def choose(rule_key: Column, options: dict[str, tuple[Column, Column]], side: in
     return out
 
 
-def indicator_signals(
-    bars: DataFrame, family: str, keys: Sequence[str] = ("symbol",), rows: int = BLOCK_ROWS, rules: Sequence[Rule] | None = None
-) -> DataFrame:
-    """(keys, ts, pos, ret, family, rule_id, rule_key, n_params, entry, exit) for every bar and rule.
-
-    Bars are shuffled once by (key, block) for the indicators; exploding the rules adds no shuffle.
-    """
-    rules = rule_grid(family) if rules is None else list(rules)
-    n = len(variants(family))
+def indicator_states(bars: DataFrame, family: str, keys: Sequence[str] = ("symbol",), rows: int = BLOCK_ROWS) -> DataFrame:
+    """(keys, ts, pos, ret, _v): the states of all variants of a family, one row per bar."""
 
     def build(df: DataFrame, w: WindowSpec) -> DataFrame:
         out = df.withColumn("ret", F.col("close") / F.lag("close").over(w) - 1.0)
         return STATES[family](out, w, [*keys, "_blk"])
 
     states = by_blocks(bars, keys, build, back=HISTORY[family], rows=rows)
-    packed = states.select(*keys, "ts", "pos", "ret", F.array(*[f"_v{i}" for i in range(n)]).alias("_v"))
-    each = packed.withColumn("r", F.explode(rules_literal(rules)))
+    return states.select(*keys, "ts", "pos", "ret", F.array(*[f"_v{i}" for i in range(len(variants(family)))]).alias("_v"))
+
+
+def expand_rules(states: DataFrame, family: str, keys: Sequence[str] = ("symbol",), rules: Sequence[Rule] | None = None) -> DataFrame:
+    """(keys, ts, pos, ret, family, rule_id, rule_key, n_params, entry, exit) for every bar and rule."""
+    rules = rule_grid(family) if rules is None else list(rules)
+    each = states.withColumn("r", F.explode(rules_literal(rules)))
     each = each.withColumn("_s", F.get(F.col("_v"), F.col("r.variant")))
     options = conditions(family, F.col("_s"), F.col("r.params"))
     return each.select(
@@ -356,6 +354,16 @@ def indicator_signals(
     )
 
 
+def indicator_signals(
+    bars: DataFrame, family: str, keys: Sequence[str] = ("symbol",), rows: int = BLOCK_ROWS, rules: Sequence[Rule] | None = None
+) -> DataFrame:
+    """Signals of all rules of a family.
+
+    Bars are shuffled once by (key, block) for the indicators; exploding the rules adds no shuffle.
+    """
+    return expand_rules(indicator_states(bars, family, keys, rows), family, keys, rules)
+
+
 def inverse(signals: DataFrame) -> DataFrame:
     """Swap entries and exits."""
     return signals.withColumns({"entry": F.col("exit"), "exit": F.col("entry")})
