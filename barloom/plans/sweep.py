@@ -56,8 +56,9 @@ def signals_by_window(signals: DataFrame, windows: DataFrame, step: str, keys: S
 
 def candidates(signals: DataFrame, windows: DataFrame, bps: float = 10.0) -> DataFrame:
     """Metrics, penalties and objective margin of every (set, rule)."""
-    keys = [*SET_KEYS, "rule_id", "rule_key", "n_params"]
-    m = BT.rule_metrics(signals, keys, bps).drop("bars")
+    m = BT.rule_metrics(signals, [*SET_KEYS, "rule_id"], bps).drop("bars")
+    # name and size of a rule are part of its id; leaving them out keeps the shuffled rows small
+    m = m.withColumns({"rule_key": F.split_part("rule_id", F.lit(":"), F.lit(2)), "n_params": F.regexp_count("rule_id", F.lit("="))})
     out = m.join(windows.select("symbol", "window", "hold_return", "trade_floor"), ["symbol", "window"])
     penalty = BT.credibility_penalty(F.col("trades"), F.col("trade_floor"), F.col("win_rate"), F.col("max_drawdown"), F.col("n_params"))
     out = out.select(
@@ -139,10 +140,12 @@ def indicator_sweep(
 ) -> DataFrame:
     """Candidates of all rules of `families`. `gate` adds gated runs: (symbol, ts, fusion_score, confidence)."""
     bars = stage(bars, "bars")
+    cores = bars.sparkSession.sparkContext.defaultParallelism
     windows = window_table(bars, keys, min_bars=min_bars)
     sig = None
     for f in families:
-        states = stage(R.indicator_states(bars, f, keys, rows), f"states-{f}")
+        spread = R.indicator_states(bars, f, keys, rows).repartition(cores, *keys, "ts")  # even tasks before rules multiply the rows
+        states = stage(spread, f"states-{f}")
         part = R.expand_rules(states, f, keys)
         sig = part if sig is None else sig.unionByName(part)
     runs = gated_runs(signals_by_window(sig, windows, step, keys), gate, keys, inverse)
