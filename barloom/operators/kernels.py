@@ -10,6 +10,7 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -325,19 +326,11 @@ def expanding_z(
         *[F.var_pop(c).alias(f"_v_{c}") for c in columns],
     )
     prior = before(keys, ["_blk"])
-    merged = stats
+    sums = []
     for c in columns:
         n, m, v = F.col(f"_n_{c}"), F.col(f"_m_{c}"), F.col(f"_v_{c}")
-        merged = merged.withColumn(f"_an_{c}", F.sum(n).over(prior)).withColumn(
-            f"_am_{c}", F.sum(n * m).over(prior) / F.sum(n).over(prior)
-        )
-        merged = merged.withColumn(
-            f"_aq_{c}",
-            F.sum(n * v).over(prior)
-            + F.sum(n * m * m).over(prior)
-            - F.col(f"_an_{c}") * F.col(f"_am_{c}") * F.col(f"_am_{c}"),
-        )
-    merged = merged.select(*part, *[f"_a{p}_{c}" for c in columns for p in "nmq"])
+        sums.append(F.struct(F.sum(n).over(prior).alias("n"), F.sum(n * m).over(prior).alias("s"), F.sum(n * (v + m * m)).over(prior).alias("q")).alias(f"_a_{c}"))
+    merged = stats.select(*part, *sums)
     w = Window.partitionBy(*part).orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
     inside = out.select(
         "*",
@@ -347,7 +340,9 @@ def expanding_z(
     ).join(carried(merged), part)
     zs = []
     for c in columns:
-        n1, m1, q1 = (F.coalesce(F.col(f"_a{p}_{c}"), F.lit(0.0)) for p in "nmq")
+        n1, s1, t1 = (F.coalesce(F.col(f"_a_{c}.{p}"), F.lit(0.0)) for p in "nsq")
+        m1 = F.coalesce(s1 / nonzero(n1), F.lit(0.0))
+        q1 = t1 - n1 * m1 * m1
         n2, m2, v2 = (F.coalesce(F.col(f"_{p}_{c}"), F.lit(0.0)) for p in "nmv")
         n = n1 + n2
         mean = (n1 * m1 + n2 * m2) / nonzero(n)
@@ -389,3 +384,57 @@ def ew_correlation(
 
 def ew_correlation_reach(alpha: float = 0.02, min_rows: int = 120) -> int:
     return 2 * (Ewm("", "", alpha, min_rows).reach + min_rows) + 1
+
+
+def expanding_z_wide(
+    df: DataFrame, keys: Sequence[str], columns: Sequence[str], min_rows: int, rows: int = BLOCK_ROWS, pos: str = "pos"
+) -> DataFrame:
+    """`expanding_z` for dozens of columns: the same block merge, with one Arrow batch per block.
+
+    Count, mean and squared deviations of all earlier blocks arrive as one small row per block and
+    column, co-grouped with the block's rows.
+    """
+    keys, columns = list(keys), list(columns)
+    part = [*keys, "_blk"]
+    src = df.withColumn("_blk", F.floor(F.col(pos) / rows))
+    wide = src.groupBy(*part).agg(
+        *[F.struct(F.lit(i).alias("i"), F.count(c).alias("n"), F.avg(c).alias("m"), F.var_pop(c).alias("v")).alias(f"_{i}") for i, c in enumerate(columns)]
+    )
+    long = wide.select(*part, F.explode(F.array(*[f"_{i}" for i in range(len(columns))])).alias("s")).select(*part, "s.*")
+    prior = Window.partitionBy(*keys, "i").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    m = F.coalesce("m", F.lit(0.0))
+    stats = long.select(
+        *[F.col(k).alias(f"_of_{k}") for k in part], "i", F.sum("n").over(prior).alias("n"), F.sum(F.col("n") * m).over(prior).alias("s"),
+        F.sum(F.col("n") * (F.coalesce("v", F.lit(0.0)) + m * m)).over(prior).alias("q"),
+    )
+    schema = T.StructType(df.schema.fields + [T.StructField(f"z_{c}", T.DoubleType()) for c in columns])
+    kept = list(df.columns)
+
+    def run(block: pd.DataFrame, earlier: pd.DataFrame) -> pd.DataFrame:
+        block = block.sort_values(pos, ignore_index=True)
+        e = earlier.sort_values("i").fillna(0.0)
+        n1, s1, q1 = (e[k].to_numpy(float) for k in ("n", "s", "q"))
+        m1 = np.divide(s1, n1, out=np.zeros_like(s1), where=n1 > 0)
+        q1 = q1 - n1 * m1 * m1
+        x = block[columns].to_numpy(float)
+        seen = ~np.isnan(x)
+        centre = np.nan_to_num(np.where(seen, x, 0.0).sum(0) / np.maximum(seen.sum(0), 1))
+        d = np.where(seen, x - centre, 0.0)
+
+        def lagged(a: np.ndarray) -> np.ndarray:
+            out = np.zeros(a.shape)
+            out[1:] = np.cumsum(a, axis=0)[:-1]
+            return out
+
+        n2, a, b = lagged(seen.astype(float)), lagged(d), lagged(d * d)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            off = np.where(n2 > 0, a / n2, 0.0)
+            m2, q2 = centre + off, b - n2 * off * off
+            n = n1 + n2
+            mean = (n1 * m1 + n2 * m2) / n
+            sq = q1 + q2 + n1 * n2 / n * (m2 - m1) ** 2
+            z = (x - mean) / np.sqrt(np.maximum(sq / n, 0.0))
+        z[(n < min_rows) | ~np.isfinite(z)] = 0.0
+        return pd.concat([block[kept], pd.DataFrame(z, columns=[f"z_{c}" for c in columns])], axis=1)
+
+    return src.groupBy(*part).cogroup(stats.groupBy(*[f"_of_{k}" for k in part])).applyInPandas(run, schema)

@@ -11,6 +11,7 @@ from barloom.functions.expr import EPS, clip, clip01, finite, min_max_scale
 from barloom.operators import kernels as K
 from barloom.operators.series import BLOCK_ROWS, by_blocks
 from barloom.plans import features as FT
+from barloom.session import stage
 
 FAMILIES = ("trend", "oscillation", "risk", "flow", "timing")
 FAMILY_PREFIX = {"trend": "trend", "oscillation": "oscillation", "risk": "risk_volatility", "flow": "flow_liquidity", "timing": "timing_execution"}
@@ -80,7 +81,7 @@ def family_scores(features: DataFrame, columns: Sequence[str], keys: Sequence[st
     """raw_<family>: mean over its columns of tanh of the expanding z-score."""
     members = {f: family_columns(f, columns) for f in FAMILIES}
     used = sorted({c for m in members.values() for c in m})
-    z = K.expanding_z(features.select(*keys, "ts", "pos", *dict.fromkeys([FT.RET, *used])), keys, used, min_rows, rows)
+    z = K.expanding_z_wide(features.select(*keys, "ts", "pos", *dict.fromkeys([FT.RET, *used])), keys, used, min_rows, rows)
 
     def mean(m: dict[str, int]) -> Column:
         if not m:
@@ -95,7 +96,7 @@ def family_scores(features: DataFrame, columns: Sequence[str], keys: Sequence[st
 
 def adaptive_fusion(features: DataFrame, columns: Sequence[str], keys: Sequence[str] = ("symbol",), rows: int = BLOCK_ROWS) -> DataFrame:
     """Softmax weights from each family's causal correlation with the return."""
-    scores = family_scores(features, columns, keys, rows=rows)
+    scores = stage(family_scores(features, columns, keys, rows=rows), "family-scores")
 
     def build(df: DataFrame, w) -> DataFrame:
         return K.ew_correlation(df, w, [*keys, "_blk"], [(f"rel_{f}", f"raw_{f}", "_ret") for f in FAMILIES])
