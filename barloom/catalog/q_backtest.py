@@ -143,7 +143,18 @@ sc1 AS (SELECT *, 0.35::DOUBLE * edge_quality + 0.25::DOUBLE * stability_quality
 sc AS (SELECT *, row_number() OVER (PARTITION BY {SET} ORDER BY beats_hold DESC, round(score, 9) DESC, rule_id) AS rank FROM sc1)"""
 
 
+_SWEPT: dict[tuple[str, str], object] = {}
+
+
 def daily_candidates(spark, sf):
+    """The candidate table of the daily sweep; one run per application, all reports read it."""
+    at = (spark.sparkContext.applicationId, sf)
+    if at not in _SWEPT:
+        _SWEPT[at] = _sweep_daily(spark, sf)
+    return _SWEPT[at]
+
+
+def _sweep_daily(spark, sf):
     return S.indicator_sweep(daily(spark, sf), ["ema_cross"], "1d", inverse=True, min_bars=20)
 
 

@@ -418,7 +418,7 @@ def expanding_z_wide(
         q1 = q1 - n1 * m1 * m1
         x = block[columns].to_numpy(float)
         seen = ~np.isnan(x)
-        centre = np.nan_to_num(np.where(seen, x, 0.0).sum(0) / np.maximum(seen.sum(0), 1))
+        centre = np.nan_to_num(x[0])  # a constant column then deviates by exactly 0
         d = np.where(seen, x - centre, 0.0)
 
         def lagged(a: np.ndarray) -> np.ndarray:
@@ -433,7 +433,8 @@ def expanding_z_wide(
             n = n1 + n2
             mean = (n1 * m1 + n2 * m2) / n
             sq = q1 + q2 + n1 * n2 / n * (m2 - m1) ** 2
-            z = (x - mean) / np.sqrt(np.maximum(sq / n, 0.0))
+            var = sq / n
+            z = (x - mean) / np.sqrt(np.where(var > 1e-15 * mean * mean, var, np.nan))
         z[(n < min_rows) | ~np.isfinite(z)] = 0.0
         return pd.concat([block[kept], pd.DataFrame(z, columns=[f"z_{c}" for c in columns])], axis=1)
 
