@@ -152,7 +152,7 @@ def reward(net: Column, drawdown: Column, trades: Column) -> Column:
 def policy_value(cands: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Softmax policy over candidates (score minus penalties): its expected return, drawdown, trades and reward."""
     keys = list(keys)
-    logit = F.col("score") - 0.5 * F.col("credibility_penalty") - 0.5 * F.col("stability_penalty")
+    logit = F.col("score") - 0.35 * F.col("credibility_penalty") - 0.25 * F.col("stability_penalty")
     c = cands.withColumn("_z", logit)
     top = c.groupBy(*keys).agg(F.max("_z").alias("_m"))
     e = c.join(top, keys).withColumn("_e", F.exp(F.col("_z") - F.col("_m")))
@@ -160,7 +160,7 @@ def policy_value(cands: DataFrame, keys: Sequence[str]) -> DataFrame:
     r = reward(F.col("net_return"), F.col("max_drawdown"), F.col("trades"))
     return e.groupBy(*keys).agg(
         F.count("*").alias("candidates"), mean(F.col("max_drawdown")).alias("exp_drawdown"), mean(F.col("trades")).alias("exp_trades"),
-        mean(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))).alias("exp_reward"), F.max_by("rule_id", F.struct(F.round("_z", 9), "rule_id")).alias("best_rule"),
+        mean(F.col("net_return")).alias("exp_return"), mean(r).alias("exp_reward"), F.max_by("rule_id", F.struct(F.round("_z", 9), "rule_id")).alias("best_rule"),
     )
 
 
