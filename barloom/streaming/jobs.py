@@ -90,7 +90,7 @@ class FreshnessWatch(StatefulProcessor):
         self.handle = handle
         self.latest = handle.getValueState("latest", "ms bigint")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         newest = max(int(pdf["ms"].max()) for pdf in rows)
         if self.latest.exists():
             newest = max(newest, self.latest.get()[0])
@@ -100,7 +100,7 @@ class FreshnessWatch(StatefulProcessor):
         self.handle.registerTimer(newest + self.max_age_ms)
         return iter(())
 
-    def handleExpiredTimer(self, key, timer_values, expired_timer_info) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"symbol": [str(key[0])], "latest_ms": [self.latest.get()[0]]})
 
     def close(self) -> None:
