@@ -126,14 +126,12 @@ WINDOWS_SQL = """win AS (SELECT * FROM (SELECT symbol, win AS "window", min(ts)
  FROM bars JOIN (SELECT symbol, max(ts) AS mx FROM bars GROUP BY 1) USING (symbol) CROSS JOIN (VALUES ('all', 100000), ('360d', 360), ('90d', 90), ('30d', 30)) v(win, days)
  WHERE ts >= mx - to_days(days) GROUP BY 1, 2) WHERE window_bars >= 20)"""
 SET = 'symbol, family, gate, "window", side'
-SWEEP_SQL = f"""RECURSIVE {numbered_sql(BARS_1D)}, {ema_rows_sql()}, {WINDOWS_SQL},
-ws0 AS (SELECT sig.*, 'ema_cross' AS family, 'ungated' AS gate, win."window", split_part(rule_id, ':', 2) AS rule_key FROM sig JOIN win ON win.symbol = sig.symbol AND sig.ts >= win.start_ts),
-ws AS (SELECT *, 'long' AS side FROM ws0 UNION ALL SELECT * REPLACE (exit AS entry, entry AS exit), 'inverse' AS side FROM ws0),
-{backtest_sql(SET + ', rule_id, rule_key', 'ws')},
+# From window signals `ws` to scored candidates `sc`.
+SCORING_SQL = f"""{backtest_sql(SET + ', rule_id, rule_key', 'ws')},
 ca0 AS (SELECT mt.*, hold_return, trade_floor, net_return - hold_return AS alpha, net_return >= hold_return AS beats_hold, abs(least(max_drawdown, 0)) AS loss FROM mt JOIN win USING (symbol, "window")),
-ca1 AS (SELECT *, least(1, 0.75::DOUBLE * 0.25::DOUBLE + 0.25::DOUBLE * least(1, greatest(0, (length(rule_key) - 8) / 24.0::DOUBLE))) AS complexity,
+ca1 AS (SELECT *, least(1, 0.75::DOUBLE * least(1, len(regexp_extract_all(rule_id, '=')) / 8.0::DOUBLE) + 0.25::DOUBLE * least(1, greatest(0, (length(rule_key) - 8) / 24.0::DOUBLE))) AS complexity,
  least(1, greatest(0, 1 - (0.8::DOUBLE * least(1, trades / greatest(trade_floor, 1)) + 0.1::DOUBLE * least(1, greatest(0, (win_rate - 0.35::DOUBLE) / 0.35::DOUBLE))
-  + 0.1::DOUBLE * least(1, greatest(0, 1 - loss / 0.45::DOUBLE))) + 0.15::DOUBLE * 0.2::DOUBLE)) AS credibility_penalty FROM ca0),
+  + 0.1::DOUBLE * least(1, greatest(0, 1 - loss / 0.45::DOUBLE))) + 0.15::DOUBLE * least(1, len(regexp_extract_all(rule_id, '=')) / 10.0::DOUBLE))) AS credibility_penalty FROM ca0),
 ca AS (SELECT *, least(1, 0.7::DOUBLE * loss / 0.35::DOUBLE + 0.3::DOUBLE * credibility_penalty) AS stability_penalty FROM ca1),
 td AS (SELECT *, greatest(total_return - net_return, 0) AS cost FROM ca WHERE trades > 0),
 nm AS (SELECT *, {', '.join(f"CASE WHEN abs(max({e}) OVER s - min({e}) OVER s) < 1e-12 THEN 0.5 ELSE ({e} - min({e}) OVER s) / (max({e}) OVER s - min({e}) OVER s) END AS n_{n}" for n, e in [('net', 'net_return'), ('alpha', 'alpha'), ('depth', 'abs(max_drawdown)'), ('win', 'win_rate'), ('cost', 'cost'), ('cx', 'complexity')])}
@@ -141,6 +139,10 @@ nm AS (SELECT *, {', '.join(f"CASE WHEN abs(max({e}) OVER s - min({e}) OVER s) <
 sc0 AS (SELECT *, 0.7::DOUBLE * n_alpha + 0.3::DOUBLE * n_net AS edge_quality, 0.65::DOUBLE * (1 - n_depth) + 0.35::DOUBLE * n_win AS stability_quality, 1 - n_cost AS friction_quality, 1 - credibility_penalty AS credibility_quality FROM nm),
 sc1 AS (SELECT *, 0.35::DOUBLE * edge_quality + 0.25::DOUBLE * stability_quality + 0.2::DOUBLE * friction_quality + 0.2::DOUBLE * credibility_quality - 0.05::DOUBLE * n_cx - 0.05::DOUBLE * stability_penalty AS score FROM sc0),
 sc AS (SELECT *, row_number() OVER (PARTITION BY {SET} ORDER BY beats_hold DESC, round(score, 9) DESC, rule_id) AS rank FROM sc1)"""
+SWEEP_SQL = f"""RECURSIVE {numbered_sql(BARS_1D)}, {ema_rows_sql()}, {WINDOWS_SQL},
+ws0 AS (SELECT sig.*, 'ema_cross' AS family, 'ungated' AS gate, win."window", split_part(rule_id, ':', 2) AS rule_key FROM sig JOIN win ON win.symbol = sig.symbol AND sig.ts >= win.start_ts),
+ws AS (SELECT *, 'long' AS side FROM ws0 UNION ALL SELECT * REPLACE (exit AS entry, entry AS exit), 'inverse' AS side FROM ws0),
+{SCORING_SQL}"""
 
 
 _SWEPT: dict[tuple[str, str], object] = {}

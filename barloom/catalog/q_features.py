@@ -259,3 +259,77 @@ def gate_levels(spark, sf):
         F.count_if(R.gate_long()).alias("open_long"), F.count_if(R.gate_inverse()).alias("open_inverse"),
     )
     return show(out, ["symbol", "open_long", "open_inverse"], ["score_level", "conf_level"])
+
+
+# --- feature reports --------------------------------------------------------------------------
+
+
+@query("feature_importance", f"""WITH {_DIAG_SQL} SELECT name, family, count(*) AS seen, {r('avg(utility)', 'avg_utility')}, {r('avg(abs(correlation))', 'avg_abs_corr')} FROM dg GROUP BY 1, 2""")
+def feature_importance(spark, sf):
+    from barloom.plans.reports import feature_importance as overview
+
+    return show(overview(FU.diagnostics(diagnosed(spark, sf), FT.BASE_FEATURES, top=None)), ["name", "family", "seen"], ["avg_utility", "avg_abs_corr"])
+
+
+@query("prune_overview", f"""WITH {_DIAG_SQL}, ct AS (SELECT symbol, quantile_cont(utility, 0.2) AS cut FROM dg GROUP BY 1), lo AS (SELECT name, family, utility FROM dg JOIN ct USING (symbol) WHERE utility <= cut)
+SELECT name, family, count(*) AS seen, {r('avg(utility)', 'avg_utility')} FROM lo GROUP BY 1, 2""")
+def prune_overview(spark, sf):
+    from barloom.plans.reports import prune_overview as overview
+
+    rows = diagnosed(spark, sf)
+    out = overview(FU.prune_candidates(rows, FT.BASE_FEATURES, FU.diagnostics(rows, FT.BASE_FEATURES, top=None)))
+    return show(out, ["name", "family", "seen"], ["avg_utility"])
+
+
+# --- core sweep on hourly bars, gated and ungated ---------------------------------------------
+
+
+def _core_sweep_sql() -> str:
+    from barloom.catalog.q_backtest import SCORING_SQL, WINDOWS_SQL
+
+    used = sorted({f for c in R.CORE_RULES.values() for f, _, _ in (*c.entry, *c.exit)})
+    name = {f: f"f{i}" for i, f in enumerate(used)}
+    raw = {f: FU.FIXED_COLUMNS[f][0] for f in FU.FAMILIES}
+    every = sorted({*used, *raw.values()})
+    last = ", ".join(f"arg_max({q(c)}, ts) AS {q(c)}" for c in every)
+    cols = ", ".join(f"coalesce({q(c)}, 0) AS {q(c)}" for c in every)
+    lags = ", ".join(f"{q(f)} AS {name[f]}, lag({q(f)}) OVER w AS p{name[f]}" for f in used)
+
+    def test(f, op, par, p):
+        x, px, lv = name[f], "p" + name[f], f"{p[par]!r}::DOUBLE"
+        return {"x>": f"coalesce({px} <= {lv} AND {x} > {lv}, false)", "x<": f"coalesce({px} >= {lv} AND {x} < {lv}, false)", ">": f"{x} > {lv}", "<": f"{x} < {lv}"}[op]
+
+    arms = []
+    for rule in R.core_rule_grid("timing_efficiency") + R.core_rule_grid("mean_reclaim"):
+        c, p = R.CORE_RULES[rule.rule_key], dict(rule.params)
+        arms.append(f"SELECT symbol, ts, close, ret, '{rule.rule_id}' AS rule_id, '{c.core}' AS family, {' AND '.join(test(*t, p) for t in c.entry)} AS entry, {' OR '.join(test(*t, p) for t in c.exit)} AS exit FROM cr")
+    return f"""{SET_SQL}, hb AS (SELECT symbol, time_bucket(INTERVAL '1 hour', ts) AS ts, arg_max(close, ts) AS close FROM bars GROUP BY 1, 2),
+hf AS (SELECT symbol, time_bucket(INTERVAL '1 hour', ts) AS ts, {last} FROM feat GROUP BY 1, 2),
+al AS (SELECT hb.symbol, hb.ts, close, {cols} FROM hb LEFT JOIN hf ON hf.symbol = hb.symbol AND hf.ts = hb.ts),
+cr AS (SELECT symbol, ts, close, close / lag(close) OVER w - 1 AS ret, {lags} FROM al {WINDOW}),
+fx AS (SELECT symbol, ts, 0 AS i, {', '.join(f"{q(raw[f])} AS raw_{f}, {w}::DOUBLE AS w_{f}" for f, w in FU.FIXED_WEIGHTS.items())} FROM al), {fuse_sql('fx', (0.55, 0.25, 0.2), 'fus')},
+{WINDOWS_SQL.replace('FROM bars', 'FROM hb')}, lv AS (SELECT f.symbol, win."window", quantile_cont(fusion_score, 0.55) AS sl, greatest(0.05, least(0.95, quantile_cont(confidence, 0.4))) AS cl FROM fus f JOIN win ON win.symbol = f.symbol AND f.ts >= win.start_ts GROUP BY ALL),
+sg AS ({' UNION ALL '.join(arms)}), w0 AS (SELECT sg.*, win."window", split_part(rule_id, ':', 2) AS rule_key FROM sg JOIN win ON win.symbol = sg.symbol AND sg.ts >= win.start_ts),
+ws AS (SELECT *, 'ungated' AS gate, 'long' AS side FROM w0 UNION ALL SELECT w0.* REPLACE (w0.entry AND fusion_score >= sl AND confidence >= cl AS entry), 'gated', 'long' FROM w0 JOIN fus ON fus.symbol = w0.symbol AND fus.ts = w0.ts JOIN lv ON lv.symbol = w0.symbol AND lv."window" = w0."window"),
+{SCORING_SQL} SELECT symbol, family, gate, "window", rule_id, trades, {r('score', 'score', 5)}, rank FROM sc"""
+
+
+@query("core_sweep", f"WITH {_core_sweep_sql()}")
+def core_sweep(spark, sf):
+    """Two feature cores (24 rules) on hourly bars, ungated and gated by the fixed fusion, in every look-back window."""
+    from barloom.operators.series import by_blocks, number_bars
+    from barloom.plans import sweep as S
+
+    feats, minute = features_of(spark, sf)
+    bars = stage(number_bars(B.resample(minute, "1h"), step="1h"), "hour-bars")
+    used = {f for c in R.CORE_RULES.values() for f, _, _ in (*c.entry, *c.exit)} | {FU.FIXED_COLUMNS[f][0] for f in FU.FAMILIES}
+    last = B.resample_last(feats, "1h", sorted(used))
+    ret = by_blocks(bars, ["symbol"], lambda df, w: df.withColumn("ret", F.col("close") / F.lag("close").over(w) - 1.0), 1)
+    index = ret.select("symbol", "ts", "pos", "ret", "close")
+    aligned = stage(B.align_to_index(index, last, sorted(used), 7 * 86_400), "aligned")
+    fusion = stage(FU.fixed_fusion(aligned).select("symbol", "ts", "fusion_score", "confidence"), "fusion")
+    sig = R.core_signals(aligned, "timing_efficiency").unionByName(R.core_signals(aligned, "mean_reclaim"))
+    windows = S.window_table(bars, min_bars=20)
+    runs = S.gated_runs(S.signals_by_window(sig, windows, "1h"), fusion)
+    out = S.score(stage(S.candidates(runs, windows), "core-candidates"))
+    return show(out, ["symbol", "family", "gate", "window", "rule_id", "trades", "rank"], ["score"], 5)

@@ -148,3 +148,23 @@ def meta_veto(spark, sf):
     kept = M.veto(ev, sc, M.threshold_scan(mean, ["symbol"], _GRID, 0.3), ["symbol"])
     n = ev.groupBy("symbol").agg(F.count("*").alias("events"))
     return n.join(kept.groupBy("symbol").agg(F.count("*").alias("kept")), "symbol", "left").select("symbol", "events", F.coalesce("kept", F.lit(0)).alias("kept"))
+
+
+@query("meta_summary")
+def meta_summary(spark, sf):
+    """Counts and medians over the fold reports, one row in all."""
+    from barloom.plans.validate import meta_summary as summary
+
+    _, sc, _ = _fitted(spark, sf)
+    rep = M.fold_report(sc, ["symbol", "fold"], M.threshold_grid(), 0.6)
+    rows = rep.select("*", F.lit(True).alias("meta_enabled"), F.col("samples").alias("events"), F.lit(0.6).alias("precision_floor"))
+    return summary(rows)
+
+
+@query("meta_coefficients")
+def meta_coefficients(spark, sf):
+    """Coefficients of every fold: size and sign per feature."""
+    _, _, beta = _fitted(spark, sf)
+    named = F.arrays_zip(F.array(*[F.lit(f) for f in FEATURES]).alias("feature"), F.slice("beta", 1, len(FEATURES)).alias("coef"))
+    each = beta.select("symbol", "fold", F.explode(named).alias("c")).select("symbol", "fold", "c.feature", "c.coef")
+    return each.groupBy("symbol", "feature").agg(F.count("*").alias("folds"), F.avg("coef").alias("avg_coef"), F.avg((F.col("coef") > 0).cast("int")).alias("positive_share"))

@@ -47,13 +47,18 @@ def is_strict_stable(base: Column, name: Column) -> Column:
 def top_by_volume(coins: DataFrame, n: int, cutoff: Column) -> DataFrame:
     """First `n` by quote volume with volume and enough history. Ranks count the excluded too.
 
-    Coins are (base, symbol, quote_volume, first_seen_date), one row per coin, so the global rank
-    is over the coin list and not over market data.
+    Coins are (base, symbol, quote_volume, first_seen_date). The picks come from a top-k sort; their
+    rank among all coins is counted against the `n` picks, so the coin list is never sorted whole.
     """
-    w = Window.orderBy(F.desc("quote_volume"), "base")
-    ranked = coins.withColumn("rank", F.row_number().over(w))
-    ok = ranked.where(~is_excluded(F.col("base")) & (F.col("quote_volume") > 0) & (F.col("first_seen_date") <= cutoff))
-    return ok.orderBy("rank").limit(n)
+    ok = coins.where(~is_excluded(F.col("base")) & (F.col("quote_volume") > 0) & (F.col("first_seen_date") <= cutoff))
+    picks = ok.orderBy(F.desc("quote_volume"), "base").limit(n)
+    marks = picks.agg(F.array_sort(F.collect_list(F.struct((-F.col("quote_volume")).alias("v"), F.col("base").alias("b")))).alias("_m"))  # n entries
+    me = F.struct((-F.col("quote_volume")).alias("v"), F.col("base").alias("b"))
+    ahead = coins.join(F.broadcast(marks)).select(F.size(F.filter("_m", lambda x: x < me)).alias("_at"))
+    counts = ahead.groupBy("_at").agg(F.count("*").alias("_c"))
+    rank = counts.select("_at", F.sum("_c").over(Window.orderBy("_at")).alias("rank"))
+    placed = picks.withColumn("_at", F.row_number().over(Window.orderBy(F.desc("quote_volume"), "base")) - 1)
+    return placed.join(rank, "_at").drop("_at")
 
 
 def top_by_market_cap(coins: DataFrame, n: int) -> DataFrame:
@@ -61,7 +66,7 @@ def top_by_market_cap(coins: DataFrame, n: int) -> DataFrame:
     best = keep_last(coins.withColumn("_mc", F.col("market_cap")), ["base"], ["_mc", "symbol"]).drop("_mc")
     ok = best.where(~is_strict_stable(F.col("base"), F.col("name")))
     w = Window.orderBy(F.desc("market_cap"), "base")
-    return ok.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    return ok.orderBy(F.desc("market_cap"), "base").limit(n).withColumn("rank", F.row_number().over(w))
 
 
 def explicit_list(coins: DataFrame, symbols: Sequence[str], quote: str) -> DataFrame:
