@@ -39,7 +39,7 @@ def bars_from_ticks(
 
     Pure partial aggregation: a hot symbol is reduced on the map side before the shuffle.
     """
-    at = F.struct("ts", *tie)
+    at = tick_order(ticks, tie)
     return (
         ticks.groupBy(*keys, bucket_start(timeframe).alias("ts"))
         .agg(
@@ -52,6 +52,20 @@ def bars_from_ticks(
     )
 
 
+def tick_order(ticks: DataFrame, tie: Sequence[str]) -> Column:
+    """Order of ticks as one fixed-width value where possible.
+
+    With a fixed-width order first and last price stay in a hash aggregate; a struct would make
+    Spark sort every tick before the partial aggregation.
+    """
+    if not tie:
+        return F.col("ts")
+    if len(tie) == 1 and ticks.schema[tie[0]].dataType.typeName() in ("long", "integer", "short", "byte"):
+        micros = F.unix_micros("ts").cast("decimal(18,0)")
+        return (micros * F.lit("1" + "0" * 19).cast("decimal(20,0)") + F.col(tie[0]).cast("decimal(19,0)")).cast("decimal(38,0)")
+    return F.struct("ts", *tie)
+
+
 def resample(bars: DataFrame, timeframe: str, keys: Sequence[str] = ("symbol",)) -> DataFrame:
     """Coarser OHLCV bars from finer ones; empty buckets do not appear."""
     return bars.groupBy(*keys, bucket_start(timeframe).alias("ts")).agg(

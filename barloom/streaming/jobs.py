@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from barloom.operators.bars import bars_from_ticks, bucket_start, keep_last
+from barloom.operators.bars import bars_from_ticks, bucket_start, keep_last, tick_order
 from barloom.plans import alerts as A
 from barloom.sources.artifacts import parse_event_lines
 
@@ -22,7 +22,7 @@ def tick_bars(ticks: DataFrame, timeframe: str, delay: str = "10 minutes", tie:
 
     `ticks` is the tick count of a bar: the repair job tells from it which bars missed late rows.
     """
-    at = F.struct("ts", *tie)
+    at = tick_order(ticks, tie)
     bars = (
         ticks.withWatermark("ts", delay)
         .groupBy("symbol", F.window("ts", SPANS[timeframe]).alias("w"))
