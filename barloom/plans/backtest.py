@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.expr import EPS, clip01
+from barloom.operators.quantiles import exact_quantiles
 from barloom.operators.series import before, carried
 from barloom.session import stage
 
@@ -146,7 +147,8 @@ def metrics_of_pieces(piece: DataFrame, keys: Sequence[str]) -> DataFrame:
 def trade_samples(trade: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Worst, median-nearest and best trade of each key (earliest on ties)."""
     keys = list(keys)
-    mid = trade.groupBy(*keys).agg(F.percentile("pnl", F.lit(0.5)).alias("_mid"))
+    trade = stage(trade, "trades")
+    mid = exact_quantiles(trade, keys, {"_mid": ("pnl", 0.5)})
     t = trade.join(mid, keys)
     row = F.struct("trade_id", "start_ts", "end_ts", "pnl", "bars")
     picked = t.groupBy(*keys).agg(

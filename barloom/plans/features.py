@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from barloom.functions.expr import EPS, clip, finite, log_ratio, nonzero
 from barloom.operators import kernels as K
 from barloom.operators.bars import close_clock, drop_warmup
+from barloom.operators.quantiles import exact_quantiles
 from barloom.operators.series import (
     BLOCK_ROWS,
     TIMEFRAME_SECONDS,
@@ -205,10 +206,9 @@ def feature_set(
 
 def winsor_bounds(rows: DataFrame, keys: Sequence[str], columns: Sequence[str], q: tuple[float, float] = WINSOR) -> DataFrame:
     """Quantile bounds per key and column, as one row of (lo, hi) structs per key."""
-    cols = [
-        F.struct(F.percentile(c, F.lit(q[0])).alias("lo"), F.percentile(c, F.lit(q[1])).alias("hi")).alias(c) for c in columns
-    ]
-    return rows.groupBy(*keys).agg(*cols)
+    ends = {f"{i}_{side}": (c, level) for i, c in enumerate(columns) for side, level in zip(("lo", "hi"), q)}
+    found = exact_quantiles(rows, keys, ends)
+    return found.select(*keys, *[F.struct(F.col(f"{i}_lo").alias("lo"), F.col(f"{i}_hi").alias("hi")).alias(c) for i, c in enumerate(columns)])
 
 
 def winsor_apply(rows: DataFrame, bounds: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql.window import WindowSpec
 
 from barloom.functions.expr import EPS, finite, nonzero
 from barloom.operators import kernels as K
+from barloom.operators.quantiles import exact_quantiles
 from barloom.operators.series import BLOCK_ROWS, by_blocks, dense_position, running_sum
 from barloom.plans.rules import true_range
 from barloom.session import stage
@@ -45,8 +46,8 @@ def barrier_events(
     def reference(df: DataFrame, w: WindowSpec) -> DataFrame:
         return lagged_atr_ratio(df, w, vol_window, "_atr")
 
-    rated = by_blocks(bars, keys, reference, back=vol_window + 2, rows=rows)
-    size = rated.groupBy(*keys).agg(F.max("pos").alias("_last"), F.percentile("_atr", F.lit(0.5)).alias("_mid"))
+    rated = stage(by_blocks(bars, keys, reference, back=vol_window + 2, rows=rows), "rated-bars")
+    size = rated.groupBy(*keys).agg(F.max("pos").alias("_last")).join(exact_quantiles(rated, keys, {"_mid": ("_atr", 0.5)}), keys)
 
     def ahead(df: DataFrame, w: WindowSpec) -> DataFrame:
         nxt = F.collect_list(F.struct("pos", "high", "low", "close")).over(w.rowsBetween(1, horizon))

@@ -18,6 +18,7 @@ from pyspark.sql.window import WindowSpec
 
 from barloom.functions.expr import crossed_above, crossed_below, flag, nonzero
 from barloom.operators import kernels as K
+from barloom.operators.quantiles import exact_quantiles
 from barloom.operators.series import BLOCK_ROWS, TIMEFRAME_SECONDS, by_blocks, time_segment
 from barloom.plans import features as FT
 
@@ -540,10 +541,8 @@ def gate_levels(scores: DataFrame, keys: Sequence[str], q_score: float = 0.55, q
     Keys include the look-back window for the sweep's gate, and leave it out for the whole-series
     gate of the validation.
     """
-    return scores.groupBy(*keys).agg(
-        F.percentile("fusion_score", F.lit(q_score)).alias("score_level"),
-        F.greatest(F.lit(0.05), F.least(F.lit(0.95), F.percentile("confidence", F.lit(q_conf)))).alias("conf_level"),
-    )
+    found = exact_quantiles(scores, keys, {"score_level": ("fusion_score", q_score), "_conf": ("confidence", q_conf)})
+    return found.select(*keys, "score_level", F.greatest(F.lit(0.05), F.least(F.lit(0.95), F.col("_conf"))).alias("conf_level"))
 
 
 def gate_long() -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.expr import EPS, clip01
+from barloom.operators.quantiles import exact_quantiles
 from barloom.operators.series import before, carried
 
 BUCKET = "_month"
@@ -92,7 +93,7 @@ def missing_cells(results: DataFrame, expected: DataFrame) -> DataFrame:
 
 def baseline_gate(rows: DataFrame, series: Sequence[str], limits: dict[str, tuple[str, float]]) -> DataFrame:
     """Medians against limits ('min' or 'max'), and the names of those missed."""
-    med = rows.groupBy(*series).agg(*[F.percentile(c, F.lit(0.5)).alias(c) for c in limits])
+    med = exact_quantiles(rows, series, {c: (c, 0.5) for c in limits})
     tests = [F.when((F.col(c) < v) if kind == "min" else (F.col(c) > v), c) for c, (kind, v) in limits.items()]
     out = med.withColumn("blockers", F.filter(F.array(*tests), lambda x: x.isNotNull()))
     return out.withColumn("ready", F.size("blockers") == 0)
@@ -142,7 +143,8 @@ def validation_tail(events: DataFrame, done: str, end: str) -> DataFrame:
     """Median over runs of the time between the last task and the end of the round."""
     per = events.groupBy("run_id").agg(F.max(F.when(F.col("event") == done, F.col("ts"))).alias("_d"), F.max(F.when(F.col("event") == end, F.col("ts"))).alias("_e"))
     tail = F.unix_seconds("_e") - F.unix_seconds("_d")
-    return per.where(tail >= 0).agg(F.count("*").alias("runs"), F.percentile(tail, F.lit(0.5)).alias("median_tail_seconds"))
+    kept = per.withColumn("_tail", tail).where("_tail >= 0")
+    return kept.agg(F.count("*").alias("runs")).join(exact_quantiles(kept, [], {"median_tail_seconds": ("_tail", 0.5)}))
 
 
 def reward(net: Column, drawdown: Column, trades: Column) -> Column:
