@@ -209,3 +209,15 @@ def deploy_readiness(spark, sf):
 @query("filtered_results", f"""WITH {LIGHT_SQL} SELECT symbol, "window", rule_id, {r('final_score', 'final_score')} FROM (SELECT * FROM lv WHERE gate = 'gated' ORDER BY final_score DESC, symbol, "window", rule_id LIMIT 25)""")
 def filtered_results(spark, sf):
     return show(V.filter_results(light(spark, sf), ["gated"], 25), ["symbol", "window", "rule_id"], ["final_score"])
+
+
+@query("meta_vetoed_rows", f"""WITH {LIGHT_SQL}, ve AS (SELECT DISTINCT symbol, "window", rule_id FROM lv WHERE trades < 20)
+SELECT lv.symbol, lv."window", side, lv.rule_id, passes AND ve.symbol IS NULL AS passes, CASE WHEN ve.symbol IS NOT NULL THEN concat_ws(',', nullif(failed, ''), 'meta_precision_floor') ELSE failed END AS failed
+FROM lv LEFT JOIN ve ON ve.symbol = lv.symbol AND ve."window" = lv."window" AND ve.rule_id = lv.rule_id""")
+def meta_vetoed_rows(spark, sf):
+    """Rules with few trades stand for rules whose filter found no threshold."""
+    rows = stage(light(spark, sf), "light")
+    keys = ["symbol", "window", "rule_id"]
+    meta = rows.where("trades < 20").select(*keys).distinct().withColumn("veto_all", F.lit(True))
+    out = V.with_meta_veto(rows, meta, keys)
+    return out.select("symbol", "window", "side", "rule_id", "passes", F.array_join("failed_reasons", ",").alias("failed"))

@@ -182,6 +182,18 @@ def light_validation(candidates: DataFrame, strictness: str = "balanced") -> Dat
     return out.withColumn("passes", F.size("failed_reasons") == 0)
 
 
+def with_meta_veto(rows: DataFrame, meta: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows whose meta-label filter vetoes every entry fail, with a reason of their own.
+
+    `meta` has one row per key with a filter (`veto_all`); keys without one keep their result.
+    """
+    keys = list(keys)
+    joined = rows.join(meta.select(*keys, F.col("veto_all").alias("_veto")), keys, "left")
+    vetoed = F.coalesce("_veto", F.lit(False))
+    reasons = F.when(vetoed, F.array_append("failed_reasons", F.lit("meta_precision_floor"))).otherwise(F.col("failed_reasons"))
+    return joined.withColumn("failed_reasons", reasons).withColumn("passes", F.col("passes") & ~vetoed).drop("_veto")
+
+
 # --- summaries and selection ------------------------------------------------------------------
 
 

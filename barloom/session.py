@@ -16,6 +16,9 @@ SETTINGS = {
 }
 
 
+_PRIVATE: dict[str, str] = {}  # one folder per application without a configured one
+
+
 def build_session(app: str = "barloom", master: str | None = None, **extra: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
@@ -31,10 +34,12 @@ def staging_dir(spark: SparkSession) -> str:
     A private temporary folder is used only where the session names none (tests, laptops).
     """
     configured = spark.conf.get("spark.checkpoint.dir", "")
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="barloom-stage-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    return configured
+    if configured:
+        return configured
+    app = spark.sparkContext.applicationId
+    if app not in _PRIVATE:
+        _PRIVATE[app] = tempfile.mkdtemp(prefix="barloom-stage-")
+    return _PRIVATE[app]
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

@@ -127,3 +127,10 @@ def test_robustness_and_scores(spark):
     assert got == [1.0, 0.5, 0.5, 0.0]
     with pytest.raises(ValueError):
         V.failed_reasons("nope")
+
+
+def test_meta_veto_fails_a_row(spark):
+    rows = spark.createDataFrame([("A", True, []), ("B", True, []), ("C", False, ["pbo"])], "symbol string, passes boolean, failed_reasons array<string>")
+    meta = spark.createDataFrame([("A", True), ("B", False), ("C", True)], "symbol string, veto_all boolean")
+    got = {r.symbol: (r.passes, list(r.failed_reasons)) for r in V.with_meta_veto(rows, meta, ["symbol"]).collect()}
+    assert got == {"A": (False, ["meta_precision_floor"]), "B": (True, []), "C": (False, ["pbo", "meta_precision_floor"])}
