@@ -1,3 +1,11 @@
 """Barloom: research on time-ordered market bars, expressed as Spark jobs."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# The few functions that run in Python workers travel with the task, so executors need no copy of
+# the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

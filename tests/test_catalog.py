@@ -40,3 +40,13 @@ def test_registry():
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_worker_functions_travel_by_value():
+    from pyspark import cloudpickle
+
+    from barloom.plans.metalabel import _newton_step
+
+    # an import by name would fail on executors that have no copy of the package
+    code = cloudpickle.dumps(_newton_step)
+    assert b"linalg" in code and len(code) > 500
