@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -31,14 +33,18 @@ def build_session(app: str = "barloom", master: str | None = None, **extra: str)
 def staging_dir(spark: SparkSession) -> str:
     """Shared folder for intermediate tables: `spark.checkpoint.dir` of the session.
 
-    A private temporary folder is used only where the session names none (tests, laptops).
+    A session with a local master that names none gets a private folder, removed when Python ends. On
+    any other master the folder must be set: machines of a cluster do not see each other's folders.
     """
     configured = spark.conf.get("spark.checkpoint.dir", "")
     if configured:
         return configured
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _PRIVATE:
         _PRIVATE[app] = tempfile.mkdtemp(prefix="barloom-stage-")
+        atexit.register(shutil.rmtree, _PRIVATE[app], ignore_errors=True)
     return _PRIVATE[app]
 
 
