@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from barloom.session import stage, staging_dir
 
-__all__ = ["stage", "staging_dir", "table", "whole_text", "words_of", "WHITE", "chunks", "split_words", "shingle_hashes", "mix", "connected", "Powers"]
+__all__ = ["stage", "staging_dir", "table", "whole_text", "words_of", "WHITE", "chunks", "split_words", "shingle_hashes", "mix", "connected", "Powers", "byte_sums", "range_hashes", "fit_logistic", "labelled"]
 
 WHITE = r"[\x20\x09-\x0D]+"  # what separates words, also in every SQL of this package
 CHUNK_BYTES = 1 << 20  # texts are hashed in slices of about this size; a longer text is a slice of its own
@@ -67,9 +67,11 @@ class Powers:
         return self.up, self.down
 
 
-def _white() -> np.ndarray:
+def _white(marks: bool) -> np.ndarray:
     w = np.zeros(256, dtype=bool)
     w[[32, 9, 10, 11, 12, 13]] = True
+    if marks:
+        w[:128] = [not chr(k).isalnum() for k in range(128)]
     return w
 
 
@@ -88,13 +90,29 @@ def chunks(column: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int
         at = end
 
 
-def split_words(data: np.ndarray, offsets: np.ndarray, powers: Powers, fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words of several texts that lie one after the other: text index, start, end, hash of each word."""
+def byte_sums(data: np.ndarray, powers: Powers, fold: bool = True) -> np.ndarray:
+    """Running sums from which the hash of any byte range follows."""
+    up, _ = powers.upto(len(data) + 1)
+    total = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(_byte_codes(fold)[data] * up[:len(data)], dtype=np.uint64, out=total[1:])
+    return total
+
+
+def range_hashes(total: np.ndarray, powers: Powers, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    _, down = powers.upto(len(total))
+    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def split_words(data: np.ndarray, offsets: np.ndarray, powers: Powers, fold: bool = True, marks: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of several texts that lie one after the other: text index, start, end, hash of each word.
+
+    fold: A-Z as a-z. marks: ASCII punctuation separates words too.
+    """
     n = len(data)
     empty = np.zeros(0, np.int64)
     if not n:
         return empty, empty, empty, np.zeros(0, np.uint64)
-    inside = ~_white()[data]
+    inside = ~_white(marks)[data]
     before = np.zeros(n, dtype=bool)
     before[1:] = inside[:-1]
     before[offsets[:-1][offsets[:-1] < n]] = False
@@ -102,10 +120,7 @@ def split_words(data: np.ndarray, offsets: np.ndarray, powers: Powers, fold: boo
     after[:-1] = inside[1:]
     after[offsets[1:][offsets[1:] > 0] - 1] = False
     start, end = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
-    up, down = powers.upto(n + 1)
-    total = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(_byte_codes(fold)[data] * up[:n], dtype=np.uint64, out=total[1:])
-    code = mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    code = range_hashes(byte_sums(data, powers, fold), powers, start, end)
     return np.searchsorted(offsets, start, side="right") - 1, start, end, code
 
 
@@ -161,3 +176,34 @@ def connected(edges: DataFrame, name: str, rounds: int = 60) -> DataFrame:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
     raise RuntimeError(f"components are not settled after {rounds} rounds")
 
+
+
+def labelled(docs: DataFrame, labels: DataFrame, target: str, most: int) -> DataFrame:
+    """doc_id, text and y of at most `most` labelled documents: the bounded sample a classifier is fitted on.
+
+    The rows with the smallest hash of doc_id are taken, so the sample is even and repeatable; of
+    several labels of one document the largest counts.
+    """
+    rows = labels.where(F.col("doc_id").isNotNull() & F.col(target).isNotNull()).groupBy("doc_id").agg(F.max(target).cast("int").alias("y"))
+    few = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
+    return texts.join(F.broadcast(few.select(F.col("doc_id").cast("long").alias("doc_id"), "y")), "doc_id")  # at most `most` rows
+
+
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+    """Weights of a ridge-penalised logistic model (the last is the constant), by Newton steps with halving."""
+    x = np.c_[x, np.ones(len(x))]
+    penalty = np.r_[np.full(x.shape[1] - 1, ridge), 1e-6]
+    loss = lambda w: np.logaddexp(0, -(2 * y - 1) * (x @ w)).sum() + 0.5 * (penalty * w * w).sum()
+    w, now = np.zeros(x.shape[1]), None
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
+        slope = x.T @ (p - y) + penalty * w
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty), slope)
+        now, size = loss(w), 1.0
+        while loss(w - size * step) > now and size > 1e-6:
+            size /= 2
+        w = w - size * step
+        if np.abs(size * step).max() < 1e-9:
+            break
+    return w

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import exact_dedup, mixing, ngram_join, preference, suffix_dedup
+from barloom.llm import decontaminate, exact_dedup, mixing, ngram_join, preference, quality, secret_scan, suffix_dedup, toxicity, warc
 from barloom.llm.base import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +43,14 @@ def mix_sql(rounds: int = 25) -> str:
     return "WITH " + ",\n".join(parts) + "\nSELECT doc_id, source, lang, topic, tokens, round(probability, 7) AS probability, round(draw, 12) AS draw, draw < probability AS kept FROM o"
 
 
+# Operator 2 -------------------------------------------------------------------------------------
+
+
+def op2_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document that holds a benchmark item, with the item and the best window."""
+    return decontaminate.leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 # Operator 3 -------------------------------------------------------------------------------------
 
 
@@ -62,6 +70,32 @@ r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, e.y FROM
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS component_id FROM r GROUP BY 1) c USING (doc_id)"""
 
+# Operator 4 -------------------------------------------------------------------------------------
+
+
+def op4_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    """Toxicity of every document; the labels of the held-out third are not learned from."""
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    out = toxicity.scored(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "labels"), ~held_out)
+    return out.select("doc_id", held_out.alias("held_out"), F.col("tox_score").alias("score"), (F.col("tox_score") >= 0.7).cast("int").alias("predicted"))
+
+
+# Operator 5 -------------------------------------------------------------------------------------
+
+
+def op5_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    return secret_scan.secret_spans(table(spark, sf, "documents"))
+
+
+# Operator 6 -------------------------------------------------------------------------------------
+
+
+def op6_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document with its model score, its site's posteriors, its final score, and whether it is kept."""
+    out = quality.graded(table(spark, sf, "documents").select("doc_id", "text", "source", "lang"), table(spark, sf, "labels"))
+    return out.select("doc_id", "source", "lang", F.col("qc_doc").alias("doc_score"), "host_posterior", "path_posterior", F.col("qc_score").alias("score"), F.col("qc_kept").alias("kept"))
+
+
 # Operator 7 -------------------------------------------------------------------------------------
 
 
@@ -75,6 +109,13 @@ WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+',
 SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
        doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256 FROM n"""
 
+# Operator 8 -------------------------------------------------------------------------------------
+
+
+def op8_warc(spark: SparkSession, sf: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf, "pages"))
+
+
 # Operator 9 -------------------------------------------------------------------------------------
 
 
@@ -126,5 +167,6 @@ SELECT p.pair_id, p.prompt_turns,
        coalesce(max(CASE WHEN part = 'rejected' THEN text END), '') AS rejected, coalesce(max(CASE WHEN part = 'rejected' THEN spans END), '') AS rejected_spans
 FROM p LEFT JOIN o USING (pair_id) GROUP BY 1, 2"""
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mixing, op3_ngram_join, op7_exact_dedup, op9_suffix_dedup, op10_preference)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (
+    op1_mixing, op2_decontamination, op3_ngram_join, op4_toxicity, op5_secrets, op6_quality, op7_exact_dedup, op8_warc, op9_suffix_dedup, op10_preference)}
 ORACLES: dict[str, str] = {"op1_mixing": mix_sql(), "op3_ngram_join": OP3_SQL, "op7_exact_dedup": OP7_SQL, "op10_preference": OP10_SQL}
