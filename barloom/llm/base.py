@@ -26,9 +26,8 @@ def whole_text(column: str = "text") -> Column:
 
 
 def words_of(text: Column) -> Column:
-    """Number of words of a text, native."""
-    bare = F.regexp_replace(text, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
-    return F.when(bare == "", 0).otherwise(F.size(F.split(bare, WHITE))).cast("long")
+    """Number of words of a text, native: pieces between blanks that are not empty."""
+    return F.size(F.array_remove(F.split(F.translate(text, "\t\n\x0b\x0c\r", "     "), " "), "")).cast("long")
 
 
 def mix(x: np.ndarray) -> np.ndarray:

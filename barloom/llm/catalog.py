@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm import decontaminate, exact_dedup, mixing, ngram_join, preference, quality, secret_scan, suffix_dedup, toxicity, warc
-from barloom.llm.base import table
+from barloom.llm.base import stage, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,13 +19,14 @@ MIX_POWERS = {"source": 0.5, "lang": 0.5, "topic": 0.7}
 
 def op1_mixing(spark: SparkSession, sf: str) -> DataFrame:
     """Every document with its cell, its probability of being drawn, and whether it is."""
-    out = mixing.mixed(table(spark, sf, "documents"), MIX_POWERS)
+    rows = mixing.described(table(spark, sf, "documents")).select("doc_id", "mx_source", "mx_lang", "mx_topic", "mx_tokens", "mx_draw")
+    out = mixing.drawn(stage(rows, "op1-rows"), MIX_POWERS)  # texts are read once
     return out.select("doc_id", F.col("mx_source").alias("source"), F.col("mx_lang").alias("lang"), F.col("mx_topic").alias("topic"), F.col("mx_tokens").alias("tokens"),
-                      F.round("mx_probability", 7).alias("probability"), F.round("mx_draw", 12).alias("draw"), F.col("mx_kept").alias("kept"))
+                      F.round("mx_probability", 6).alias("probability"), F.round("mx_draw", 12).alias("draw"), F.col("mx_kept").alias("kept"))
 
 
-def mix_sql(rounds: int = 25) -> str:
-    topic = "CASE " + " ".join(f"WHEN regexp_matches(t, '{p}') THEN '{n}'" for n, p in mixing.TOPICS) + " ELSE 'prose' END"
+def mix_sql(rounds: int = 60) -> str:
+    topic = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(t, '{m}')" for m in marks) + f" THEN '{n}'" for n, marks in mixing.TOPICS) + " ELSE 'prose' END"
     parts = [rf"""d AS (
   SELECT doc_id, t, source, lang, {topic} AS topic, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS tokens
   FROM (SELECT doc_id, coalesce(text, '') AS t, coalesce(source, 'unknown') AS source, coalesce(lang, 'unknown') AS lang FROM documents))""",
@@ -40,7 +41,7 @@ def mix_sql(rounds: int = 25) -> str:
             k += 1
     parts.append(f"p AS (SELECT source, lang, topic, (weight / tokens) / max(weight / tokens) OVER () AS probability FROM w{k})")
     parts.append("o AS (SELECT d.*, CASE WHEN tokens > 0 THEN coalesce(probability, 0) ELSE 0 END AS probability, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), t)), 1, 12) AS BIGINT) / 281474976710656.0 AS draw FROM d LEFT JOIN p USING (source, lang, topic))")
-    return "WITH " + ",\n".join(parts) + "\nSELECT doc_id, source, lang, topic, tokens, round(probability, 7) AS probability, round(draw, 12) AS draw, draw < probability AS kept FROM o"
+    return "WITH " + ",\n".join(parts) + "\nSELECT doc_id, source, lang, topic, tokens, round(probability, 6) AS probability, round(draw, 12) AS draw, draw < probability AS kept FROM o"
 
 
 # Operator 2 -------------------------------------------------------------------------------------

@@ -8,31 +8,34 @@ drawn. Expected tokens of the sample then have the target shares in all three ma
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.base import stage, whole_text, words_of
 
 MARGINS = ("source", "lang", "topic")
+ROUNDS_A_WRITE = 2  # rounds of raking in one plan; then the cells are written
 SMALL = 10_000  # cells up to this number are broadcast, more are joined by hash
 
-# Topics by a marker in the text, first match counts (fixed values of this library).
-TOPICS = (("licence", r"(?i)licen[cs]e|copyright"), ("table", r" [|] "), ("shouting", r"!!"), ("contact", r"@|[+][0-9]"))
+# Topics by a mark in the text, first match counts (fixed values of this library).
+TOPICS = (("licence", ("License", "license", "Copyright", "copyright")), ("table", (" | ",)), ("shouting", ("!!",)), ("contact", ("@", " +")))
 
 
 def topic_of(text: Column) -> Column:
     out = F.lit("prose")
-    for name, pattern in reversed(TOPICS):
-        out = F.when(text.rlike(pattern), name).otherwise(out)
+    for name, marks in reversed(TOPICS):
+        out = F.when(reduce(Column.__or__, [text.contains(m) for m in marks]), name).otherwise(out)
     return out
 
 
-def described(docs: DataFrame) -> DataFrame:
-    """docs plus mx_source, mx_lang, mx_topic and mx_tokens."""
+def described(docs: DataFrame, seed: str = "") -> DataFrame:
+    """docs plus mx_source, mx_lang, mx_topic, mx_tokens and mx_draw."""
     text = whole_text()
     return docs.withColumns({
         "mx_source": F.coalesce(F.col("source").cast("string"), F.lit("unknown")), "mx_lang": F.coalesce(F.col("lang").cast("string"), F.lit("unknown")),
-        "mx_topic": topic_of(text), "mx_tokens": words_of(text)})
+        "mx_topic": topic_of(text), "mx_tokens": words_of(text), "mx_draw": draw(F.col("doc_id"), text, seed)})
 
 
 def target_shares(cells: DataFrame, margin: str, power: float, wanted: dict[str, float] | None) -> DataFrame:
@@ -49,22 +52,20 @@ def target_shares(cells: DataFrame, margin: str, power: float, wanted: dict[str,
     return sums.crossJoin(F.broadcast(total)).select(f"mx_{margin}", (F.col("goal") / F.col("all")).alias("target"))  # total is one row
 
 
-def raked(cells: DataFrame, powers: dict[str, float], wanted: dict[str, dict[str, float]], tolerance: float = 1e-10, rounds: int = 200) -> DataFrame:
+def raked(cells: DataFrame, powers: dict[str, float], wanted: dict[str, dict[str, float]], tolerance: float = 1e-13, rounds: int = 300) -> DataFrame:
     """Cells with their raked weight; the rounds end where every margin is within `tolerance` of its target."""
     goals = {m: stage(target_shares(cells, m, powers.get(m, 0.5), wanted.get(m)), f"op1-{m}") for m in MARGINS}
     total = cells.agg(F.sum("tokens").alias("all"))
     now = stage(cells.where("tokens > 0").crossJoin(F.broadcast(total)).withColumn("weight", F.col("tokens") / F.col("all")).drop("all"), "op1-weights")
     if now.isEmpty():
         return now
-    for k in range(rounds):
-        off = []
-        for m in MARGINS:
+    for _ in range(0, rounds, ROUNDS_A_WRITE):
+        for m in MARGINS * ROUNDS_A_WRITE:
             key = f"mx_{m}"
             factor = now.groupBy(key).agg(F.sum("weight").alias("is")).join(goals[m], key).select(
                 key, F.when(F.col("is") > 0, F.col("target") / F.col("is")).otherwise(0.0).alias("factor"), F.abs(F.col("is") - F.col("target")).alias("off"))
             now = now.join(factor, key).withColumn("weight", F.col("weight") * F.col("factor"))
-            off.append("off")
-            now = now.withColumnRenamed("off", f"off_{m}").drop("factor")
+            now = now.drop("factor", f"off_{m}").withColumnRenamed("off", f"off_{m}")
         now = stage(now, "op1-weights")
         worst = now.agg(F.greatest(*[F.max(f"off_{m}") for m in MARGINS])).first()[0]
         now = now.drop(*[f"off_{m}" for m in MARGINS])
@@ -78,15 +79,8 @@ def draw(doc_id: Column, text: Column, seed: str = "") -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.coalesce(doc_id.cast("string"), text), F.lit(seed))), 1, 12), 16, 10).cast("double") / float(1 << 48)
 
 
-def mixed(docs: DataFrame, powers: dict[str, float] | None = None, wanted: dict[str, dict[str, float]] | None = None, seed: str = "") -> DataFrame:
-    """docs plus mx_source, mx_lang, mx_topic, mx_tokens, mx_probability, mx_draw, mx_kept.
-
-    docs: doc_id, text, lang, source, more columns allowed. Null lang or source is the value
-    "unknown". A document without words weighs nothing and is not drawn. powers: exponent per margin
-    (0.5 where none is given), wanted: given weights per margin, which replace the exponent; values
-    that they leave out get nothing. Repeated rows are drawn together, as the draw depends on doc_id.
-    """
-    rows = described(docs)
+def drawn(rows: DataFrame, powers: dict[str, float] | None = None, wanted: dict[str, dict[str, float]] | None = None) -> DataFrame:
+    """Described rows plus mx_probability and mx_kept."""
     sums = rows.groupBy("mx_source", "mx_lang", "mx_topic").agg(F.sum("mx_tokens").alias("tokens"))
     cells = raked(stage(sums, "op1-cells"), powers or {}, wanted or {})
     ratio = cells.withColumn("ratio", F.col("weight") / F.col("tokens"))
@@ -95,5 +89,15 @@ def mixed(docs: DataFrame, powers: dict[str, float] | None = None, wanted: dict[
     if chance.count() <= SMALL:
         chance = F.broadcast(chance)
     out = rows.join(chance, ["mx_source", "mx_lang", "mx_topic"], "left").withColumn("mx_probability", F.when(F.col("mx_tokens") > 0, F.coalesce("mx_probability", F.lit(0.0))).otherwise(0.0))
-    return out.withColumn("mx_draw", draw(F.col("doc_id"), whole_text(), seed)).withColumn("mx_kept", F.col("mx_draw") < F.col("mx_probability")).select(
-        *docs.columns, "mx_source", "mx_lang", "mx_topic", "mx_tokens", "mx_probability", "mx_draw", "mx_kept")
+    return out.withColumn("mx_kept", F.col("mx_draw") < F.col("mx_probability")).select(*rows.columns, "mx_probability", "mx_kept")
+
+
+def mixed(docs: DataFrame, powers: dict[str, float] | None = None, wanted: dict[str, dict[str, float]] | None = None, seed: str = "") -> DataFrame:
+    """docs plus mx_source, mx_lang, mx_topic, mx_tokens, mx_draw, mx_probability, mx_kept.
+
+    docs: doc_id, text, lang, source, more columns allowed. Null lang or source is the value
+    "unknown". A document without words weighs nothing and is not drawn. powers: exponent per margin
+    (0.5 where none is given), wanted: given weights per margin, which replace the exponent; values
+    that they leave out get nothing. Repeated rows are drawn together, as the draw depends on doc_id.
+    """
+    return drawn(described(docs, seed), powers, wanted)
