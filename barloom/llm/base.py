@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.session import stage, staging_dir
+from barloom import session
+from barloom.session import staging_dir
 
 __all__ = ["stage", "staging_dir", "table", "whole_text", "words_of", "WHITE", "chunks", "split_words", "shingle_hashes", "mix", "connected", "Powers", "byte_sums", "range_hashes", "fit_logistic", "labelled"]
 
@@ -17,6 +18,20 @@ WHITE = r"[\x20\x09-\x0D]+"  # what separates words, also in every SQL of this p
 CHUNK_BYTES = 1 << 20  # texts are hashed in slices of about this size; a longer text is a slice of its own
 
 
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Written to the shared folder and read again; the shuffle files of the write are given back at once."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEAN, None)
+    conf.set(CLEAN, "true")
+    try:
+        return session.stage(df, name)
+    finally:
+        conf.unset(CLEAN) if before is None else conf.set(CLEAN, before)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

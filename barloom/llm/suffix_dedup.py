@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,10 +101,11 @@ class Run:
         col = np.arange(WINDOW)
         tail = right[(col >= head["lcp"][:, None]) & (col < head["right"][:, None])]
         before = left[np.arange(LEFT) < head["left"][:, None]]
-        return np.int64(len(head)).tobytes() + head.tobytes() + tail.tobytes() + before.tobytes()
+        return zstandard.compress(np.int64(len(head)).tobytes() + head.tobytes() + tail.tobytes() + before.tobytes(), 1)
 
     @classmethod
     def unpack(cls, raw: bytes) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+        raw = zstandard.decompress(raw)
         n = int(np.frombuffer(raw, np.int64, 1)[0])
         head = np.frombuffer(raw, cls.HEAD, n, 8)
         at, last, suffixes = 8 + n * cls.HEAD.itemsize, b"", []
