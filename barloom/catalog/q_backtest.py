@@ -145,18 +145,8 @@ ws AS (SELECT *, 'long' AS side FROM ws0 UNION ALL SELECT * REPLACE (exit AS ent
 {SCORING_SQL}"""
 
 
-_SWEPT: dict[tuple[str, str], object] = {}
-
-
 def daily_candidates(spark, sf):
-    """The candidate table of the daily sweep; one run per application, all reports read it."""
-    at = (spark.sparkContext.applicationId, sf)
-    if at not in _SWEPT:
-        _SWEPT[at] = _sweep_daily(spark, sf)
-    return _SWEPT[at]
-
-
-def _sweep_daily(spark, sf):
+    """The candidate table of the daily sweep."""
     return S.indicator_sweep(daily(spark, sf), ["ema_cross"], "1d", inverse=True, min_bars=20)
 
 

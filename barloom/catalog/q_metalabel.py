@@ -80,11 +80,18 @@ def cpcv_splits(spark, sf):
         F.count("*").alias("events"), F.min("entry_idx").alias("first_idx"), F.max("entry_idx").alias("last_idx"), F.sum("label").alias("positives"))
 
 
-@query("standardised", f"""WITH {SPLIT_SQL}, st AS (SELECT symbol, fold, avg(volatility) FILTER (role = 'train') AS m, greatest(stddev_pop(volatility) FILTER (role = 'train'), 1e-9) AS s FROM rk GROUP BY 1, 2)
-SELECT symbol, fold, role, {r('avg((volatility - m) / s)', 'mean_x')}, {r('max((volatility - m) / s)', 'max_x')} FROM rk JOIN st USING (symbol, fold) GROUP BY 1, 2, 3""")
+# one plain feature, one that is constant in training but not in test, one with gaps, one that is always missing
+_X = {"x": "volatility", "flat": "CASE WHEN role = 'train' THEN 2.0 ELSE 2.5 END", "gaps": "CASE WHEN entry_idx % 3 > 0 THEN volatility END", "none": "CAST(NULL AS DOUBLE)"}
+_UNIT = {c: f"coalesce(({c} - m_{c}) / CASE WHEN s_{c} < 1e-9 THEN 1 ELSE s_{c} END, 0)" for c in _X}
+
+
+@query("standardised", f"""WITH {SPLIT_SQL}, fx AS (SELECT *, {', '.join(f'CAST({v} AS DOUBLE) AS "{k}"' for k, v in _X.items())} FROM rk),
+st AS (SELECT symbol, fold, {', '.join(f"avg({c}) FILTER (role = 'train') AS m_{c}, stddev_pop({c}) FILTER (role = 'train') AS s_{c}" for c in _X)} FROM fx GROUP BY 1, 2)
+SELECT symbol, fold, role, {', '.join(f"{r(f'avg({u})', f'mean_{c}')}, {r(f'max({u})', f'max_{c}')}" for c, u in _UNIT.items())} FROM fx JOIN st USING (symbol, fold) GROUP BY 1, 2, 3""")
 def standardised(spark, sf):
-    rows = M.standardise(split_rows(events_of(spark, sf)[0]), ["volatility"], ["symbol", "fold"])
-    return rows.groupBy("symbol", "fold", "role").agg(F.round(F.avg("volatility"), 6).alias("mean_x"), F.round(F.max("volatility"), 6).alias("max_x"))
+    rows = split_rows(events_of(spark, sf)[0]).withColumns({k: F.expr(f"CAST({v} AS DOUBLE)") for k, v in _X.items()})
+    out = M.standardise(rows, list(_X), ["symbol", "fold"])
+    return out.groupBy("symbol", "fold", "role").agg(*[a for c in _X for a in (F.round(F.avg(c), 6).alias(f"mean_{c}"), F.round(F.max(c), 6).alias(f"max_{c}"))])
 
 
 # A score that both engines can compute: how small the bar's volatility is.
@@ -130,20 +137,20 @@ def _fitted(spark, sf):
     weighted = M.uniqueness_weights(ev, bars).join(x, ["symbol", "entry_idx"])
     rows = stage(M.standardise(split_rows(weighted), FEATURES, ["symbol", "fold"]), "fold-rows")
     beta = M.fit_folds(rows, FEATURES, ["symbol", "fold"])
-    return ev, stage(M.score_folds(rows, beta, FEATURES, ["symbol", "fold"]), "scored"), beta
+    return ev, stage(M.score_folds(rows, beta, FEATURES, ["symbol", "fold"]), "scored"), beta, rows
 
 
 @query("meta_fold_report")
 def meta_fold_report(spark, sf):
     """Logistic filter of every fold: threshold, precision, recall, average precision, veto."""
-    _, sc, _ = _fitted(spark, sf)
+    _, sc, *_ = _fitted(spark, sf)
     return M.fold_report(sc, ["symbol", "fold"], M.threshold_grid(), 0.6)
 
 
 @query("meta_veto")
 def meta_veto(spark, sf):
     """Entries that pass the filter, per symbol."""
-    ev, sc, _ = _fitted(spark, sf)
+    ev, sc, *_ = _fitted(spark, sf)
     mean = M.mean_probability(sc, ["symbol", "entry_idx"])
     kept = M.veto(ev, sc, M.threshold_scan(mean, ["symbol"], _GRID, 0.3), ["symbol"])
     n = ev.groupBy("symbol").agg(F.count("*").alias("events"))
@@ -155,16 +162,41 @@ def meta_summary(spark, sf):
     """Counts and medians over the fold reports, one row in all."""
     from barloom.plans.validate import meta_summary as summary
 
-    _, sc, _ = _fitted(spark, sf)
+    _, sc, *_ = _fitted(spark, sf)
     rep = M.fold_report(sc, ["symbol", "fold"], M.threshold_grid(), 0.6)
     rows = rep.select("*", F.lit(True).alias("meta_enabled"), F.col("samples").alias("events"), F.lit(0.6).alias("precision_floor"))
     return summary(rows)
 
 
+@query("meta_optimality", f"WITH {SPLIT_SQL}, k AS (SELECT symbol, fold, count(*) FILTER (role = 'train' AND label = 0) AS a, count(*) FILTER (role = 'train' AND label = 1) AS b,"
+       " count(*) FILTER (role = 'test' AND label = 0) AS c, count(*) FILTER (role = 'test' AND label = 1) AS d FROM rk GROUP BY 1, 2)"
+       " SELECT symbol, fold, true AS converged, CAST(0 AS DOUBLE) + 0 AS slope FROM k WHERE least(a, b, c, d) > 0")
+def meta_optimality(spark, sf):
+    """How far each fold is from the optimum: the largest violation of the optimality conditions of the
+    penalised loss, computed anew from the training rows. Zero to six digits at the optimum."""
+    ev, _, beta, rows = _fitted(spark, sf)
+    c, names = 0.25, FEATURES
+    y = F.col("label")
+    per = rows.where("role = 'train'")
+    kinds = per.groupBy("symbol", "fold").agg(F.count_if(y == 1).alias("n1"), F.count_if(y == 0).alias("n0"))
+    t = per.join(kinds, ["symbol", "fold"]).join(beta, ["symbol", "fold"])
+    w = F.col("weight") * (F.col("n0") + F.col("n1")) / (2.0 * F.when(y == 1, F.col("n1")).otherwise(F.col("n0")))
+    z = F.get("beta", F.lit(len(names)))
+    for i, f in enumerate(names):
+        z = z + F.get("beta", F.lit(i)) * F.col(f)
+    e = w * (1.0 / (1.0 + F.exp(-z)) - y)
+    g = t.groupBy("symbol", "fold").agg(F.first("beta").alias("beta"), F.first("converged").alias("converged"), F.array(*[c * F.sum(e * v) for v in [*map(F.col, names), F.lit(1.0)]]).alias("g"))
+    off = []
+    for i in range(len(names)):
+        b, s_ = F.get("beta", F.lit(i)), F.get("g", F.lit(i))
+        off.append(F.when(b == 0, F.greatest(F.abs(s_) - 1.0, F.lit(0.0))).otherwise(F.abs(s_ + F.signum(b))))
+    return g.select("symbol", "fold", "converged", (F.round(F.greatest(*off, F.abs(F.get("g", F.lit(len(names))))), 6) + 0.0).alias("slope"))
+
+
 @query("meta_coefficients")
 def meta_coefficients(spark, sf):
     """Coefficients of every fold: size and sign per feature."""
-    _, _, beta = _fitted(spark, sf)
+    _, _, beta, _ = _fitted(spark, sf)
     named = F.arrays_zip(F.array(*[F.lit(f) for f in FEATURES]).alias("feature"), F.slice("beta", 1, len(FEATURES)).alias("coef"))
     each = beta.select("symbol", "fold", F.explode(named).alias("c")).select("symbol", "fold", "c.feature", "c.coef")
     return each.groupBy("symbol", "feature").agg(F.count("*").alias("folds"), F.avg("coef").alias("avg_coef"), F.avg((F.col("coef") > 0).cast("int")).alias("positive_share"))

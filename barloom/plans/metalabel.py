@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 import json
 from collections.abc import Sequence
 from itertools import combinations
@@ -139,14 +140,25 @@ def cpcv_rows(
     return out.join(enough.select(*keys, "fold"), [*keys, "fold"], "left_semi")
 
 
+def finite(c: str | Column) -> Column:
+    """NULL for NaN and infinity."""
+    x = F.col(c).cast("double") if isinstance(c, str) else c
+    return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
+
+
 def standardise(rows: DataFrame, features: Sequence[str], keys: Sequence[str]) -> DataFrame:
-    """Scale features with the mean and population std of the fold's training rows."""
+    """Scale features with the mean and population std of the fold's training rows.
+
+    A std below 1e-9 counts as 1, so a feature that is constant in training stays in its own units.
+    Values that are missing or not finite count neither in the mean nor in the std and become 0.
+    """
     train = F.col("role") == "train"
     stats = rows.groupBy(*keys).agg(
-        *[F.avg(F.when(train, F.col(c))).alias(f"_m_{c}") for c in features],
-        *[F.greatest(F.stddev_pop(F.when(train, F.col(c))), F.lit(1e-9)).alias(f"_s_{c}") for c in features],
+        *[F.avg(F.when(train, finite(c))).alias(f"_m_{c}") for c in features],
+        *[F.stddev_pop(F.when(train, finite(c))).alias(f"_s_{c}") for c in features],
     )
-    scaled = {c: (F.col(c) - F.col(f"_m_{c}")) / F.col(f"_s_{c}") for c in features}
+    unit = lambda c: F.when(F.col(f"_s_{c}") < 1e-9, 1.0).otherwise(F.col(f"_s_{c}"))
+    scaled = {c: F.coalesce(finite((finite(c) - F.col(f"_m_{c}")) / unit(c)), F.lit(0.0)) for c in features}
     return rows.join(stats, list(keys)).select(*[scaled[c].alias(c) if c in scaled else F.col(c) for c in rows.columns])
 
 
@@ -161,24 +173,33 @@ def _newton_step(h: np.ndarray, g: np.ndarray, beta: np.ndarray, penalty: str, c
         ridge = np.diag(np.r_[np.ones(d), 0.0])
         return beta - np.linalg.solve(h + ridge + 1e-10 * np.eye(d + 1), g + ridge @ beta)
     new = beta.copy()
-    for _ in range(200):
+    for _ in range(10_000):
+        last = new.copy()
         for j in range(d + 1):
             grad = g[j] + h[j] @ (new - beta)
             curve = h[j, j] + 1e-10
             target = new[j] - grad / curve
             new[j] = target if j == d else np.sign(target) * max(abs(target) - 1.0 / curve, 0.0)
+        if np.abs(new - last).max() < 1e-13:
+            break
     return new
 
 
+def _penalised(loss: float, beta: np.ndarray, penalty: str, c: float) -> float:
+    return c * loss + (0.5 * (beta[:-1] ** 2).sum() if penalty == "l2" else np.abs(beta[:-1]).sum())
+
+
 def fit_folds(
-    rows: DataFrame, features: Sequence[str], keys: Sequence[str], weight: str = "weight", label: str = "label", penalty: str = "l2",
-    c: float = 1.0, balanced: bool = True, iterations: int = 8,
+    rows: DataFrame, features: Sequence[str], keys: Sequence[str], weight: str = "weight", label: str = "label", penalty: str = "l1",
+    c: float = 0.25, balanced: bool = True, iterations: int = 2500, tolerance: float = 1e-8,
 ) -> DataFrame:
-    """Weighted logistic regression of every (key, fold) at the same time: (keys, beta).
+    """Weighted logistic regression of every (key, fold) at the same time: (keys, beta, converged).
 
-    One Newton iteration is one aggregation: gradient and curvature of a fold are sums over its
+    One Newton iteration is one aggregation: loss, gradient and curvature of a fold are sums over its
     training rows, so no fold is ever gathered in one task. Only the small system of each fold is
-    solved in Python. Folds need both classes in training and in test.
+    solved in Python. A step that raises the penalised loss is halved. A fold is done when its
+    largest change is below `tolerance`; only the others are read again. Folds need both classes in
+    training and in test; missing features count as 0.
     """
     keys, x = list(keys), list(features)
     d = len(x) + 1
@@ -188,35 +209,55 @@ def fit_folds(
     ).where("_train0 > 0 AND _train1 > 0 AND _test0 > 0 AND _test1 > 0")
     n = F.col("_train0") + F.col("_train1")
     balance = n / (2.0 * F.when(y == 1, F.col("_train1")).otherwise(F.col("_train0"))) if balanced else F.lit(1.0)
+    clean = [F.coalesce(finite(f), F.lit(0.0)).alias(f) for f in x]
     train = stage(
-        rows.where("role = 'train'").join(kinds, keys).select(*keys, *x, y.alias("_y"), (F.col(weight) * balance).alias("_w")), "fold-train"
+        rows.where("role = 'train'").join(kinds, keys).select(*keys, *clean, y.alias("_y"), (F.col(weight) * balance).alias("_w")), "fold-train"
     )
-    beta = train.select(*keys).distinct().withColumn("beta", F.array(*[F.lit(0.0)] * d))
-    schema = T.StructType([train.schema[k] for k in keys] + [T.StructField("beta", T.ArrayType(T.DoubleType()))])
+    numbers = lambda k: F.array(*[F.lit(0.0)] * k)
+    state = train.select(*keys).distinct().withColumns({
+        "beta": numbers(d), "best": numbers(d), "least": F.lit(float("inf")), "step": numbers(d), "scale": F.lit(1.0), "converged": F.lit(False)})
+    fields = ["beta", "best", "least", "step", "scale", "converged"]
+    schema = T.StructType([train.schema[k] for k in keys] + [state.schema[f] for f in fields])
     pairs = [(i, j) for i in range(d) for j in range(i, d)]
 
     def solve(batches):
         for pdf in batches:
             out = []
-            for b, h, g in zip(pdf["beta"], pdf["h"], pdf["g"]):
-                m = np.zeros((d, d))
-                for (i, j), v in zip(pairs, h):
-                    m[i, j] = m[j, i] = v
-                out.append(_newton_step(m, np.asarray(g, float), np.asarray(b, float), penalty, c))
-            yield pdf[keys].assign(beta=out)
-
+            for r in pdf.itertuples():
+                beta, best, least, step, scale = (np.array(v, float) for v in (r.beta, r.best, r.least, r.step, r.scale))
+                total = _penalised(r.loss, beta, penalty, c)
+                if total <= least + 1e-12 * abs(least) if np.isfinite(least) else True:
+                    m = np.zeros((d, d))
+                    for (i, j), v in zip(pairs, r.h):
+                        m[i, j] = m[j, i] = v
+                    best, least, scale = beta, total, 1.0
+                    step = _newton_step(m, np.asarray(r.g, float), beta, penalty, c) - beta
+                else:
+                    scale = scale / 2
+                small = np.abs(scale * step).max() < tolerance
+                out.append((best if small else best + scale * step, best, float(least), step, float(scale), bool(small)))
+            yield pdf[keys].assign(**{f: [o[k] for o in out] for k, f in enumerate(fields)})
+
+    done = []
     for i in range(iterations):
-        t = train.join(beta, keys)
+        t = train.join(state, keys)
         vals = [F.col(f) for f in x] + [F.lit(1.0)]
-        p = 1.0 / (1.0 + F.exp(-_dot(x)))
-        t = t.withColumn("_p", p).withColumn("_k", F.col("_w") * F.col("_p") * (1.0 - F.col("_p")))
+        t = t.withColumn("_z", _dot(x)).withColumn("_p", 1.0 / (1.0 + F.exp(-F.col("_z")))).withColumn("_k", F.col("_w") * F.col("_p") * (1.0 - F.col("_p")))
+        loss = F.log1p(F.exp(-F.abs("_z"))) + F.greatest("_z", F.lit(0.0)) - F.col("_y") * F.col("_z")
         sums = t.groupBy(*keys).agg(
-            F.first("beta").alias("beta"),
+            *[F.first(f).alias(f) for f in fields],
+            F.sum(F.col("_w") * loss).alias("loss"),
             F.array(*[F.sum(F.col("_k") * vals[a] * vals[b]) for a, b in pairs]).alias("h"),
             F.array(*[F.sum(F.col("_w") * (F.col("_p") - F.col("_y")) * v) for v in vals]).alias("g"),
         )
-        beta = stage(sums.mapInPandas(solve, schema), f"beta-{i}")
-    return beta
+        state = stage(sums.mapInPandas(solve, schema), f"beta-{i}")
+        done.append(state.where("converged"))
+        state = state.where("NOT converged")
+        if state.isEmpty():
+            break
+    else:
+        done.append(state)
+    return reduce(DataFrame.unionByName, done).select(*keys, "beta", "converged") if done else state.select(*keys, "beta", "converged")
 
 
 def _dot(features: Sequence[str]) -> Column:
@@ -228,7 +269,7 @@ def _dot(features: Sequence[str]) -> Column:
 
 def score_folds(rows: DataFrame, beta: DataFrame, features: Sequence[str], keys: Sequence[str]) -> DataFrame:
     """Probability of each test row of each fold."""
-    return rows.where("role = 'test'").join(beta, list(keys)).withColumn("prob", 1.0 / (1.0 + F.exp(-_dot(list(features))))).drop("beta")
+    return rows.where("role = 'test'").join(beta.select(*keys, "beta"), list(keys)).withColumn("prob", 1.0 / (1.0 + F.exp(-_dot(list(features))))).drop("beta")
 
 
 def mean_probability(scored: DataFrame, event: Sequence[str]) -> DataFrame:

@@ -140,11 +140,10 @@ def indicator_sweep(
 ) -> DataFrame:
     """Candidates of all rules of `families`. `gate` adds gated runs: (symbol, ts, fusion_score, confidence)."""
     bars = stage(bars, "bars")
-    cores = bars.sparkSession.sparkContext.defaultParallelism
     windows = window_table(bars, keys, min_bars=min_bars)
     sig = None
     for f in families:
-        spread = R.indicator_states(bars, f, keys, rows).repartition(cores, *keys, "ts")  # even tasks before rules multiply the rows
+        spread = R.indicator_states(bars, f, keys, rows).repartition(*keys, "ts")  # even tasks before rules multiply the rows
         states = stage(spread, f"states-{f}")
         part = R.expand_rules(states, f, keys)
         sig = part if sig is None else sig.unionByName(part)

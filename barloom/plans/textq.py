@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 # Patterns that must not be published, and Latin terms allowed in Chinese texts.
 FORBIDDEN = [
-    r"(?i)\b[a-f0-9]{24,}\b", r"(?i)/analysis/[a-z0-9_-]+", r"(?i)\b(?:event[_\s-]?id|uuid|hash)\b",
-    r"(?i)\b(?:payload|authority record)\b|權限策略|參考識別", r"(?i)\bConclusion Event\b",
+    r"(?iU)\b[a-f0-9]{24,}\b", r"(?iU)/analysis/[a-z0-9_-]+", r"(?iU)\b(?:event[_\s-]?id|uuid|hash)\b",
+    r"(?iU)\b(?:payload|權限策略|參考識別|authority record)\b", r"(?iU)\bConclusion Event\b",
 ]
 ALLOWED_LATIN = ["USDT", "BTC", "ETH", "SOL", "XRP", "BNB", "ADA", "TRX", "LTC", "RSI", "MACD"]
 HASH_LEAK = r"(?i)\b[a-f0-9]{24,}\b"
