@@ -206,6 +206,23 @@ def excluded_assets(spark, sf):
         F.count("*").alias("assets"), F.count_if(U.is_excluded(F.col("base"))).alias("excluded"), F.count_if(U.is_strict_stable(F.col("base"), F.col("base"))).alias("strict"))
 
 
+_RAW = "CASE event_id % 8 WHEN 0 THEN ' btc/usdt ' WHEN 1 THEN 'Eth' WHEN 2 THEN '' WHEN 3 THEN 'SOL-USDT' WHEN 4 THEN 'doge' WHEN 5 THEN '123' WHEN 6 THEN 'usdt' END"
+_SAID = "concat(event_type, CASE event_id % 3 WHEN 0 THEN ' ltcusdt fell' WHEN 1 THEN ' xUSDTx' ELSE ' of ADAUSDT' END)"
+_NAMES = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in A.ASSET_NAMES.items())
+
+
+@query("asset_identity", rf"""WITH a AS (SELECT event_id, trim(coalesce({_RAW}, '')) AS raw, regexp_extract(upper({_SAID}), '\b([A-Z]{{2,10}})USDT\b') AS seen FROM events),
+b AS (SELECT event_id, regexp_replace(upper(CASE WHEN raw <> '' THEN raw ELSE seen END), '[^A-Z]', '', 'g') AS l FROM a),
+c AS (SELECT event_id, CASE WHEN l = '' THEN 'BTCUSDT' WHEN ends_with(l, 'USDT') THEN l ELSE l || 'USDT' END AS market FROM b),
+d AS (SELECT *, coalesce(nullif(replace(market, 'USDT', ''), ''), 'BTC') AS ticker FROM c),
+e AS (SELECT *, coalesce(CASE WHEN market = ticker || 'USDT' THEN CASE ticker {_NAMES} END END, upper(left(ticker, 1)) || lower(substr(ticker, 2))) AS name FROM d)
+SELECT event_id, market, ticker, name, name || ' (' || ticker || ')' AS display_name, ticker || '/USDT' AS pair FROM e""")
+def asset_identity(spark, sf):
+    """Market of every event, from a raw name or else from its text (both set from event_id)."""
+    e = table(spark, sf, "events").select("event_id", F.expr(_RAW).alias("raw"), F.expr(_SAID).alias("said"))
+    return A.asset_identity(e, "raw", "said").select("event_id", "market", "ticker", "name", "display_name", "pair")
+
+
 # --- text and pages ---------------------------------------------------------------------------
 
 

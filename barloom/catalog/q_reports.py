@@ -72,6 +72,45 @@ def cell_gate_delta(spark, sf):
     return out.select(*CELL, "has_gated", "has_ungated", F.round(slog(F.col("delta_alpha")), 6).alias("delta_log"))
 
 
+@query("executive_headline", f"""WITH {HEALTH_SQL} SELECT gate, "window", {r('pass_rate', 'pass_rate')}, insufficient_count, {r(slog_sql('avg_strategy_return'), 'avg_return_log', 5)}, {r('avg_spot_return', 'avg_spot_return')} FROM he WHERE gate = 'gated'""")
+def executive_headline(spark, sf):
+    out = P.executive_headline(health(spark, sf))
+    return out.select("gate", "window", F.round("pass_rate", 6).alias("pass_rate"), "insufficient_count", F.round(slog(F.col("avg_strategy_return")), 5).alias("avg_return_log"), F.round("avg_spot_return", 6).alias("avg_spot_return"))
+
+
+_SIDES = [(g, c) for g in ("gated", "ungated") for c in ("alpha", "score")]
+_SIDES_SQL = ", ".join(r(slog_sql(f"{g}_{c}"), f"{g}_{c}", 5) for g, c in _SIDES) + ", " + ", ".join(r(slog_sql(f"(gated_{c} - ungated_{c})"), f"delta_{c}", 5) for c in ("alpha", "score"))
+
+
+def _sides(prefix: str = ""):
+    return [*[F.round(slog(F.col(f"{prefix}{g}_{c}")), 5).alias(f"{g}_{c}") for g, c in _SIDES], *[F.round(slog(F.col(f"delta_{c}")), 5).alias(f"delta_{c}") for c in ("alpha", "score")]]
+
+
+@query("core_delta", f"""WITH {RESULTS_SQL}, x AS (SELECT core, {', '.join(f"coalesce(avg({c}) FILTER (gate = '{g}'), 0) AS {g}_{c}" for g, c in _SIDES)},
+ count(*) FILTER (gate = 'gated') AS samples_gated, count(*) FILTER (gate = 'ungated') AS samples_ungated FROM wr GROUP BY 1)
+SELECT core, samples_gated, samples_ungated, {_SIDES_SQL} FROM x""")
+def core_delta(spark, sf):
+    return P.core_delta(results(spark, sf)).select("core", "samples_gated", "samples_ungated", *_sides("avg_"))
+
+
+@query("heatmap_cells", f"""WITH {RESULTS_SQL}, x AS (SELECT symbol, core, "window", {', '.join(f"coalesce(max({c}) FILTER (gate = '{g}'), 0) AS {g}_{c}" for g, c in _SIDES)},
+ coalesce(bool_or(beats_hold) FILTER (gate = 'gated'), false) AS gated_beats_hold, coalesce(bool_or(beats_hold) FILTER (gate = 'ungated'), false) AS ungated_beats_hold FROM wr GROUP BY 1, 2, 3)
+SELECT symbol, core, "window", gated_beats_hold, ungated_beats_hold, {_SIDES_SQL} FROM x""")
+def heatmap_cells(spark, sf):
+    return P.heatmap_cells(results(spark, sf)).select(*CELL, "gated_beats_hold", "ungated_beats_hold", *_sides())
+
+
+_ALL_RATE = """coalesce((SELECT pass_rate FROM he WHERE gate = '{}' AND "window" = 'all'), 0)"""
+
+
+@query("run_credibility", f"""WITH {HEALTH_SQL}, lo AS (SELECT (count(*) FILTER (trades <= 0 OR credibility_penalty >= 0.65::DOUBLE)) / count(*) AS share FROM ca WHERE side = 'long')
+SELECT {r('(SELECT share FROM lo)', 'low_credibility_ratio')}, {r(f"{_ALL_RATE.format('gated')} - {_ALL_RATE.format('ungated')}", 'delta_pass_rate')}""")
+def run_credibility(spark, sf):
+    """Share of low-credibility candidates of the gated runs, and the gate's gain in pass rate over the whole history."""
+    cands = daily_candidates(spark, sf).withColumn("gate", F.when(F.col("side") == "long", "gated").otherwise("ungated"))
+    return show(H.run_credibility(cands, P.gate_delta_by_window(health(spark, sf))), [], ["low_credibility_ratio", "delta_pass_rate"])
+
+
 @query("core_overview", f"""WITH {CELLS_SQL} SELECT core, count(*) AS samples, {r('coalesce(avg(gp::INT), 0)', 'gated_pass_rate')}, {r('coalesce(avg(up::INT), 0)', 'ungated_pass_rate')},
  {r(slog_sql('coalesce(avg(ga), 0)'), 'gated_avg_alpha_log', 5)} FROM ce GROUP BY 1""")
 def core_overview(spark, sf):

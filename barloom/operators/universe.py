@@ -69,9 +69,14 @@ def top_by_market_cap(coins: DataFrame, n: int) -> DataFrame:
     return ok.orderBy(F.desc("market_cap"), "base").limit(n).withColumn("rank", F.row_number().over(w))
 
 
-def explicit_list(coins: DataFrame, symbols: Sequence[str], quote: str) -> DataFrame:
-    """The given symbols in list order, duplicates dropped; base falls back to the symbol without its quote."""
+def explicit_list(coins: DataFrame, symbols: Sequence[str], quote: str, least: int = 0) -> DataFrame:
+    """The given symbols in list order, duplicates dropped; base falls back to the symbol without its quote.
+
+    Raises ValueError where fewer than `least` different symbols are given.
+    """
     wanted = list(dict.fromkeys(s.upper() for s in symbols))
+    if len(wanted) < least:
+        raise ValueError(f"{len(wanted)} of {least} symbols resolved")
     asked = coins.sparkSession.range(1).select(F.posexplode(F.array(*[F.lit(s) for s in wanted])).alias("at", "symbol"))
     base = F.coalesce("base", F.regexp_replace("symbol", F.lit(f"{quote}$"), F.lit("")))
     return asked.join(coins.select("symbol", "base"), "symbol", "left").select("symbol", base.alias("base"), (F.col("at") + 1).alias("rank"))

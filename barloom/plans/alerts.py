@@ -234,3 +234,31 @@ def conversion_score(invoices: DataFrame, paid: Column, keys: Sequence[str]) ->
     rate = 100.0 * F.col("paid") / F.col("initiated")
     bonus = F.least(F.lit(10.0), F.log2(F.greatest(F.lit(1), F.col("initiated"))) * 2.0)
     return c.withColumn("success_rate", rate).withColumn("score", _clamp(rate * 0.92 + bonus))
+
+
+# Names of the best-known assets.
+ASSET_NAMES = {
+    "BTC": "Bitcoin", "ETH": "Ethereum", "BNB": "Binance Coin", "XRP": "Ripple", "SOL": "Solana", "ADA": "Cardano", "DOGE": "Dogecoin", "TRX": "TRON",
+    "LTC": "Litecoin", "LINK": "Chainlink",
+}
+
+
+def market_symbol(raw: Column) -> Column:
+    """Letters of a market name in capitals, quoted in USDT; BTCUSDT where none are left."""
+    letters = F.regexp_replace(F.upper(F.coalesce(raw, F.lit(""))), "[^A-Z]", "")
+    return F.when(letters == "", "BTCUSDT").when(letters.endswith("USDT"), letters).otherwise(F.concat(letters, F.lit("USDT")))
+
+
+def asset_identity(events: DataFrame, raw: str, text: str) -> DataFrame:
+    """events plus market, ticker, name, display_name and pair.
+
+    The market comes from the column `raw`, where that is empty from a ticker before USDT in `text`.
+    """
+    named = F.trim(F.coalesce(raw, F.lit("")))
+    seen = F.regexp_extract(F.upper(F.coalesce(text, F.lit(""))), r"\b([A-Z]{2,10})USDT\b", 0)
+    out = events.withColumn("market", market_symbol(F.when(named != "", named).otherwise(seen)))
+    bare = F.replace("market", F.lit("USDT"), F.lit(""))
+    out = out.withColumn("ticker", F.when(bare == "", "BTC").otherwise(bare))
+    known = F.create_map(*[F.lit(x) for pair in ASSET_NAMES.items() for x in pair])
+    out = out.withColumn("name", F.coalesce(F.when(F.col("market") == F.concat("ticker", F.lit("USDT")), known[F.col("ticker")]), F.initcap("ticker")))
+    return out.withColumn("display_name", F.concat("name", F.lit(" ("), "ticker", F.lit(")"))).withColumn("pair", F.concat("ticker", F.lit("/USDT")))

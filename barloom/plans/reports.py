@@ -69,6 +69,29 @@ def cell_gate_delta(rows: DataFrame) -> DataFrame:
     )
 
 
+def executive_headline(health: DataFrame) -> DataFrame:
+    """Pass rate, insufficient windows and returns per window of the gated runs; of the first gate there is where none are gated."""
+    first = health.agg(F.coalesce(F.max(F.when(F.col("gate") == "gated", F.col("gate"))), F.min("gate")).alias("gate"))
+    return health.join(first, "gate", "left_semi").select("gate", "window", "pass_rate", "insufficient_count", "avg_strategy_return", "avg_spot_return")
+
+
+def core_delta(rows: DataFrame) -> DataFrame:
+    """Per core: mean margin and score with and without the gate, their differences, and the samples of both."""
+    z = F.lit(0.0)
+    mean = lambda g, c: F.coalesce(F.avg(F.when(F.col("gate") == g, F.col(c))), z)
+    out = rows.groupBy("core").agg(
+        *[mean(g, c).alias(f"avg_{g}_{c}") for g in GATES for c in ("alpha", "score")], *[F.count_if(F.col("gate") == g).alias(f"samples_{g}") for g in GATES])
+    return out.withColumns({f"delta_{c}": F.col(f"avg_gated_{c}") - F.col(f"avg_ungated_{c}") for c in ("alpha", "score")})
+
+
+def heatmap_cells(rows: DataFrame) -> DataFrame:
+    """Both gates of each (symbol, core, window): margin, score, verdict and differences, 0 and false where one is missing."""
+    values = ("alpha", "score", "beats_hold")
+    out = rows.groupBy(*CELL).agg(*[F.max(F.when(F.col("gate") == g, F.col(c))).alias(f"{g}_{c}") for g in GATES for c in values])
+    out = out.withColumns({f"{g}_{c}": F.coalesce(f"{g}_{c}", F.lit(False if c == "beats_hold" else 0.0)) for g in GATES for c in values})
+    return out.withColumns({f"delta_{c}": F.col(f"gated_{c}") - F.col(f"ungated_{c}") for c in ("alpha", "score")})
+
+
 def core_overview(cells: DataFrame) -> DataFrame:
     """Per core: samples, average margin and pass rate in each gate, and the difference."""
     z = F.lit(0.0)

@@ -172,3 +172,11 @@ def rollback_needed(runs: DataFrame, series: Sequence[str], measure: str, drop:
     out = last.groupBy(*series).agg(
         F.max(F.when(F.col("rn") == 1, F.col(measure))).alias("latest"), F.percentile(F.when(F.col("rn") > 1, F.col(measure)), F.lit(0.5)).alias("baseline"))
     return out.withColumn("rollback", F.coalesce(F.col("baseline") - F.col("latest") > drop, F.lit(False)))
+
+
+def run_credibility(candidates: DataFrame, deltas: DataFrame, gate: str = "gated", window: str = "all") -> DataFrame:
+    """One row: share of a gate's candidates that are hardly credible, and the gate's gain in pass rate in one window; 0 where there are none."""
+    weak = (F.col("trades") <= 0) | (F.col("credibility_penalty") >= 0.65)
+    share = candidates.where(F.col("gate") == gate).agg(F.coalesce(F.count_if(weak) / F.nullif(F.count("*"), F.lit(0)), F.lit(0.0)).alias("low_credibility_ratio"))
+    gain = deltas.where(F.col("window") == window).agg(F.coalesce(F.max("delta_pass_rate"), F.lit(0.0)).alias("delta_pass_rate"))
+    return share.join(gain)  # one row each
