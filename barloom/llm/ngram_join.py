@@ -330,7 +330,8 @@ def similar_groups(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, g
     others = F.when(F.col("slices") == 1, F.array(F.lit("0-0"))).otherwise(F.transform(
         F.filter(F.sequence(F.lit(0), F.col("slices") - 1), lambda j: j != mine), lambda j: F.concat_ws("-", F.least(j, mine), F.greatest(j, mine))))
     placed = placed.select("doc_id", F.explode(others).alias("slice"), "component").select("doc_id", F.concat_ws(":", "component", "slice").alias("part")).distinct()
-    parts = known.hint("merge").join(placed, "doc_id")  # the groups grow with the documents: never broadcast.mapInArrow(_shipped(n), "part string, doc_id long, elements binary")
+    # the groups grow with the documents, so they are never broadcast
+    parts = known.hint("merge").join(placed, "doc_id").mapInArrow(_shipped(n), "part string, doc_id long, elements binary")
     links = parts.repartition("part").sortWithinPartitions("part").mapInArrow(_joined(num, den), "a long, b long")
     final = connected(links.unionByName(equal), "op3-links")
     return rows.join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
