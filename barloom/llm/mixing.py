@@ -52,7 +52,7 @@ def target_shares(cells: DataFrame, margin: str, power: float, wanted: dict[str,
     return sums.crossJoin(F.broadcast(total)).select(f"mx_{margin}", (F.col("goal") / F.col("all")).alias("target"))  # total is one row
 
 
-def raked(cells: DataFrame, powers: dict[str, float], wanted: dict[str, dict[str, float]], tolerance: float = 1e-13, rounds: int = 300) -> DataFrame:
+def raked(cells: DataFrame, powers: dict[str, float], wanted: dict[str, dict[str, float]], tolerance: float = 1e-6, rounds: int = 300) -> DataFrame:
     """Cells with their raked weight; the rounds end where every margin is within `tolerance` of its target."""
     goals = {m: stage(target_shares(cells, m, powers.get(m, 0.5), wanted.get(m)), f"op1-{m}") for m in MARGINS}
     total = cells.agg(F.sum("tokens").alias("all"))
@@ -79,10 +79,10 @@ def draw(doc_id: Column, text: Column, seed: str = "") -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.coalesce(doc_id.cast("string"), text), F.lit(seed))), 1, 12), 16, 10).cast("double") / float(1 << 48)
 
 
-def drawn(rows: DataFrame, powers: dict[str, float] | None = None, wanted: dict[str, dict[str, float]] | None = None) -> DataFrame:
+def drawn(rows: DataFrame, powers: dict[str, float] | None = None, wanted: dict[str, dict[str, float]] | None = None, tolerance: float = 1e-6) -> DataFrame:
     """Described rows plus mx_probability and mx_kept."""
     sums = rows.groupBy("mx_source", "mx_lang", "mx_topic").agg(F.sum("mx_tokens").alias("tokens"))
-    cells = raked(stage(sums, "op1-cells"), powers or {}, wanted or {})
+    cells = raked(stage(sums, "op1-cells"), powers or {}, wanted or {}, tolerance)
     ratio = cells.withColumn("ratio", F.col("weight") / F.col("tokens"))
     top = ratio.agg(F.max("ratio").alias("top"))
     chance = stage(ratio.crossJoin(F.broadcast(top)).select("mx_source", "mx_lang", "mx_topic", (F.col("ratio") / F.col("top")).alias("mx_probability")), "op1-chances")
@@ -92,12 +92,13 @@ def drawn(rows: DataFrame, powers: dict[str, float] | None = None, wanted: dict[
     return out.withColumn("mx_kept", F.col("mx_draw") < F.col("mx_probability")).select(*rows.columns, "mx_probability", "mx_kept")
 
 
-def mixed(docs: DataFrame, powers: dict[str, float] | None = None, wanted: dict[str, dict[str, float]] | None = None, seed: str = "") -> DataFrame:
+def mixed(docs: DataFrame, powers: dict[str, float] | None = None, wanted: dict[str, dict[str, float]] | None = None, seed: str = "", tolerance: float = 1e-6) -> DataFrame:
     """docs plus mx_source, mx_lang, mx_topic, mx_tokens, mx_draw, mx_probability, mx_kept.
 
     docs: doc_id, text, lang, source, more columns allowed. Null lang or source is the value
     "unknown". A document without words weighs nothing and is not drawn. powers: exponent per margin
     (0.5 where none is given), wanted: given weights per margin, which replace the exponent; values
     that they leave out get nothing. Repeated rows are drawn together, as the draw depends on doc_id.
+    Every margin ends within `tolerance` of its target share.
     """
-    return drawn(described(docs, seed), powers, wanted)
+    return drawn(described(docs, seed), powers, wanted, tolerance)
