@@ -217,7 +217,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
     the payload does not have its digest; such a record has no payload.
     """
     rows = spark.read.format("binaryFile").load(path).select("content").mapInArrow(_parsed, PARSED)
-    rows = stage(rows, "op8-records")
+    # read twice, once for whole records and once for segments: parsing is cheaper than a copy of all blocks
     single = rows.where("segment IS NULL").select("record_id", "warc_type", "url", "refers_to", "digest", "total", F.array("block").alias("blocks"), F.array(F.lit(1)).alias("numbers"))
     parts = rows.where("segment IS NOT NULL").withColumn("record_id", F.coalesce("origin", "record_id")).groupBy("record_id").agg(
         *[F.max(F.when(F.col("segment") == 1, F.col(c))).alias(c) for c in ("warc_type", "url", "refers_to", "digest")], F.coalesce(F.max("total"), F.lit(-1)).alias("total"),
