@@ -62,9 +62,10 @@ def raked(cells: DataFrame, powers: dict[str, float], wanted: dict[str, dict[str
     for _ in range(0, rounds, ROUNDS_A_WRITE):
         for m in MARGINS * ROUNDS_A_WRITE:
             key = f"mx_{m}"
-            factor = now.groupBy(key).agg(F.sum("weight").alias("is")).join(goals[m], key).select(
+            factor = now.groupBy(key).agg(F.sum("weight").alias("is")).join(goals[m].hint("merge"), key).select(
                 key, F.when(F.col("is") > 0, F.col("target") / F.col("is")).otherwise(0.0).alias("factor"), F.abs(F.col("is") - F.col("target")).alias("off"))
-            now = now.join(factor, key).withColumn("weight", F.col("weight") * F.col("factor"))
+            # many small broadcasts would pile up on the driver
+            now = now.join(factor.hint("merge"), key).withColumn("weight", F.col("weight") * F.col("factor"))
             now = now.drop("factor", f"off_{m}").withColumnRenamed("off", f"off_{m}")
         now = stage(now, "op1-weights")
         worst = now.agg(F.greatest(*[F.max(f"off_{m}") for m in MARGINS])).first()[0]
