@@ -26,7 +26,7 @@ FILE_RECORDS = 1000  # records of an archive file, so a file stays under 16 MB u
 CRLF = b"\r\n"
 HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-PARSED = "record_id string, warc_type string, url string, refers_to string, digest string, origin string, segment int, total long, block binary"
+PARSED = "record_id string, warc_type string, url string, refers_to string, digest string, origin string, segment int, total long, block binary, payload_bytes long, complete boolean, payload binary"
 
 
 def sha1_32(data: bytes) -> str:
@@ -147,25 +147,43 @@ def _built(segment: int):
     return run
 
 
-def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bare = lambda v: v.strip("<>") if v else None
-    for b in batches:
-        for raw in b.column("content"):
-            rows, size = [], 0
+def payload_of(kind: str, block: bytes, digest: str | None) -> tuple[bool, bytes | None]:
+    """Whether a whole block is sound, and the payload of a response."""
+    if kind != "response":
+        return True, None
+    try:
+        payload = unframed(block[block.index(b"\r\n\r\n") + 4:])
+    except ValueError:
+        return False, None
+    return (True, payload) if sha1_32(payload) == digest else (False, None)
 
-            def batch(rows):
-                kinds = [pa.string()] * 6 + [pa.int32(), pa.int64(), pa.binary()]
-                return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], [x.split()[0] for x in PARSED.split(", ")])
 
-            for f, block in records_of(unpacked(raw.as_buffer().to_pybytes())):
-                number, total = f.get("warc-segment-number"), f.get("warc-segment-total-length")
-                digest = f.get("warc-payload-digest", "").removeprefix("sha1:") or None
-                rows.append((bare(f["warc-record-id"]), f["warc-type"], f.get("warc-target-uri"), bare(f.get("warc-refers-to")), digest, bare(f.get("warc-segment-origin-id")), int(number) if number else None, int(total) if total else None, block))
-                size += len(block)
-                if size > 1 << 22:
-                    yield batch(rows)
-                    rows, size = [], 0
-            yield batch(rows)
+def _parsed(payloads: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bare = lambda v: v.strip("<>") if v else None
+        for b in batches:
+            for raw in b.column("content"):
+                rows, size = [], 0
+
+                def batch(rows):
+                    kinds = [pa.string()] * 6 + [pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.bool_(), pa.binary()]
+                    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], [x.split()[0] for x in PARSED.split(", ")])
+
+                for f, block in records_of(unpacked(raw.as_buffer().to_pybytes())):
+                    number, total = f.get("warc-segment-number"), f.get("warc-segment-total-length")
+                    digest = f.get("warc-payload-digest", "").removeprefix("sha1:") or None
+                    ok = size_of = payload = None
+                    if not number:  # a whole record is decoded here, only segments travel on
+                        ok, payload = payload_of(f["warc-type"], block, digest)
+                        size_of = None if payload is None else len(payload)
+                    rows.append((bare(f["warc-record-id"]), f["warc-type"], f.get("warc-target-uri"), bare(f.get("warc-refers-to")), digest, bare(f.get("warc-segment-origin-id")), int(number) if number else None, int(total) if total else None, block if number else None, size_of, ok, payload if payloads else None))
+                    size += len(block)
+                    if size > 1 << 22:
+                        yield batch(rows)
+                        rows, size = [], 0
+                yield batch(rows)
+
+    return run
 
 
 def _decoded(payloads: bool):
@@ -175,13 +193,8 @@ def _decoded(payloads: bool):
             kinds, said = b.column("warc_type").to_pylist(), b.column("digest").to_pylist()
             for k, (parts, numbers) in enumerate(zip(b.column("blocks"), b.column("numbers").to_pylist(), strict=True)):
                 block = b"".join(p.as_buffer().to_pybytes() for p in parts.values)
-                payload, ok = None, numbers == list(range(1, len(numbers) + 1)) and (len(numbers) == 1 and total[k] is None or total[k] == len(block))
-                if ok and kinds[k] == "response":
-                    try:
-                        payload = unframed(block[block.index(b"\r\n\r\n") + 4:])
-                        ok = sha1_32(payload) == said[k]
-                    except ValueError:
-                        ok = False
+                ok = numbers == list(range(1, len(numbers) + 1)) and total[k] == len(block)
+                ok, payload = payload_of(kinds[k], block, said[k]) if ok else (False, None)
                 whole.append(ok)
                 sizes.append(len(payload) if ok and payload is not None else None)
                 digests.append(said[k])
@@ -216,14 +229,14 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
     complete is false where a segment is missing, the total length differs, the framing is broken or
     the payload does not have its digest; such a record has no payload.
     """
-    rows = spark.read.format("binaryFile").load(path).select("content").mapInArrow(_parsed, PARSED)
-    # read twice, once for whole records and once for segments: parsing is cheaper than a copy of all blocks
-    single = rows.where("segment IS NULL").select("record_id", "warc_type", "url", "refers_to", "digest", "total", F.array("block").alias("blocks"), F.array(F.lit(1)).alias("numbers"))
+    rows = spark.read.format("binaryFile").load(path).select("content").mapInArrow(_parsed(payloads), PARSED)
+    rows = stage(rows, "op8-records")
+    single = rows.where("segment IS NULL").select("record_id", "warc_type", "url", "refers_to", "digest", "payload_bytes", "complete", "payload")
     parts = rows.where("segment IS NOT NULL").withColumn("record_id", F.coalesce("origin", "record_id")).groupBy("record_id").agg(
         *[F.max(F.when(F.col("segment") == 1, F.col(c))).alias(c) for c in ("warc_type", "url", "refers_to", "digest")], F.coalesce(F.max("total"), F.lit(-1)).alias("total"),
         F.array_sort(F.collect_list(F.struct("segment", "block"))).alias("list"))
     parts = parts.select("record_id", "warc_type", "url", "refers_to", "digest", F.col("total").cast("long"), F.col("list.block").alias("blocks"), F.col("list.segment").alias("numbers"))
-    return single.unionByName(parts).mapInArrow(_decoded(payloads), "record_id string, warc_type string, url string, refers_to string, digest string, payload_bytes long, complete boolean, payload binary")
+    return single.unionByName(parts.mapInArrow(_decoded(payloads), "record_id string, warc_type string, url string, refers_to string, digest string, payload_bytes long, complete boolean, payload binary"))
 
 
 def round_trip(pages: DataFrame, segment: int = SEGMENT, least: int = 0) -> DataFrame:
