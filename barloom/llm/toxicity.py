@@ -178,15 +178,19 @@ def stem_sets(data, offsets, powers: Powers) -> Iterator[np.ndarray]:
         yield np.unique(what[order[cut[t]:cut[t + 1]]])
 
 
-def _sketched(batches):
-    """doc_id, y and the smallest word hash of each text: near copies mostly agree in it."""
-    powers = Powers()
+def _fingerprinted(batches):
+    """doc_id, y, text and a 128-bit fingerprint of the set of words of each text."""
+    powers, salts = Powers(), (np.uint64(0), np.uint64(0xA0761D6478BD642F))
     for b in batches:
         for at, end, data, offsets in chunks(b.column("text")):
             owner, _, _, code = split_words(data, offsets, powers, marks=True)
-            low = np.full(end - at, np.iinfo(np.uint64).max, np.uint64)
-            np.minimum.at(low, owner, mix(code))
-            yield pa.RecordBatch.from_arrays([*(b.column(c).slice(at, end - at) for c in ("doc_id", "y", "text")), pa.array(low.view(np.int64))], ["doc_id", "y", "text", "sketch"])
+            order = np.lexsort((code, owner))
+            owner, code = owner[order], code[order]
+            first = np.r_[True, (owner[1:] != owner[:-1]) | (code[1:] != code[:-1])] if len(code) else np.zeros(0, bool)
+            prints = np.zeros((2, end - at), np.uint64)
+            for k, salt in enumerate(salts):
+                np.add.at(prints[k], owner[first], mix(code[first] ^ salt))
+            yield pa.RecordBatch.from_arrays([*(b.column(c).slice(at, end - at) for c in ("doc_id", "y", "text")), *(pa.array(x.view(np.int64)) for x in prints)], ["doc_id", "y", "text", "set_a", "set_b"])
 
 
 def _counted(batches):
@@ -221,9 +225,12 @@ def _strong(least_docs: int, least_share: float):
 
 
 def learn_stems(train: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Word beginnings that mark toxic documents, and their weights. Near copies count once."""
-    one = train.mapInArrow(_sketched, "doc_id long, y int, text string, sketch long")
-    first = one.groupBy("sketch", "y").agg(F.min_by("text", "doc_id").alias("text")).select("y", "text")
+    """Word beginnings that mark toxic documents, and their weights.
+
+    Rows of one label with the same set of words count once; every other row counts.
+    """
+    one = train.mapInArrow(_fingerprinted, "doc_id long, y int, text string, set_a long, set_b long")
+    first = one.groupBy("set_a", "set_b", "y").agg(F.min_by("text", "doc_id").alias("text")).select("y", "text")
     counts = first.mapInArrow(_counted, "block int, counts binary").groupBy("block").applyInArrow(_strong(LEAST_DOCS, LEAST_SHARE), "stem long, clean long, toxic long")
     total = None
     rows = counts.orderBy(F.desc(F.col("stem") < 0), F.desc(F.col("toxic") / (F.col("clean") + 1)), "stem").limit(MOST_STEMS + 1).collect()

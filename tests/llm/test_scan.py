@@ -129,6 +129,23 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.scored(frame(spark, []), known).count() == 0
 
 
+def test_texts_that_share_a_word_all_count(spark):
+    """One common word in every text: each distinct set of words still counts, repeated sets once a label."""
+    common = "the of and to in is that for it was"
+    rows = [(k, f"{common} clean{k}zz", 0) for k in range(60)] + [(100 + k, f"{common} item{k}yy blargen", 1) for k in range(12)]
+    again = [(200 + k, f"blargen, ITEM{k}yy {common}!", 1) for k in range(12)] + [(300, "", 0), (301, None, 0)]
+    train = spark.createDataFrame(rows + again, "doc_id long, text string, y int").withColumn("text", F.coalesce("text", F.lit("")))
+    prints = [(r.set_a, r.set_b, r.y) for r in train.mapInArrow(toxicity._fingerprinted, "doc_id long, y int, text string, set_a long, set_b long").collect()]
+    assert len(prints) == 86 and len(set(prints)) == 60 + 12 + 1
+    stems, weights = toxicity.learn_stems(train)
+    powers = toxicity.Powers()
+    data = np.frombuffer(b"blargen", np.uint8)
+    stem = int(toxicity.range_hashes(toxicity.byte_sums(data, powers), powers, np.array([0]), np.array([7]))[0]) % toxicity.BUCKETS * 8 + 7
+    # 12 of 12 toxic texts and none of 61 clean ones
+    odds = np.log(12.5 / 13) - np.log(0.5 / 62)
+    assert abs(dict(zip(stems.tolist(), weights.tolist(), strict=True))[stem] - odds / 3) < 1e-9
+
+
 def test_grammar_scores_clauses():
     from barloom.llm.base import Powers, byte_sums, range_hashes
 
