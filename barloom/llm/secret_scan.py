@@ -3,7 +3,9 @@
 Strong patterns stand for themselves. Weak parts - account names, opaque tokens, endpoints - are far
 too common alone: an interval join inside the text looks for complementary parts within SCOPE code
 points of the same paragraph, and a weak part is reported only where it finds them: a token needs an
-identifier, an identifier a secret, an endpoint both.
+identifier, an identifier a secret, an endpoint both. An opaque token is a whole run of letters,
+digits and +/_=- from 16 characters on, however long, with a letter and a digit; a variable name
+joined to it by a sign belongs to the run.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{24,}"  # the runs of [0-9a-f]+ that have 24 characters
 IDENT = r"""(?:user(?:name)?|login|account|client_?id|access_?key_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,}"""
-WEAK = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{16,64}(?![A-Za-z0-9+/_=-])"
+WEAK = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{16,}+"
 ENDPOINT = r"""(?:https?|s3|ftp|jdbc|postgres|mysql|redis|amqp)://[^\s"'<>|]+"""
 ASSIGN_WORDS = (b"passw", b"secret", b"token", b"apikey", b"api_key")
 IDENT_WORDS = (b"user", b"login", b"account", b"client", b"access")
