@@ -10,6 +10,7 @@ from barloom.catalog.q_rules import bollinger_rows_sql, ema_rows_sql, numbered_s
 from barloom.plans import backtest as BT
 from barloom.plans import rules as R
 from barloom.plans import sweep as S
+from barloom.session import stage
 
 RULE = ["symbol", "rule_id"]
 
@@ -185,8 +186,17 @@ def rejections(spark, sf):
 
 
 @query("full_sweep")
-def full_sweep(spark, sf):
-    """All rules of seven indicator families in every look-back window of the hourly bars: best five per set."""
-    cands = S.indicator_sweep(hourly(spark, sf), [f for f in R.GRIDS if f != "rsi"], "1h")
-    out = S.score(cands).where("rank <= 5")
-    return out.select("symbol", "family", "window", "rule_id", "trades", F.round("score", 6).alias("score"), "rank")
+def full_sweep(spark, sf, timeframes=("15m", "1h")):
+    """All rules of eight indicator families and six feature cores, ungated and gated by the fixed
+    fusion, long and inverse, in every look-back window of each timeframe: best five per set."""
+    from barloom.catalog.q_features import features_of, sweep_inputs
+
+    feats, minute = features_of(spark, sf)
+    feats, cands = stage(feats, "features"), None
+    for t in timeframes:
+        bars, aligned, fusion = sweep_inputs(feats, minute, t)
+        part = S.indicator_sweep(bars, list(R.GRIDS), t, gate=fusion, inverse=True, features=aligned, cores=sorted({c.core for c in R.CORE_RULES.values()}))
+        part = part.withColumn("timeframe", F.lit(t))
+        cands = part if cands is None else cands.unionByName(part)
+    out = S.score(cands, [*S.SET_KEYS, "timeframe"]).where("rank <= 5")
+    return out.select("symbol", "timeframe", "family", "gate", "window", "side", "rule_id", "trades", F.round("score", 6).alias("score"), "rank")

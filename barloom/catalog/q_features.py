@@ -314,20 +314,25 @@ ws AS (SELECT *, 'ungated' AS gate, 'long' AS side FROM w0 UNION ALL SELECT w0.*
 {SCORING_SQL} SELECT symbol, family, gate, "window", rule_id, trades, {r('score', 'score', 5)}, rank FROM sc"""
 
 
-@query("core_sweep", f"WITH {_core_sweep_sql()}")
-def core_sweep(spark, sf):
-    """Two feature cores (24 rules) on hourly bars, ungated and gated by the fixed fusion, in every look-back window."""
+def sweep_inputs(feats, minute, step):
+    """Bars of `step`, the columns of all cores on them, and their fixed fusion."""
     from barloom.operators.series import by_blocks, number_bars
-    from barloom.plans import sweep as S
 
-    feats, minute = features_of(spark, sf)
-    bars = stage(number_bars(B.resample(minute, "1h"), step="1h"), "hour-bars")
+    bars = stage(number_bars(B.resample(minute, step), step=step), "sweep-bars")
     used = {f for c in R.CORE_RULES.values() for f, _, _ in (*c.entry, *c.exit)} | {FU.FIXED_COLUMNS[f][0] for f in FU.FAMILIES}
-    last = B.resample_last(feats, "1h", sorted(used))
+    last = B.resample_last(feats, step, sorted(used))
     ret = by_blocks(bars, ["symbol"], lambda df, w: df.withColumn("ret", F.col("close") / F.lag("close").over(w) - 1.0), 1)
     index = ret.select("symbol", "ts", "pos", "ret", "close")
     aligned = stage(B.align_to_index(index, last, sorted(used), 7 * 86_400), "aligned")
-    fusion = stage(FU.fixed_fusion(aligned).select("symbol", "ts", "fusion_score", "confidence"), "fusion")
+    return bars, aligned, stage(FU.fixed_fusion(aligned).select("symbol", "ts", "fusion_score", "confidence"), "fusion")
+
+
+@query("core_sweep", f"WITH {_core_sweep_sql()}")
+def core_sweep(spark, sf):
+    """Two feature cores (24 rules) on hourly bars, ungated and gated by the fixed fusion, in every look-back window."""
+    from barloom.plans import sweep as S
+
+    bars, aligned, fusion = sweep_inputs(*features_of(spark, sf), "1h")
     sig = R.core_signals(aligned, "timing_efficiency").unionByName(R.core_signals(aligned, "mean_reclaim"))
     windows = S.window_table(bars, min_bars=20)
     runs = S.gated_runs(S.signals_by_window(sig, windows, "1h"), fusion)

@@ -20,6 +20,7 @@ CREDIBLE_PENALTY = 0.80
 DRAWDOWN_FLOOR = -0.35
 SET_KEYS = ["symbol", "family", "gate", "window", "side"]
 SEGMENT_ROWS = 8_192
+TASK_ROWS = 1_000_000  # rule x bar x window rows of one task
 
 
 def window_table(bars: DataFrame, keys: Sequence[str] = ("symbol",), base_floor: int = 100, overrides: dict[str, int] | None = None,
@@ -134,25 +135,41 @@ def rejections(cands: DataFrame, keys: Sequence[str] = SET_KEYS) -> DataFrame:
     )
 
 
+def spread(states: DataFrame, rules: int) -> DataFrame:
+    """Even tasks before the rules multiply the rows, by rows to come: adaptive execution sees only the bytes before."""
+    return states.repartition(max(1, -(-states.count() * rules * len(LOOKBACKS) // TASK_ROWS)))
+
+
 def indicator_sweep(
     bars: DataFrame, families: Sequence[str], step: str, keys: Sequence[str] = ("symbol",), bps: float = 10.0,
     rows: int = BLOCK_ROWS, gate: DataFrame | None = None, inverse: bool = False, min_bars: int = MIN_WINDOW_BARS,
+    features: DataFrame | None = None, cores: Sequence[str] = (),
 ) -> DataFrame:
-    """Candidates of all rules of `families`. `gate` adds gated runs: (symbol, ts, fusion_score, confidence)."""
+    """Candidates of all rules of `families`. `gate` adds gated runs: (symbol, ts, fusion_score, confidence).
+
+    `cores` adds the rules of those feature cores, from `features` on the same bars (see `core_signals`).
+    """
     bars = stage(bars, "bars")
     windows = window_table(bars, keys, min_bars=min_bars)
     sig = None
     for f in families:
-        spread = R.indicator_states(bars, f, keys, rows).repartition(*keys, "ts")  # even tasks before rules multiply the rows
-        states = stage(spread, f"states-{f}")
-        part = R.expand_rules(states, f, keys)
+        states = stage(R.indicator_states(bars, f, keys, rows), f"states-{f}")
+        part = R.expand_rules(spread(states, len(R.rule_grid(f))), f, keys)
+        sig = part if sig is None else sig.unionByName(part)
+    for c in cores:
+        part = R.core_signals(features, c, keys, rows)  # a few dozen rules
         sig = part if sig is None else sig.unionByName(part)
-    runs = gated_runs(signals_by_window(sig, windows, step, keys), gate, keys, inverse)
+    levels = None
+    if gate is not None:  # from the bars: each rule has a row of every bar
+        inside = signals_by_window(bars.select(*keys, "ts"), windows, step, keys)
+        levels = stage(R.gate_levels(inside.join(gate, [*keys, "ts"]), [*keys, "window"]), "gate-levels")
+    runs = gated_runs(signals_by_window(sig, windows, step, keys), gate, keys, inverse, levels)
     return stage(candidates(runs, windows, bps), "candidates")
 
 
-def gated_runs(signals: DataFrame, scores: DataFrame | None = None, keys: Sequence[str] = ("symbol",), inverse: bool = False) -> DataFrame:
-    """Rows per gate and side.
+def gated_runs(signals: DataFrame, scores: DataFrame | None = None, keys: Sequence[str] = ("symbol",), inverse: bool = False,
+               levels: DataFrame | None = None) -> DataFrame:
+    """Rows per gate and side. `levels`: the gate levels of (keys, window) where they are known.
 
     Gated entries need score and confidence of the window. The inverse side swaps the entries and
     exits of the long side (gated ones included) and asks for the opposite score.
@@ -166,7 +183,8 @@ def gated_runs(signals: DataFrame, scores: DataFrame | None = None, keys: Sequen
 
     out = sides(signals, "ungated", None)
     if scores is not None:
-        levels = R.gate_levels(signals.select(*keys, "window", "ts").distinct().join(scores, [*keys, "ts"]), [*keys, "window"])
+        if levels is None:
+            levels = R.gate_levels(signals.select(*keys, "window", "ts").distinct().join(scores, [*keys, "ts"]), [*keys, "window"])
         opened = signals.join(scores, [*keys, "ts"], "left").join(levels, [*keys, "window"], "left")
         opened = opened.withColumn("entry", F.col("entry") & R.gate_long())
         gated = sides(opened, "gated", R.gate_inverse())

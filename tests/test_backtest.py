@@ -134,3 +134,45 @@ def test_meta_veto_fails_a_row(spark):
     meta = spark.createDataFrame([("A", True), ("B", False), ("C", True)], "symbol string, veto_all boolean")
     got = {r.symbol: (r.passes, list(r.failed_reasons)) for r in V.with_meta_veto(rows, meta, ["symbol"]).collect()}
     assert got == {"A": (False, ["meta_precision_floor"]), "B": (True, []), "C": (False, ["pbo", "meta_precision_floor"])}
+
+
+def test_full_sweep_takes_all_families_cores_gates_and_timeframes(spark, monkeypatch):
+    """What the registered sweep asks for, with the sweep itself replaced by a note of its arguments."""
+    from barloom.catalog import q_backtest, q_features
+
+    asked = []
+    monkeypatch.setattr(q_features, "features_of", lambda spark, sf: (spark.range(1), None))
+    monkeypatch.setattr(q_features, "sweep_inputs", lambda feats, minute, t: (f"bars-{t}", f"features-{t}", f"fusion-{t}"))
+    names = [*S.SET_KEYS, "rule_id", "trades", "score", "rank"]
+    empty = spark.createDataFrame([], ", ".join(f"{c} {'double' if c == 'score' else 'int' if c in ('trades', 'rank') else 'string'}" for c in names))
+    monkeypatch.setattr(S, "indicator_sweep", lambda *a, **k: asked.append((a, k)) or empty)
+    monkeypatch.setattr(S, "score", lambda cands, keys: cands)
+    assert {"timeframe", "gate", "side"} <= set(q_backtest.full_sweep(spark, "none").columns)
+    assert [a[2] for a, _ in asked] == ["15m", "1h"]
+    for (bars, families, t), k in asked:
+        assert sum(len(R.rule_grid(f)) for f in families) == 1889 and sum(len(R.core_rule_grid(c)) for c in k["cores"]) == 132
+        assert (bars, k["features"], k["gate"], k["inverse"]) == (f"bars-{t}", f"features-{t}", f"fusion-{t}", True)
+
+
+def test_cores_and_gates_in_one_sweep(spark):
+    """Every rule of a family and of all cores is a candidate of every gate, side and window; gate levels from bars are those from signals."""
+    n, g = 150, np.random.default_rng(3)
+    rows = pd.DataFrame({"symbol": "A", "ts": pd.date_range("2024-01-01", periods=n, freq="h", tz="UTC"), "pos": np.arange(n), "close": 100 * np.exp(np.cumsum(g.normal(0, 0.01, n)))})
+    rows["open"] = rows["high"] = rows["low"] = rows["close"]
+    rows["volume"], rows["ret"] = 1.0, rows["close"].pct_change()
+    for c in sorted({f for c in R.CORE_RULES.values() for f, _, _ in (*c.entry, *c.exit)}):
+        rows[c] = g.normal(0, 1, n)
+    rows["fusion_score"], rows["confidence"] = g.normal(0, 1, n), g.uniform(0, 1, n)
+    df = spark.createDataFrame(rows)
+    bars, gate = df.select("symbol", "ts", "pos", "open", "high", "low", "close", "volume"), df.select("symbol", "ts", "fusion_score", "confidence")
+    cores = sorted({c.core for c in R.CORE_RULES.values()})
+    got = S.indicator_sweep(bars, ["bollinger"], "1h", gate=gate, inverse=True, features=df, cores=cores).toPandas()
+    sizes = got.groupby(["family", "gate", "side", "window"])["rule_id"].nunique()
+    assert len(cores) == 6 and len(sizes) == 7 * 2 * 2 * 4 and len(got) == sizes.sum()
+    for (family, *_), size in sizes.items():
+        assert size == len(R.rule_grid(family) if family == "bollinger" else R.core_rule_grid(family))
+    windows = S.window_table(bars)
+    one = S.gated_runs(S.signals_by_window(R.core_signals(df, "mean_reclaim"), windows, "1h"), gate, inverse=True)
+    want = S.candidates(one, windows).toPandas()
+    both = want.merge(got, on=["family", "gate", "side", "window", "rule_id"], suffixes=("", "_got"))
+    assert len(both) == len(want) and (both["trades"] == both["trades_got"]).all() and np.allclose(both["net_return"], both["net_return_got"])
