@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import decontaminate, exact_dedup, mixing, ngram_join, preference, quality, secret_scan, suffix_dedup, toxicity, warc
+from barloom.llm import collocation, decontaminate, exact_dedup, filter_audit, mixing, ngram_join, packing, preference, quality, secret_scan, suffix_dedup, toxicity, warc
 from barloom.llm.base import stage, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -168,6 +170,70 @@ SELECT p.pair_id, p.prompt_turns,
        coalesce(max(CASE WHEN part = 'rejected' THEN text END), '') AS rejected, coalesce(max(CASE WHEN part = 'rejected' THEN spans END), '') AS rejected_spans
 FROM p LEFT JOIN o USING (pair_id) GROUP BY 1, 2"""
 
+# Operator 11 ------------------------------------------------------------------------------------
+
+
+def op11_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    """Best phrases of each language by the contract's score."""
+    return collocation.collocations(table(spark, sf, "documents").select("text", "lang"), least=30, share=80, top=2000)
+
+
+OP11_SQL = r"""
+WITH p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+           FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+g AS (SELECT lang, k, w[i:i + k - 1] AS g FROM p, (SELECT unnest([1, 2, 3, 4]) AS k), LATERAL (SELECT unnest(range(1, len(w) - k + 2)) AS i) WHERE len(w) >= k),
+n AS (SELECT lang, count(*) AS n FROM g WHERE k = 1 GROUP BY 1),
+f AS (SELECT lang, k, g, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
+cut AS (SELECT c.lang, c.k, c.g, c.f AS a, x.f AS l, y.f AS r, h, CAST((CAST(c.f AS HUGEINT) * 2000000) // (x.f + y.f) AS BIGINT) AS score
+        FROM f c, LATERAL (SELECT unnest(range(1, c.k)) AS h) JOIN f x ON x.lang = c.lang AND x.g = c.g[:h] JOIN f y ON y.lang = c.lang AND y.g = c.g[h + 1:] WHERE c.k > 1),
+s AS (SELECT lang, k, g, a, min(struct_pack(score := score, h := h, l := l, r := r)) AS b FROM cut GROUP BY ALL),
+inner_ AS (SELECT lang, g[i:i + m - 1] AS g, max(f) AS around FROM f, (SELECT unnest([2, 3]) AS m), LATERAL (SELECT unnest(range(1, k - m + 2)) AS i) WHERE m < k GROUP BY ALL),
+o AS (SELECT lang, array_to_string(g, ' ') AS phrase, a, b.l AS l, b.r AS r, b.score AS score FROM s LEFT JOIN inner_ USING (lang, g) WHERE around IS NULL OR 100 * around < 80 * a),
+z AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM o)
+SELECT lang, rank, phrase, a, l, r, n, score FROM z JOIN n USING (lang) WHERE rank <= 2000"""
+
+# Operator 12 ------------------------------------------------------------------------------------
+
+
+def op12_packing(spark: SparkSession, sf: str) -> DataFrame:
+    """Pieces of all documents with their place in sequences of 2048 tokens."""
+    import public_tokenizers
+
+    vocabulary = Path(public_tokenizers.path("word_bpe_49k.json")).read_text(encoding="utf-8")  # a few MB; its tokens never reach over white space
+    out = packing.packed_documents(table(spark, sf, "documents"), vocabulary, size=2048, end=0, by_words=True, ids=False)
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+# Operator 13 ------------------------------------------------------------------------------------
+
+
+def op13_filter_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """What each of five filters removes per source, in every order."""
+    docs = table(spark, sf, "documents").select("doc_id", "text", "source")
+    out = filter_audit.audit(docs, table(spark, sf, "labels"))
+    return out.select("part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley")
+
+
+def audit_sql(letters: str = "ABCDE") -> str:
+    steps = ", ".join(f"('{''.join(p)}', {k + 1}, {sum(1 << letters.index(x) for x in p[:k])}, {1 << letters.index(p[k])})" for p in itertools.permutations(letters) for k in range(len(letters)))
+    return rf"""
+WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^ 	-]+') AS w, min(doc_id) OVER (PARTITION BY t) AS first FROM t),
+m AS (SELECT doc_id, part, CAST(len(w) < 200 AS INT) + 2 * CAST(100 * len(list_distinct(w)) < 50 * len(w) AS INT)
+             + 4 * CAST(100 * (length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 2 * length(t) AS INT)
+             + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INT) + 16 * CAST(coalesce(doc_id > first, false) AS INT) AS mask FROM w),
+l AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY 1),
+c AS (SELECT part, mask, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM m LEFT JOIN l USING (doc_id) GROUP BY ALL),
+s(filter_order, step, before, bit) AS (VALUES {steps}),
+o AS (SELECT part, filter_order, step, bit, coalesce(sum(n) FILTER (mask & (before | bit) = 0), 0) AS kept,
+             coalesce(sum(n) FILTER (mask & before = 0 AND mask & bit <> 0), 0) AS removed, coalesce(sum(n) FILTER (mask & before <> 0 AND mask & bit <> 0), 0) AS redundant,
+             coalesce(sum(n) FILTER (mask = bit), 0) AS unique_fails, coalesce(sum(good) FILTER (mask & before = 0 AND mask & bit <> 0), 0) AS good_lost,
+             coalesce(sum(toxic) FILTER (mask & before = 0 AND mask & bit <> 0), 0) AS toxic_lost FROM c, s GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) OVER (PARTITION BY part, bit) AS shapley FROM o"""
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_mixing, op2_decontamination, op3_ngram_join, op4_toxicity, op5_secrets, op6_quality, op7_exact_dedup, op8_warc, op9_suffix_dedup, op10_preference)}
-ORACLES: dict[str, str] = {"op1_mixing": mix_sql(), "op3_ngram_join": OP3_SQL, "op7_exact_dedup": OP7_SQL, "op10_preference": OP10_SQL}
+    op1_mixing, op2_decontamination, op3_ngram_join, op4_toxicity, op5_secrets, op6_quality, op7_exact_dedup, op8_warc, op9_suffix_dedup, op10_preference,
+    op11_collocations, op12_packing, op13_filter_audit)}
+ORACLES: dict[str, str] = {"op1_mixing": mix_sql(), "op3_ngram_join": OP3_SQL, "op7_exact_dedup": OP7_SQL, "op10_preference": OP10_SQL,
+                            "op11_collocations": OP11_SQL, "op13_filter_audit": audit_sql()}
