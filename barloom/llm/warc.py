@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm.base import stage, staging_dir
+from barloom.llm.filter_audit import possible_repeat
 
 SEGMENT = 16 * 1024  # bytes of a record's block; longer blocks are continued
 CHUNK = 4 * 1024  # bytes of a transfer chunk
@@ -210,16 +211,22 @@ def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT, least: i
 
     Of equal payloads of at least `least` bytes the largest page_id (of repeated rows one, of rows
     without page_id only if there are no others) is the response and the rest are revisits. Null html
-    is an empty payload, null url an empty target. Record ids hold page_id and a row number.
+    is an empty payload, null url an empty target. Record ids hold page_id and a row number, or the
+    payload's hash where a counting Bloom sketch of all hashes shows that no other page has it: such
+    pages, most of a crawl, are neither shuffled nor written before their archive.
     """
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    rows = stage(rows.withColumns({"wa_print": F.unhex(F.sha2("html", 256)), "wa_row": F.monotonically_increasing_id(), "wa_bytes": F.octet_length("html").cast("long")}), "op8-pages")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")).withColumn("hash", F.xxhash64("html"))
+    maybe = possible_repeat(stage(rows.select("hash"), "op8-hashes"))
+    urn = lambda page, row: F.concat(F.lit("urn:page:"), F.coalesce(page.cast("string"), F.lit("none")), F.lit(":"), row)
+    # a payload that is unique for certain goes straight from the scan into an archive
+    single = rows.where(~maybe).select("url", "html", urn(F.col("page_id"), F.concat(F.lit("h"), F.hex("hash"))).alias("wa_urn"), F.lit(None).cast("string").alias("wa_refers"))
+    rows = stage(rows.where(maybe).drop("hash").withColumns({"wa_print": F.unhex(F.sha2("html", 256)), "wa_row": F.monotonically_increasing_id(), "wa_bytes": F.octet_length("html").cast("long")}), "op8-pages")
     place = F.struct(F.col("page_id").isNotNull().alias("known"), "page_id", "wa_row")
     first = rows.where(F.col("wa_bytes") >= least).groupBy("wa_print").agg(F.max(place).alias("top"), F.count("*").alias("n")).where("n > 1")
-    urn = lambda page, row: F.concat(F.lit("urn:page:"), F.coalesce(page.cast("string"), F.lit("none")), F.lit(":"), row.cast("string"))
-    sent = rows.join(first.select("wa_print", F.col("top.wa_row").alias("top_row"), urn(F.col("top.page_id"), F.col("top.wa_row")).alias("top_urn")), "wa_print", "left").select(
-        "url", "html", urn(F.col("page_id"), F.col("wa_row")).alias("wa_urn"), F.when((F.col("top_row") != F.col("wa_row")) & (F.col("wa_bytes") >= least), F.col("top_urn")).alias("wa_refers"))
-    sent.mapInArrow(_built(segment), "record binary").select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    own = urn(F.col("page_id"), F.col("wa_row").cast("string"))
+    sent = rows.join(first.select("wa_print", F.col("top.wa_row").alias("top_row"), urn(F.col("top.page_id"), F.col("top.wa_row").cast("string")).alias("top_urn")), "wa_print", "left").select(
+        "url", "html", own.alias("wa_urn"), F.when((F.col("top_row") != F.col("wa_row")) & (F.col("wa_bytes") >= least), F.col("top_urn")).alias("wa_refers"))
+    single.unionByName(sent).mapInArrow(_built(segment), "record binary").select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
