@@ -22,7 +22,7 @@ MIX_POWERS = {"source": 0.5, "lang": 0.5, "topic": 0.7}
 def op1_mixing(spark: SparkSession, sf: str) -> DataFrame:
     """Every document with its cell, its probability of being drawn, and whether it is."""
     rows = mixing.described(table(spark, sf, "documents")).select("doc_id", "mx_source", "mx_lang", "mx_topic", "mx_tokens", "mx_draw")
-    out = mixing.drawn(stage(rows, "op1-rows"), MIX_POWERS, tolerance=1e-13)  # texts are read once
+    out = mixing.drawn(stage(rows, "op1-rows"), MIX_POWERS)  # texts are read once
     return out.select("doc_id", F.col("mx_source").alias("source"), F.col("mx_lang").alias("lang"), F.col("mx_topic").alias("topic"), F.col("mx_tokens").alias("tokens"),
                       F.round("mx_probability", 6).alias("probability"), F.round("mx_draw", 12).alias("draw"), F.col("mx_kept").alias("kept"))
 
@@ -218,7 +218,8 @@ def audit_sql(letters: str = "ABCDE") -> str:
     steps = ", ".join(f"('{''.join(p)}', {k + 1}, {sum(1 << letters.index(x) for x in p[:k])}, {1 << letters.index(p[k])})" for p in itertools.permutations(letters) for k in range(len(letters)))
     return rf"""
 WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
-w AS (SELECT *, regexp_extract_all(t, '[^ 	-]+') AS w, min(doc_id) OVER (PARTITION BY t) AS first FROM t),
+w AS (SELECT *, regexp_extract_all(t, '[^ 	-
+]+') AS w, min(doc_id) OVER (PARTITION BY t) AS first FROM t),
 m AS (SELECT doc_id, part, CAST(len(w) < 200 AS INT) + 2 * CAST(100 * len(list_distinct(w)) < 50 * len(w) AS INT)
              + 4 * CAST(100 * (length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 2 * length(t) AS INT)
              + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INT) + 16 * CAST(coalesce(doc_id > first, false) AS INT) AS mask FROM w),

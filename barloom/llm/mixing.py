@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from barloom.llm.base import stage, whole_text, words_of
 
 MARGINS = ("source", "lang", "topic")
-ROUNDS_A_WRITE = 2  # rounds of raking in one plan; then the cells are written
 SMALL = 10_000  # cells up to this number are broadcast, more are joined by hash
+SMALL_MARGIN = 1_000  # values of a margin up to this number are a literal in the plan, more are a table
+TOLERANCE = 1e-13  # of the shares of each margin
 
 # Topics by a mark in the text, first match counts (fixed values of this library).
 TOPICS = (("licence", ("License", "license", "Copyright", "copyright")), ("table", (" | ",)), ("shouting", ("!!",)), ("contact", ("@", " +")))
@@ -52,26 +53,59 @@ def target_shares(cells: DataFrame, margin: str, power: float, wanted: dict[str,
     return sums.crossJoin(F.broadcast(total)).select(f"mx_{margin}", (F.col("goal") / F.col("all")).alias("target"))  # total is one row
 
 
-def raked(cells: DataFrame, powers: dict[str, float], wanted: dict[str, dict[str, float]], tolerance: float = 1e-6, rounds: int = 300) -> DataFrame:
-    """Cells with their raked weight; the rounds end where every margin is within `tolerance` of its target."""
-    goals = {m: stage(target_shares(cells, m, powers.get(m, 0.5), wanted.get(m)), f"op1-{m}") for m in MARGINS}
+class Factors:
+    """Raking factor of each value of a margin, by which cells are multiplied.
+
+    Up to `small` values are a literal map in the plan; more are a written table that cells meet by a
+    sorted join. Either way a step of the raking reads the fixed cells and the factors of the step
+    before, so no plan grows with the rounds.
+    """
+
+    def __init__(self, margin: str, goals: DataFrame, small: int) -> None:
+        self.key, self.goals, self.few = f"mx_{margin}", goals, goals.count() <= small
+        self.name, self.now = f"_f_{margin}", None
+
+    def applied(self, cells: DataFrame) -> DataFrame:
+        if self.now is None:
+            return cells.withColumn(self.name, F.lit(1.0))
+        if self.few:
+            pairs = [F.lit(x) for kv in self.now for x in kv]
+            return cells.withColumn(self.name, F.element_at(F.create_map(*pairs), F.col(self.key)))
+        return cells.join(self.now.hint("merge"), self.key)
+
+    def fitted(self, cells: DataFrame, others: list[Factors]) -> float:
+        """Fit to the target under the other margins' factors; returns how far off the margin was."""
+        for o in others:
+            cells = o.applied(cells)
+        weight = reduce(Column.__mul__, [F.col(o.name) for o in others], F.col("weight"))
+        sums = cells.groupBy(self.key).agg(F.sum(weight).alias("_is")).join(self.goals.hint("merge"), self.key)
+        sums = self.applied(sums).select(self.key, F.abs(F.col("_is") * F.col(self.name) - F.col("target")).alias("_off"), F.when(F.col("_is") > 0, F.col("target") / F.col("_is")).otherwise(0.0).alias(self.name))
+        if self.few:
+            rows = sums.collect()
+            self.now = [(r[self.key], r[self.name]) for r in rows]
+            return max(r["_off"] for r in rows)
+        sums = stage(sums, "op1-factors")
+        self.now = sums.drop("_off")
+        return sums.agg(F.max("_off")).first()[0]
+
+
+def raked(cells: DataFrame, powers: dict[str, float], wanted: dict[str, dict[str, float]], tolerance: float = TOLERANCE, rounds: int = 1000, small: int = SMALL_MARGIN) -> DataFrame:
+    """Cells with their raked weight; the rounds end where every margin is within `tolerance` of its target.
+
+    The cells keep their present weight; each margin has one table of factors, fitted in turn to the
+    cells times the factors of the other margins. A cell's raked weight is the product at the end.
+    """
     total = cells.agg(F.sum("tokens").alias("all"))
-    now = stage(cells.where("tokens > 0").crossJoin(F.broadcast(total)).withColumn("weight", F.col("tokens") / F.col("all")).drop("all"), "op1-weights")
-    if now.isEmpty():
-        return now
-    for _ in range(0, rounds, ROUNDS_A_WRITE):
-        for m in MARGINS * ROUNDS_A_WRITE:
-            key = f"mx_{m}"
-            factor = now.groupBy(key).agg(F.sum("weight").alias("is")).join(goals[m].hint("merge"), key).select(
-                key, F.when(F.col("is") > 0, F.col("target") / F.col("is")).otherwise(0.0).alias("factor"), F.abs(F.col("is") - F.col("target")).alias("off"))
-            # many small broadcasts would pile up on the driver
-            now = now.join(factor.hint("merge"), key).withColumn("weight", F.col("weight") * F.col("factor"))
-            now = now.drop("factor", f"off_{m}").withColumnRenamed("off", f"off_{m}")
-        now = stage(now, "op1-weights")
-        worst = now.agg(F.greatest(*[F.max(f"off_{m}") for m in MARGINS])).first()[0]
-        now = now.drop(*[f"off_{m}" for m in MARGINS])
+    base = stage(cells.where("tokens > 0").crossJoin(F.broadcast(total)).withColumn("weight", F.col("tokens") / F.col("all")).drop("all"), "op1-weights")
+    if base.isEmpty():
+        return base
+    factors = [Factors(m, stage(target_shares(cells, m, powers.get(m, 0.5), wanted.get(m)), f"op1-{m}"), small) for m in MARGINS]
+    for _ in range(rounds):
+        worst = max(f.fitted(base, [o for o in factors if o is not f]) for f in factors)
         if worst < tolerance:
-            return now
+            for f in factors:
+                base = f.applied(base)
+            return base.withColumn("weight", reduce(Column.__mul__, [F.col(f.name) for f in factors], F.col("weight"))).drop(*[f.name for f in factors])
     raise RuntimeError(f"margins do not agree after {rounds} rounds (off by {worst:.3g}): the targets cannot be met together")
 
 
@@ -80,7 +114,7 @@ def draw(doc_id: Column, text: Column, seed: str = "") -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.coalesce(doc_id.cast("string"), text), F.lit(seed))), 1, 12), 16, 10).cast("double") / float(1 << 48)
 
 
-def drawn(rows: DataFrame, powers: dict[str, float] | None = None, wanted: dict[str, dict[str, float]] | None = None, tolerance: float = 1e-6) -> DataFrame:
+def drawn(rows: DataFrame, powers: dict[str, float] | None = None, wanted: dict[str, dict[str, float]] | None = None, tolerance: float = TOLERANCE) -> DataFrame:
     """Described rows plus mx_probability and mx_kept."""
     sums = rows.groupBy("mx_source", "mx_lang", "mx_topic").agg(F.sum("mx_tokens").alias("tokens"))
     cells = raked(stage(sums, "op1-cells"), powers or {}, wanted or {}, tolerance)
@@ -93,7 +127,7 @@ def drawn(rows: DataFrame, powers: dict[str, float] | None = None, wanted: dict[
     return out.withColumn("mx_kept", F.col("mx_draw") < F.col("mx_probability")).select(*rows.columns, "mx_probability", "mx_kept")
 
 
-def mixed(docs: DataFrame, powers: dict[str, float] | None = None, wanted: dict[str, dict[str, float]] | None = None, seed: str = "", tolerance: float = 1e-6) -> DataFrame:
+def mixed(docs: DataFrame, powers: dict[str, float] | None = None, wanted: dict[str, dict[str, float]] | None = None, seed: str = "", tolerance: float = TOLERANCE) -> DataFrame:
     """docs plus mx_source, mx_lang, mx_topic, mx_tokens, mx_draw, mx_probability, mx_kept.
 
     docs: doc_id, text, lang, source, more columns allowed. Null lang or source is the value
