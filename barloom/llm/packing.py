@@ -14,7 +14,7 @@ import heapq
 import os
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -26,8 +26,9 @@ from barloom.llm.base import stage, whole_text
 
 SIZE = 2048  # tokens of a sequence
 END = 0  # id after each document
-RANK_ROWS = 200_000  # pieces of one rank bucket, on average
-CACHE_WORDS = 300_000  # words whose ids a task keeps
+RANK_ROWS = 1_000  # pieces of one rank bucket, on average
+CACHE_WORDS = 500_000  # words whose ids a task keeps
+MARKS = ".,;:!?"  # a word's last sentence mark is encoded on its own
 
 
 class Run(NamedTuple):
@@ -92,8 +93,11 @@ def plan(counts: dict[int, int], size: int = SIZE) -> tuple[list[Run], int]:
 class Words:
     """Token ids of texts as bytes, one 32-bit number an id.
 
-    With `by_words`, texts are cut at blanks and line ends and each distinct word is encoded once: right
-    for vocabularies whose tokens never reach over white space. Otherwise whole texts are encoded.
+    With `by_words`, texts are cut at blanks and line ends and each distinct word is encoded once, in
+    lower case: right for vocabularies that fold case and whose tokens never reach over white space nor
+    from a letter to a sentence mark.
+    New words are encoded many at a time, as one text, and told apart by the places of their tokens.
+    Otherwise whole texts are encoded.
     """
 
     def __init__(self, vocabulary: str, by_words: bool) -> None:
@@ -103,19 +107,33 @@ class Words:
         self.tokenizer, self.by_words = Tokenizer.from_str(vocabulary), by_words
         self.known: dict[str, bytes] = {"": b""}
 
-    def encoded(self, texts: Sequence[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def encoded(self, words: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        ids = np.asarray(found.ids, dtype="<u4")
+        starts = np.cumsum([0] + [len(w) + 1 for w in words])
+        cut = (4 * np.searchsorted([a for a, _ in found.offsets], starts)).tolist()
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip(cut, cut[1:])]
+
+    def learn(self, words: list[str]) -> None:
+        parts = {w: (w[:-1], w[-1]) if w[-1] in MARKS and w[-2:-1].isalnum() else (w,) for w in words}
+        # ASCII letters fold to lower case; "<" may begin a special token, which does not
+        small = {x: x.lower() if x.isascii() and "<" not in x else x for p in parts.values() for x in p}
+        bare = [x for x in {*small.values()} if x not in self.known]
+        for k in range(0, len(bare), 2_000):
+            self.known.update(zip(bare[k:k + 2_000], self.encoded(bare[k:k + 2_000])))
+        self.known.update([(w, b"".join([self.known[small[x]] for x in p])) for w, p in parts.items()])
 
     def ids(self, text: str) -> bytes:
         if not self.by_words:
-            return self.encoded([text])[0]
+            return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         words = text.replace("\n", " ").split(" ")
-        new = list(set(words).difference(self.known))
+        new = set(words).difference(self.known)
         if len(self.known) + len(new) > CACHE_WORDS:
             self.known = {"": b""}
-            new = list(set(words).difference(self.known))
-        for k in range(0, len(new), 10_000):
-            self.known.update(zip(new[k:k + 10_000], self.encoded(new[k:k + 10_000])))
+            new = set(words).difference(self.known)
+        if new:
+            self.learn([*new])
         return b"".join(map(self.known.__getitem__, words))
 
 
@@ -161,13 +179,14 @@ def pieces(docs: DataFrame, vocabulary: str, size: int = SIZE, end: int = END, b
     return base.mapInArrow(cut, schema)
 
 
-def ranked(rows: DataFrame, most: int = RANK_ROWS) -> DataFrame:
+def ranked(rows: DataFrame, counts: dict[int, int], most: int = RANK_ROWS) -> DataFrame:
     """rows (doc_id, piece, start, length, ids_crc32, ...) plus `rank` from 0 within each length.
 
-    Rows that are equal in all five columns may swap ranks; nothing else depends on the order of tasks.
+    counts: pieces of each length; a length gets buckets of about `most` pieces. Rows that are equal in
+    all five columns may swap ranks; nothing else depends on the order of tasks.
     """
-    buckets = max(1, -(-rows.count() // most))
-    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(buckets)).cast("int"))
+    spread = rows.sparkSession.createDataFrame([(k, -(-n // most)) for k, n in counts.items()], "length long, _buckets long")
+    rows = rows.join(F.broadcast(spread), "length").withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.col("_buckets"))).drop("_buckets")  # at most a row per length
     sums = rows.groupBy("length", "_bucket").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = sums.select("length", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
@@ -188,7 +207,7 @@ def packed(rows: DataFrame, size: int = SIZE, rank_rows: int = RANK_ROWS) -> Dat
     slots = spark.createDataFrame([tuple(r) for r in runs], "length long, _first long, _last long, _sequence long, _each long, _offset long")
     at = F.col("rank") - F.col("_first")
     # a few runs per length: the plan depends on `size`, not on the corpus
-    out = ranked(rows, rank_rows).join(F.broadcast(slots), "length").where("rank >= _first AND rank < _last")
+    out = ranked(rows, counts, rank_rows).join(F.broadcast(slots), "length").where("rank >= _first AND rank < _last")
     return out.select(*rows.columns, (F.col("_sequence") + F.floor(at / F.col("_each"))).cast("long").alias("sequence_id"), (F.col("_offset") + at % F.col("_each") * F.col("length")).cast("long").alias("offset"))
 
 
