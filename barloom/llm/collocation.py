@@ -27,7 +27,7 @@ DEPTH = 4  # words of a phrase, at most
 BUCKET_ROWS = 600_000  # suffixes of one routed range, on average
 SAMPLE = 200_000  # suffixes that the bounds of the ranges are taken from: they balance tasks, no result depends on them
 VOCABULARY = 1 << 22  # frequent words up to this number go out as ids (32 MB); beyond, suffixes travel as 64-bit codes
-CHUNK = 8 << 20  # bytes of text that a task sorts at a time
+CHUNK = 3 << 20  # bytes of text that a task sorts at a time
 HASHED = 1 << 20  # bytes that share running sums
 SEEDS = 4  # codings that are tried until no two words share a code
 PREFIX_BITS = (24, 44, 56, 64)  # bits of the routing key that the first one, two, three, four words fill
