@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import heapq
 import os
+import sys
+import types
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -19,15 +21,16 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.llm.base import stage, whole_text
+from barloom.llm.base import chunks, stage, whole_text
 
 SIZE = 2048  # tokens of a sequence
 END = 0  # id after each document
 RANK_ROWS = 1_000  # pieces of one rank bucket, on average
-CACHE_WORDS = 500_000  # words whose ids a task keeps
+CACHE_WORDS = 1_500_000  # words whose ids a worker process keeps
 MARKS = ".,;:!?"  # a word's last sentence mark is encoded on its own
 
 
@@ -104,8 +107,12 @@ class Words:
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives one core to a task
-        self.tokenizer, self.by_words = Tokenizer.from_str(vocabulary), by_words
-        self.known: dict[str, bytes] = {"": b""}
+        # a worker process runs many tasks: the vocabulary and the words it has met stay there
+        home = sys.modules.setdefault("barloom_worker", types.ModuleType("barloom_worker"))
+        key = hash(vocabulary)
+        if getattr(home, "vocabulary", None) != key:
+            home.vocabulary, home.tokenizer, home.known = key, Tokenizer.from_str(vocabulary), {"": b""}
+        self.tokenizer, self.known, self.by_words = home.tokenizer, home.known, by_words
 
     def encoded(self, words: list[str]) -> list[bytes]:
         found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
@@ -124,17 +131,29 @@ class Words:
             self.known.update(zip(bare[k:k + 2_000], self.encoded(bare[k:k + 2_000])))
         self.known.update([(w, b"".join([self.known[small[x]] for x in p])) for w, p in parts.items()])
 
-    def ids(self, text: str) -> bytes:
+    def ids(self, texts: pa.Array) -> Iterator[bytes]:
+        """Ids of each text."""
         if not self.by_words:
-            return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        words = text.replace("\n", " ").split(" ")
-        new = set(words).difference(self.known)
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known = {"": b""}
-            new = set(words).difference(self.known)
+            for text in texts:
+                yield np.asarray(self.tokenizer.encode(text.as_py(), add_special_tokens=False).ids, dtype="<u4").tobytes()
+            return
+        words = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = words.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        if len(self.known) + len(distinct) > CACHE_WORDS:
+            self.known.clear()
+            self.known[""] = b""
+        new = [w for w in distinct if w not in self.known]
         if new:
-            self.learn([*new])
-        return b"".join(map(self.known.__getitem__, words))
+            self.learn(new)
+        raw = [self.known[w] for w in distinct]
+        size = np.array([len(r) // 4 for r in raw], dtype=np.int64)
+        table = pa.LargeListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)]), pa.array(np.frombuffer(b"".join(raw), dtype="<u4")))
+        every = table.take(coded.indices).flatten().to_numpy()
+        ends = np.r_[0, np.cumsum(size[coded.indices.to_numpy()])]
+        bounds = ends[words.offsets.to_numpy() - words.offsets[0].as_py()].tolist()
+        for a, b in zip(bounds, bounds[1:]):
+            yield every[a:b].tobytes()
 
 
 def pieces(docs: DataFrame, vocabulary: str, size: int = SIZE, end: int = END, by_words: bool = False, ids: bool = True) -> DataFrame:
@@ -164,8 +183,10 @@ def pieces(docs: DataFrame, vocabulary: str, size: int = SIZE, end: int = END, b
 
         for b in batches:
             rows, held = [], 0
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text")):
-                raw = words.ids(text.as_py()) + closing
+            texts = b.column("text")
+            every = (raw for at, stop, _, _ in chunks(texts) for raw in words.ids(texts.slice(at, stop - at)))
+            for doc, raw in zip(b.column("doc_id").to_pylist(), every, strict=True):
+                raw += closing
                 for k, at in enumerate(range(0, len(raw), width)):
                     part = raw[at:at + width]
                     rows.append((doc, k, at // 4, part, zlib.crc32(part)))

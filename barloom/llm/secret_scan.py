@@ -51,7 +51,7 @@ class Scanner:
         some_hex, ident = self.some_hex.search(raw) is not None, any(w in low for w in IDENT_WORDS)
         if not (assign or access or some_hex or ident):
             return []
-        text = raw.decode()
+        text = raw.decode(errors="replace")
         found: list[list[tuple[int, int]]] = [[], [], [], [], [], []]
         if assign:
             found[0] = [m.span() for m in self.assign.finditer(text) if len(m[2]) >= 6]
@@ -62,8 +62,8 @@ class Scanner:
         if ident:
             found[3] = [m.span() for m in self.ident.finditer(text)]
         if found[1] or found[3]:
-            taken = sorted(s for k in (0, 1, 2, 3) for s in found[k])
-            found[4] = [s for s in (m.span() for m in self.weak.finditer(text)) if not overlaps(taken, s)]
+            taken = Parts([s for k in (0, 1, 2, 3) for s in found[k]])
+            found[4] = [s for s in (m.span() for m in self.weak.finditer(text)) if not taken.overlap(s)]
             if found[0] or found[2] or found[4]:
                 found[5] = [m.span() for m in self.endpoint.finditer(text)]
                 breaks = [m.start() for m in re.finditer(r"\n[ \t\r]*\n", text)]
@@ -76,12 +76,6 @@ class Scanner:
         return sorted((a, k, b) for k, spans in enumerate(found) for a, b in spans)
 
 
-def overlaps(taken: list[tuple[int, int]], span: tuple[int, int]) -> bool:
-    """Whether a span meets one of the sorted spans; those of one kind do not overlap each other."""
-    at = bisect.bisect_left(taken, (span[1], 0))
-    return any(b > span[0] for _, b in taken[max(0, at - 4):at])
-
-
 class Parts:
     """Spans that can be met from either side in one search."""
 
@@ -89,6 +83,10 @@ class Parts:
         self.starts = sorted(a for a, _ in spans)
         self.reach = list(itertools.accumulate((b for _, b in sorted(spans)), max))  # furthest end so far
 
+    def overlap(self, span: tuple[int, int]) -> bool:
+        at = bisect.bisect_left(self.starts, span[1])
+        return at > 0 and self.reach[at - 1] > span[0]
+
     def near(self, span: tuple[int, int], scope: int, breaks: list[int]) -> bool:
         """Interval join of one span: a part at most `scope` away, with no paragraph break between."""
         at = bisect.bisect_right(self.starts, span[0])
@@ -114,7 +112,8 @@ def _scanned(scope: int):
 def secret_spans(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """One row per document: doc_id, a count per kind, base_sha256 of the strong spans, and all spans.
 
-    docs: doc_id, text; other columns are ignored. Null text is empty and has no spans. A span is
+    docs: doc_id, text; other columns are ignored. Null text is empty and has no spans; bytes that are
+    not UTF-8 count as one replacement character each run. A span is
     "kind:start:end" in code points, end exclusive; spans come by start, then by kind as in KINDS.
     Repeated rows come out repeated.
     """
