@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from barloom.catalog import query
 from barloom.catalog.common import daily, r, show
 from barloom.catalog.q_backtest import SET, SWEEP_SQL, backtest_sql, daily_candidates, slog, slog_sql
-from barloom.operators.series import time_segment
+from barloom.operators.series import by_blocks, time_segment
+from barloom.plans import features as FT
+from barloom.plans import metalabel as M
 from barloom.plans import rules as R
 from barloom.plans import sweep as S
 from barloom.plans import validate as V
@@ -142,6 +144,33 @@ def validation_rows(spark, sf):
     return show(out, ["symbol", "window", "rule_id", "failed"], _VCOLS)
 
 
+FILTER = M.FilterConfig(horizon=12, take=0.5, stop=0.5, min_events=20, gap=12, floor=0.35, grid=(0.30, 0.95, 0.05), allowlist=(FT.TENSION, FT.VOL60), cap=3)
+
+
+def winner_rows(spark, sf):
+    """Every bar of the winners' windows with their signals and the base features of the bar."""
+    cands, won = winners(spark, sf)
+    bars = stage(daily(spark, sf), "daily-bars")
+    ret = by_blocks(bars, ["symbol"], lambda df, w: df.withColumn("ret", F.col("close") / F.lag("close").over(w) - 1.0), 1)
+    base = ret.join(FT.base_features(bars).drop("pos"), ["symbol", "ts"])
+    span = S.window_table(bars, min_bars=20).select("symbol", "window", "start_ts", "window_bars")
+    start = bars.join(span, "symbol").where("ts = start_ts").select("symbol", "window", F.col("pos").alias("_p0"), F.col("window_bars").alias("n"))
+    sig = R.indicator_signals(bars, "ema_cross").select("symbol", "pos", "rule_id", "entry", "exit")
+    picked = sig.join(won.select(*KEYS), ["symbol", "rule_id"]).join(start, ["symbol", "window"]).where("pos >= _p0")
+    rows = picked.join(base, ["symbol", "pos"]).withColumn("pos", F.col("pos") - F.col("_p0")).withColumn("seg", time_segment(86_400 * S.SEGMENT_ROWS))
+    trials = cands.where("side = 'long'").groupBy("symbol", "window").agg(F.count("*").alias("trials"))
+    return won, rows.select(*KEYS, "ts", "seg", "pos", "n", "high", "low", "close", "ret", "entry", "exit", *FT.BASE_FEATURES), trials
+
+
+@query("validation_filtered")
+def validation_filtered(spark, sf):
+    """Full validation of the winners on the entries that each one's own filter keeps."""
+    won, rows, trials = winner_rows(spark, sf)
+    out = V.filtered_validation(won, rows, FT.BASE_FEATURES, KEYS, trials, FILTER, STEP, "recovery", SPLITS, FOLDS, PURGE)
+    out = out.withColumn("failed", F.array_join("failed_reasons", ","))
+    return show(out, ["symbol", "window", "rule_id", "events", "entries_raw", "entries_kept", "trades", "veto_all", "reason", "failed", "passes"], [*_VCOLS, "threshold", "max_drawdown"])
+
+
 # --- light validation of every candidate: the input of summaries and the deploy pool ----------
 
 LIGHT_SQL = f"""{SWEEP_SQL}, vi AS (SELECT *, (alpha >= 0)::INT::DOUBLE AS wf_pass_rate, (alpha >= 0)::INT::DOUBLE AS cv_pass_rate, alpha AS wf_alpha_median, alpha AS cv_alpha_median,

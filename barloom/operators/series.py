@@ -18,7 +18,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
+from barloom.session import stage
+
 BLOCK_ROWS = 32_768
+KEY_ROWS = 50_000  # rows of a per-key table that may be broadcast
+SALTS = 64  # copies of a longer one
 
 TIMEFRAME_SECONDS = {"1m": 60, "5m": 300, "15m": 900, "1h": 3600, "4h": 14_400, "1d": 86_400, "1w": 604_800}
 
@@ -42,6 +46,21 @@ def carried(blocks: DataFrame) -> DataFrame:
     return blocks.hint("shuffle_hash")
 
 
+def look_up(rows: DataFrame, table: DataFrame, keys: Sequence[str], salt: Column, how: str = "inner", most: int = KEY_ROWS) -> DataFrame:
+    """Join `rows` with a table of few rows per key, without gathering the rows of a key in one task.
+
+    The table is written and counted. Up to `most` rows of it are broadcast; a longer one is copied once
+    per salt, and the rows of a key are dealt over the copies by `salt`, any value that differs between
+    them.
+    """
+    table = stage(table, "key-table")
+    if table.count() <= most:
+        return rows.join(F.broadcast(table), list(keys), how)
+    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("long"))
+    return dealt.join(copies, [*keys, "_salt"], how).drop("_salt")
+
+
 def dense_position(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], segment: Column, name: str = "pos"
 ) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 import json
 from collections.abc import Sequence
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -16,11 +17,38 @@ from pyspark.sql.window import WindowSpec
 from barloom.functions.expr import EPS, finite, nonzero
 from barloom.operators import kernels as K
 from barloom.operators.quantiles import exact_quantiles
-from barloom.operators.series import BLOCK_ROWS, by_blocks, dense_position, running_sum
+from barloom.operators.series import BLOCK_ROWS, by_blocks, dense_position, look_up, running_sum
 from barloom.plans.rules import true_range
 from barloom.session import stage
 
 
+FIT_ROWS = 100_000  # training rows of a fold that a task fits on its own
+
+
+@dataclass(frozen=True)
+class FilterConfig:
+    """Settings of the entry filter."""
+
+    horizon: int = 48
+    take: float = 1.5
+    stop: float = 1.0
+    vol_window: int = 14
+    bps: float = 10.0
+    min_events: int = 40
+    allowlist: tuple[str, ...] = ()
+    cap: int = 3
+    groups: int = 6
+    test_groups: int = 2
+    gap: int = 24
+    max_folds: int = 24
+    penalty: str = "l1"
+    c: float = 0.25
+    balanced: bool = True
+    grid: tuple[float, float, float] = (0.50, 0.95, 0.05)
+    floor: float = 0.60
+    objective: str = "f05"
+
+
 def lagged_atr_ratio(df: DataFrame, w: WindowSpec, window: int, name: str = "atr_ratio") -> DataFrame:
     """Rolling mean of true range over the previous close, one row late. Needs window + 2 rows back."""
     scale = nonzero(F.abs(F.lag("close").over(w)))
@@ -189,17 +217,43 @@ def _penalised(loss: float, beta: np.ndarray, penalty: str, c: float) -> float:
     return c * loss + (0.5 * (beta[:-1] ** 2).sum() if penalty == "l2" else np.abs(beta[:-1]).sum())
 
 
+def _fit_one(x: np.ndarray, y: np.ndarray, w: np.ndarray, penalty: str, c: float, iterations: int, tolerance: float) -> tuple[np.ndarray, bool]:
+    """The fit of one fold that is small enough for a task: the same steps as `fit_folds` takes."""
+    x = np.c_[x, np.ones(len(x))]
+
+    def sums(beta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        z = x @ beta
+        p = 1.0 / (1.0 + np.exp(-np.clip(z, -700, 700)))
+        loss = (w * (np.log1p(np.exp(-np.abs(z))) + np.maximum(z, 0.0) - y * z)).sum()
+        return _penalised(loss, beta, penalty, c), x.T @ (w * (p - y)), (x * (w * p * (1.0 - p))[:, None]).T @ x
+
+    best = np.zeros(x.shape[1])
+    least, g, h = sums(best)
+    for _ in range(iterations):
+        step, scale = _newton_step(h, g, best, penalty, c) - best, 1.0
+        while True:
+            if np.abs(scale * step).max() < tolerance:
+                return best, True
+            total, g1, h1 = sums(best + scale * step)
+            if total <= least + 1e-12 * abs(least):
+                break
+            scale /= 2
+        best, least, g, h = best + scale * step, total, g1, h1
+    return best, False
+
+
 def fit_folds(
     rows: DataFrame, features: Sequence[str], keys: Sequence[str], weight: str = "weight", label: str = "label", penalty: str = "l1",
-    c: float = 0.25, balanced: bool = True, iterations: int = 2500, tolerance: float = 1e-8,
+    c: float = 0.25, balanced: bool = True, iterations: int = 2500, tolerance: float = 1e-8, small: int = FIT_ROWS,
 ) -> DataFrame:
     """Weighted logistic regression of every (key, fold) at the same time: (keys, beta, converged).
 
-    One Newton iteration is one aggregation: loss, gradient and curvature of a fold are sums over its
-    training rows, so no fold is ever gathered in one task. Only the small system of each fold is
-    solved in Python. A step that raises the penalised loss is halved. A fold is done when its
-    largest change is below `tolerance`; only the others are read again. Folds need both classes in
-    training and in test; missing features count as 0.
+    Folds need both classes in training and in test; missing features count as 0. Where no fold has
+    more than `small` training rows, each is one group of a grouped fit. Otherwise one Newton iteration
+    is one aggregation: loss, gradient and curvature of a fold are sums over its training rows, so no
+    fold is ever gathered in one task, and only the small system of each fold is solved in Python. A
+    step that raises the penalised loss is halved. A fold is done when its largest change is below
+    `tolerance`; only the others are read again.
     """
     keys, x = list(keys), list(features)
     d = len(x) + 1
@@ -213,6 +267,15 @@ def fit_folds(
     train = stage(
         rows.where("role = 'train'").join(kinds, keys).select(*keys, *clean, y.alias("_y"), (F.col(weight) * balance).alias("_w")), "fold-train"
     )
+    most = train.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if most <= small:
+        typed = T.StructType([train.schema[k] for k in keys] + [T.StructField("beta", T.ArrayType(T.DoubleType())), T.StructField("converged", T.BooleanType())])
+
+        def fit(pdf):
+            beta, settled = _fit_one(pdf[x].to_numpy(float), pdf["_y"].to_numpy(float), pdf["_w"].to_numpy(float), penalty, c, iterations, tolerance)
+            return pdf[keys].head(1).assign(beta=[beta.tolist()], converged=[settled])
+
+        return stage(train.groupBy(*keys).applyInPandas(fit, typed), "fold-fits")
     numbers = lambda k: F.array(*[F.lit(0.0)] * k)
     state = train.select(*keys).distinct().withColumns({
         "beta": numbers(d), "best": numbers(d), "least": F.lit(float("inf")), "step": numbers(d), "scale": F.lit(1.0), "converged": F.lit(False)})
@@ -240,7 +303,7 @@ def fit_folds(
 
     done = []
     for i in range(iterations):
-        t = train.join(state, keys)
+        t = look_up(train, state, keys, F.struct(*x, "_w"))
         vals = [F.col(f) for f in x] + [F.lit(1.0)]
         t = t.withColumn("_z", _dot(x)).withColumn("_p", 1.0 / (1.0 + F.exp(-F.col("_z")))).withColumn("_k", F.col("_w") * F.col("_p") * (1.0 - F.col("_p")))
         loss = F.log1p(F.exp(-F.abs("_z"))) + F.greatest("_z", F.lit(0.0)) - F.col("_y") * F.col("_z")
@@ -349,5 +412,43 @@ def veto(events: DataFrame, scored: DataFrame, threshold: DataFrame, keys: Seque
     return events.join(p, [*keys, "entry_idx"]).join(t, keys).where(F.col("prob") >= F.col("threshold"))
 
 
+def chosen_features(columns: Sequence[str], allowlist: Sequence[str] = (), cap: int = 0) -> list[str]:
+    """Columns that the filter is fitted on: those of the allowlist, then the others in their order up to `cap`.
+
+    Without a cap, the allowlist alone, or the first three columns where it names none.
+    """
+    picked = [c for c in dict.fromkeys(allowlist) if c in columns]
+    most = min(cap, len(columns)) if cap > 0 else len(picked) or min(3, len(columns))
+    return [*picked, *(c for c in columns if c not in picked)][:most]
+
+
+def entry_filter(rows: DataFrame, columns: Sequence[str], keys: Sequence[str], cfg: FilterConfig = FilterConfig(), rows_per_block: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
+    """The whole filter of every key at once: (kept entries as keys and pos, report with one row per key).
+
+    rows: keys, ts, pos (dense from 0 within the key), high, low, close, entry and the feature columns.
+    A key with too few events, without a usable fold, or without a threshold of enough precision keeps
+    nothing: `veto_all`.
+    """
+    keys, x = list(keys), chosen_features(columns, cfg.allowlist, cfg.cap)
+    rows = stage(rows.select(*keys, "ts", "pos", "high", "low", "close", "entry", *x), "filter-rows")
+    every = stage(barrier_events(rows, cfg.horizon, cfg.take, cfg.stop, cfg.vol_window, cfg.bps, keys, rows_per_block), "filter-events")
+    size = every.groupBy(*keys).agg(F.count("*").alias("events"), F.sum("label").alias("positive"))
+    some = size.where(F.col("events") >= max(2, cfg.min_events))
+    events = look_up(every, some.select(*keys), keys, F.col("entry_idx"))
+    weighted = uniqueness_weights(events, rows, keys, rows_per_block).join(rows.select(*keys, F.col("pos").alias("entry_idx"), *x), [*keys, "entry_idx"])
+    folds = stage(standardise(cpcv_rows(weighted, cfg.groups, cfg.test_groups, cfg.gap, cfg.max_folds, keys=keys, rows=rows_per_block), x, [*keys, "fold"]), "filter-folds")
+    beta = fit_folds(folds, x, [*keys, "fold"], penalty=cfg.penalty, c=cfg.c, balanced=cfg.balanced)
+    scored = stage(score_folds(folds, beta, x, [*keys, "fold"]), "filter-scores")
+    mean = stage(mean_probability(scored, [*keys, "entry_idx"]), "filter-means")
+    threshold = threshold_scan(mean, keys, threshold_grid(*cfg.grid), cfg.floor, cfg.objective)
+    report = stage(rows.select(*keys).distinct().join(size, keys, "left").join(threshold, keys, "left").select(
+        *keys, F.coalesce("events", F.lit(0)).alias("events"), F.coalesce("positive", F.lit(0)).alias("positive"), "threshold", F.coalesce("valid_count", F.lit(0)).alias("valid_count"),
+        "precision", "recall", "f05", F.coalesce("veto_all", F.lit(True)).alias("veto_all"),
+        F.when(F.coalesce("events", F.lit(0)) < max(2, cfg.min_events), "insufficient_events").when(F.coalesce("veto_all", F.lit(True)), "precision_floor_unmet_global").otherwise("ok").alias("reason")), "filter-report")
+    limits = report.where("NOT veto_all").select(*keys, "threshold")
+    kept = look_up(mean, limits, keys, F.col("entry_idx")).where(F.col("prob") >= F.col("threshold"))
+    return stage(kept.select(*keys, F.col("entry_idx").alias("pos")), "filter-kept"), report
+
+
 def provenance_counts(events: DataFrame, keys: Sequence[str] = ("symbol",)) -> DataFrame:
     return events.groupBy(*keys, "provenance").agg(F.count("*").alias("events"), F.avg("net_return").alias("avg_net_return"))

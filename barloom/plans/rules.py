@@ -11,6 +11,7 @@ import json
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from itertools import product
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -271,25 +272,43 @@ HISTORY = {
 # --- entry and exit conditions ----------------------------------------------------------------
 
 
-def _banded(x: Column, px: Column, lo: Column, hi: Column, revert: str, breakout: str) -> dict[str, tuple[Column, Column]]:
+class Ops(NamedTuple):
+    """What conditions are built from: crossings of a level, and a boolean with missing read as false."""
+
+    above: Callable
+    below: Callable
+    flag: Callable
+
+
+COLUMNS = Ops(crossed_above, crossed_below, flag)
+ARRAYS = Ops(lambda prev, now, level: (prev <= level) & (now > level), lambda prev, now, level: (prev >= level) & (now < level), lambda x: x)  # NaN compares as false
+# Fields of a variant's state, in the order of the arrays that a sweep reads.
+STATE_FIELDS = {
+    "rsi": ("x", "px"), "macd": ("m", "pm", "s", "h", "ph"), "ema_cross": ("x", "px"), "bollinger": ("c", "m", "s", "pc", "pm", "ps"), "stoch_rsi": ("x", "px"),
+    "adx": ("p", "q", "a", "x", "px"), "cci": ("x", "px"), "atr_regime": ("x", "px", "ratio"),
+}
+
+
+def _banded(x: Column, px: Column, lo: Column, hi: Column, revert: str, breakout: str, ops: Ops) -> dict[str, tuple[Column, Column]]:
     return {
-        revert: (crossed_below(px, x, lo), crossed_above(px, x, hi)),
-        breakout: (crossed_above(px, x, hi), crossed_below(px, x, lo)),
+        revert: (ops.below(px, x, lo), ops.above(px, x, hi)),
+        breakout: (ops.above(px, x, hi), ops.below(px, x, lo)),
     }
 
 
-def conditions(family: str, s: Column, p: Column) -> dict[str, tuple[Column, Column]]:
-    """(entry, exit) of every rule key of a family, from state `s` and parameters `p`."""
+def conditions(family: str, s: Column, p: Column, ops: Ops = COLUMNS) -> dict[str, tuple[Column, Column]]:
+    """(entry, exit) of every rule key of a family, from state `s` and parameters `p`: columns, or arrays with `ARRAYS`."""
+    crossed_above, crossed_below, flag = ops
     if family == "rsi":
         x, px, lo, hi = s["x"], s["px"], p["lower"], p["upper"]
         return {
-            **_banded(x, px, lo, hi, "mean_revert", "breakout"),
+            **_banded(x, px, lo, hi, "mean_revert", "breakout", ops),
             "centerline": (crossed_above(px, x, 50.0) & flag(x < hi), crossed_below(px, x, 50.0) & flag(x > lo)),
         }
     if family == "stoch_rsi":
-        return _banded(s["x"], s["px"], p["lower"], p["upper"], "stoch_mean_revert", "stoch_breakout")
+        return _banded(s["x"], s["px"], p["lower"], p["upper"], "stoch_mean_revert", "stoch_breakout", ops)
     if family == "cci":
-        return _banded(s["x"], s["px"], p["lower"], p["upper"], "cci_mean_revert", "cci_breakout")
+        return _banded(s["x"], s["px"], p["lower"], p["upper"], "cci_mean_revert", "cci_breakout", ops)
     if family == "macd":
         return {
             "momentum_follow": (crossed_above(s["ph"], s["h"], 0.0) & flag(s["m"] > 0), crossed_below(s["ph"], s["h"], 0.0) | flag(s["m"] < 0)),
@@ -478,6 +497,11 @@ CORE_RULES: dict[str, CoreRule] = {
 }
 
 
+def core_features() -> list[str]:
+    """Every feature that a core rule reads."""
+    return sorted({f for c in CORE_RULES.values() for f, _, _ in (*c.entry, *c.exit)})
+
+
 def core_rule_grid(core: str | None = None) -> list[Rule]:
     known = {c.core for c in CORE_RULES.values()}
     if core is not None and core not in known:

@@ -11,6 +11,7 @@ from barloom.functions.expr import clip, clip01, min_max_scale
 from barloom.operators.bars import LOOKBACKS
 from barloom.operators.series import BLOCK_ROWS
 from barloom.plans import backtest as BT
+from barloom.plans import block_sweep as BS
 from barloom.plans import rules as R
 from barloom.session import stage
 
@@ -20,7 +21,6 @@ CREDIBLE_PENALTY = 0.80
 DRAWDOWN_FLOOR = -0.35
 SET_KEYS = ["symbol", "family", "gate", "window", "side"]
 SEGMENT_ROWS = 8_192
-TASK_ROWS = 1_000_000  # rule x bar x window rows of one task
 
 
 def window_table(bars: DataFrame, keys: Sequence[str] = ("symbol",), base_floor: int = 100, overrides: dict[str, int] | None = None,
@@ -57,7 +57,11 @@ def signals_by_window(signals: DataFrame, windows: DataFrame, step: str, keys: S
 
 def candidates(signals: DataFrame, windows: DataFrame, bps: float = 10.0) -> DataFrame:
     """Metrics, penalties and objective margin of every (set, rule)."""
-    m = BT.rule_metrics(signals, [*SET_KEYS, "rule_id"], bps).drop("bars")
+    return candidates_of(BT.rule_metrics(signals, [*SET_KEYS, "rule_id"], bps), windows)
+
+
+def candidates_of(metrics: DataFrame, windows: DataFrame) -> DataFrame:
+    m = metrics.drop("bars")
     # name and size of a rule are part of its id; leaving them out keeps the shuffled rows small
     m = m.withColumns({"rule_key": F.split_part("rule_id", F.lit(":"), F.lit(2)), "n_params": F.regexp_count("rule_id", F.lit("="))})
     out = m.join(windows.select("symbol", "window", "hold_return", "trade_floor"), ["symbol", "window"])
@@ -135,11 +139,6 @@ def rejections(cands: DataFrame, keys: Sequence[str] = SET_KEYS) -> DataFrame:
     )
 
 
-def spread(states: DataFrame, rules: int) -> DataFrame:
-    """Even tasks before the rules multiply the rows, by rows to come: adaptive execution sees only the bytes before."""
-    return states.repartition(max(1, -(-states.count() * rules * len(LOOKBACKS) // TASK_ROWS)))
-
-
 def indicator_sweep(
     bars: DataFrame, families: Sequence[str], step: str, keys: Sequence[str] = ("symbol",), bps: float = 10.0,
     rows: int = BLOCK_ROWS, gate: DataFrame | None = None, inverse: bool = False, min_bars: int = MIN_WINDOW_BARS,
@@ -147,24 +146,26 @@ def indicator_sweep(
 ) -> DataFrame:
     """Candidates of all rules of `families`. `gate` adds gated runs: (symbol, ts, fusion_score, confidence).
 
-    `cores` adds the rules of those feature cores, from `features` on the same bars (see `core_signals`).
+    `cores` adds the rules of those feature cores, from `features` on the same bars (see `core_inputs`).
+    Each family is a written part of its own, so plans and tasks stay small (see `block_sweep`).
     """
     bars = stage(bars, "bars")
-    windows = window_table(bars, keys, min_bars=min_bars)
-    sig = None
-    for f in families:
-        states = stage(R.indicator_states(bars, f, keys, rows), f"states-{f}")
-        part = R.expand_rules(spread(states, len(R.rule_grid(f))), f, keys)
-        sig = part if sig is None else sig.unionByName(part)
-    for c in cores:
-        part = R.core_signals(features, c, keys, rows)  # a few dozen rules
-        sig = part if sig is None else sig.unionByName(part)
-    levels = None
-    if gate is not None:  # from the bars: each rule has a row of every bar
+    windows = stage(window_table(bars, keys, min_bars=min_bars), "windows")
+    about = windows
+    if gate is not None:
+        gate = stage(gate.select(*keys, "ts", "fusion_score", "confidence"), "gate")
         inside = signals_by_window(bars.select(*keys, "ts"), windows, step, keys)
-        levels = stage(R.gate_levels(inside.join(gate, [*keys, "ts"]), [*keys, "window"]), "gate-levels")
-    runs = gated_runs(signals_by_window(sig, windows, step, keys), gate, keys, inverse, levels)
-    return stage(candidates(runs, windows, bps), "candidates")
+        about = windows.join(stage(R.gate_levels(inside.join(gate, [*keys, "ts"]), [*keys, "window"]), "gate-levels"), [*keys, "window"], "left")
+    inputs = [(BS.indicator_inputs(bars, f, keys, rows), R.rule_grid(f), BS.indicator_matrices(f)) for f in families]
+    if cores:
+        inputs.append((BS.core_inputs(features, keys, rows), [r for c in cores for r in R.core_rule_grid(c)], BS.core_matrices()))
+    parts = None
+    for states, rules, signals in inputs:
+        if gate is not None:
+            states = states.join(gate, [*keys, "ts"], "left")
+        part = stage(BS.segments(states, about, rules, signals, step, SEGMENT_ROWS, keys, bps, gate is not None, inverse), "segments")
+        parts = part if parts is None else parts.unionByName(part)
+    return stage(candidates_of(BS.metrics(parts, [*SET_KEYS, "rule_id"]), windows), "candidates")
 
 
 def gated_runs(signals: DataFrame, scores: DataFrame | None = None, keys: Sequence[str] = ("symbol",), inverse: bool = False,

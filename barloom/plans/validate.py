@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from barloom.functions.expr import clip, clip01
 from barloom.operators.series import BLOCK_ROWS, by_blocks
 from barloom.plans import backtest as BT
+from barloom.plans.metalabel import FilterConfig, entry_filter
 from barloom.session import stage
 
 MIN_FOLD_ROWS = 20
@@ -168,6 +169,38 @@ def validation_rows(winners: DataFrame, signals: DataFrame, keys: Sequence[str],
     return out.withColumn("passes", F.size("failed_reasons") == 0)
 
 
+def sampled_rows(rows: DataFrame, keys: Sequence[str], step: int, block: int = BLOCK_ROWS) -> DataFrame:
+    """Every `step`-th of the rows `pos` = 0 .. n - 1 of a key and its last one, as `idx` of a new `n`, with new `ret`."""
+    keys, last = list(keys), F.col("n") - 1
+    kept = rows.where((F.col("pos") % step == 0) | (F.col("pos") == last))
+    cut = kept.select(*keys, "ts", "seg", "close", "entry", "exit", F.ceil(F.col("pos") / step).alias("pos"), (F.ceil(last / step) + 1).alias("n"))
+    out = by_blocks(cut, keys, lambda df, w: df.withColumn("ret", F.col("close") / F.lag("close").over(w) - 1.0), 1, rows=block)
+    return out.withColumnRenamed("pos", "idx")
+
+
+def filtered_validation(winners: DataFrame, rows: DataFrame, columns: Sequence[str], keys: Sequence[str], trials: DataFrame, cfg: FilterConfig = FilterConfig(),
+                        step: int = 6, strictness: str = "balanced", splits: int = 4, folds: int = 4, purge: int = 120, bps: float = 10.0) -> DataFrame:
+    """Validation of each winner with its own entry filter: only kept entries reach metrics, folds and friction.
+
+    rows: every bar of each winner's window: keys, ts, seg, pos (dense from 0), n, high, low, close, ret,
+    entry, exit and the feature columns. winners: the sweep's rows with `hold_return` and `trade_floor`;
+    their return, trades, win rate, drawdown and margin are measured anew on the kept entries. A key
+    whose filter vetoes everything fails with a reason of its own.
+    """
+    keys = list(keys)
+    rows = stage(rows, "winner-rows")
+    kept, report = entry_filter(rows, columns, keys, cfg)
+    rows = rows.join(kept.withColumn("_kept", F.lit(True)), [*keys, "pos"], "left")
+    rows = stage(rows.withColumn("raw_entry", F.col("entry")).withColumn("entry", F.col("entry") & F.coalesce("_kept", F.lit(False))).drop("_kept"), "filtered-rows")
+    counts = rows.groupBy(*keys).agg(F.count_if("raw_entry").alias("entries_raw"), F.count_if("entry").alias("entries_kept"))
+    m = BT.rule_metrics(rows, keys, bps).select(*keys, "total_return", "net_return", "max_drawdown", "win_rate", "trades")
+    own = winners.drop("total_return", "net_return", "max_drawdown", "win_rate", "trades", "alpha", "beats_hold").join(m, keys)
+    own = own.withColumn("alpha", F.col("net_return") - F.col("hold_return"))
+    out = validation_rows(own, sampled_rows(rows, keys, step), keys, trials, strictness, splits, folds, purge, bps)
+    report = report.select(*keys, "events", "positive", "threshold", "valid_count", "precision", "veto_all", "reason")
+    return with_meta_veto(out, report, keys).join(report, keys, "left").join(counts, keys)
+
+
 def light_validation(candidates: DataFrame, strictness: str = "balanced") -> DataFrame:
     """Validation from summary metrics alone: the whole window stands in for every fold."""
     won = (F.col("alpha") >= 0).cast("double")
