@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from barloom import session
 from barloom.session import staging_dir
 
-__all__ = ["stage", "staging_dir", "table", "whole_text", "words_of", "WHITE", "chunks", "split_words", "shingle_hashes", "mix", "connected", "Powers", "byte_sums", "range_hashes", "fit_logistic", "labelled"]
+__all__ = ["stage", "staging_dir", "table", "whole_text", "words_of", "WHITE", "chunks", "split_words", "shingle_hashes", "mix", "connected", "Powers", "byte_sums", "range_hashes", "fit_logistic", "labelled", "without", "unused"]
 
 WHITE = r"[\x20\x09-\x0D]+"  # what separates words, also in every SQL of this package
 CHUNK_BYTES = 1 << 20  # texts are hashed in slices of about this size; a longer text is a slice of its own
@@ -40,6 +40,18 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def without(docs: DataFrame, results: tuple[str, ...]) -> DataFrame:
+    """docs without columns that have the name of a result: the result replaces them."""
+    return docs.drop(*[c for c in docs.columns if c in results])
+
+
+def unused(docs: DataFrame, name: str) -> str:
+    """`name`, with underscores behind it until docs has no such column."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def words_of(text: Column) -> Column:
     """Number of words of a text, native: pieces between blanks that are not empty."""
     return F.size(F.array_remove(F.split(F.translate(text, "\t\n\x0b\x0c\r", "     "), " "), "")).cast("long")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.base import Powers, chunks, mix, shingle_hashes, split_words, whole_text
+from barloom.llm.base import Powers, chunks, mix, shingle_hashes, split_words, unused, whole_text
 
 SHINGLE = 5
 SIMILAR = 0.8
@@ -176,15 +176,15 @@ def _searched(index, similar: float):
     return run
 
 
-def _passed(index, similar: float):
+def _passed(index, similar: float, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, items = Powers(), index.value
         for b in batches:
             bad = np.zeros(len(b), dtype=bool)
-            for at, end, data, offsets in chunks(b.column("dc_text")):
+            for at, end, data, offsets in chunks(b.column(name)):
                 for r in leaks_of(end - at, *split_words(data, offsets, powers, marks=True), items, similar):
                     bad[at + r[0]] = True
-            yield b.filter(pa.array(~bad)).drop_columns(["dc_text"])
+            yield b.filter(pa.array(~bad)).drop_columns([name])
 
     return run
 
@@ -223,5 +223,6 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILA
     """Rows and columns of docs whose text holds no benchmark item; no shuffle."""
     out = docs
     for i in item_indexes(benchmark, shingle, radius, items):
-        out = out.withColumn("dc_text", whole_text()).mapInArrow(_passed(i, similar), docs.schema)
+        name = unused(docs, "dc_text")
+        out = out.withColumn(name, whole_text()).mapInArrow(_passed(i, similar, name), docs.schema)
     return out

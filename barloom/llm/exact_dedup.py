@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.base import stage, staging_dir, whole_text
+from barloom.llm.base import stage, staging_dir, whole_text, without
 
 ROCKS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -26,6 +26,9 @@ ROCKS = {
 }
 
 
+RESULTS = ("dd_digest", "dd_place", "keep_id", "group_size", "kept", "keep_place", "dd_text")
+
+
 def one_space(text: Column) -> Column:
     """Each run of white space as one space."""
     return F.regexp_replace(text, r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]", " ")
@@ -63,8 +66,9 @@ def grouped_copies(docs: DataFrame, digest: Callable[[Column], Column] = sha256)
     docs: doc_id long, text string, more columns allowed. Texts are equal when they agree after each
     run of white space became one space; null counts as empty. The row with the smallest doc_id stays;
     of repeated rows with that doc_id exactly one. Rows without doc_id stay only where their whole
-    group has none.
+    group has none. Columns of docs with the name of a result are replaced by it.
     """
+    docs = without(docs, RESULTS)
     spark = docs.sparkSession
     marked = docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("dd_digest", digest(one_space(whole_text()))).withColumn("dd_place", F.monotonically_increasing_id())
     path = f"{staging_dir(spark).rstrip('/')}/op7-rows-{uuid.uuid4().hex}"
@@ -76,7 +80,7 @@ def grouped_copies(docs: DataFrame, digest: Callable[[Column], Column] = sha256)
         state.where("group_size > 1").select("dd_digest", "keep_place"), "dd_digest"), "op7-hits")
     kept = hits.where("dd_place = keep_place").select("dd_digest", F.col("text").alias("kept_text"))
     clash = stage(hits.where("dd_place <> keep_place").join(kept, "dd_digest").where("text <> kept_text").select("dd_digest").distinct(), "op7-clashes")
-    columns = [*docs.columns, "dd_digest", "dd_place", "keep_id", "group_size", "kept"]
+    columns = [*docs.columns, *RESULTS[:5]]
     decided = lambda rows: rows.withColumn("kept", F.col("dd_place") == F.col("keep_place")).select(*columns)
     if clash.isEmpty():
         return decided(marked.join(state, "dd_digest"))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.base import chunks, fit_logistic, labelled, stage, whole_text
+from barloom.llm.base import chunks, fit_logistic, labelled, stage, whole_text, without
 
 TRAIN_ROWS = 20_000  # labelled documents that the model is fitted on, at most
 SMALL = 50_000  # paths up to this number are broadcast, more are joined by hash
@@ -23,6 +23,10 @@ SMALL = 50_000  # paths up to this number are broadcast, more are joined by hash
 CLASSES = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " ", "\n\r", ".,", "!", "?", "|", "$%&*#", "-_=+", "()[]{}<>", "\"'`", ":;", "/\\@", "\t")
 
 
+RESULTS = ("qc_doc", "qc_host", "qc_path", "qc_prior", "host_posterior", "path_posterior", "qc_score", "qc_kept")
+HOST, PATH = "qc_host_of_row", "qc_path_of_row"
+
+
 def class_shares(column: pa.Array) -> np.ndarray:
     """Shares of the character classes (the last: all other bytes) and the log of the length."""
     kind = np.full(256, len(CLASSES), dtype=np.uint8)
@@ -84,7 +88,7 @@ def strength(groups: DataFrame, mean: str, count: str, prior: str) -> Column:
 
 
 def site_posteriors(scored: DataFrame) -> DataFrame:
-    """Host and path posteriors from qc_doc of all documents: qc_host, qc_path, prior, host_posterior, path_posterior."""
+    """Host and path posteriors from qc_doc of all documents: qc_host, qc_path, qc_prior, host_posterior, path_posterior."""
     paths = stage(scored.groupBy("qc_host", "qc_path").agg(F.sum("qc_doc").alias("good"), F.count("*").alias("n")), "op6-paths")
     total = paths.agg((F.sum("good") / F.sum("n")).alias("prior"))
     hosts = paths.groupBy("qc_host").agg(F.sum("good").alias("good"), F.sum("n").alias("n")).crossJoin(F.broadcast(total)).withColumn("mean", F.col("good") / F.col("n"))
@@ -92,7 +96,7 @@ def site_posteriors(scored: DataFrame) -> DataFrame:
     hosts = hosts.crossJoin(F.broadcast(weight)).select("qc_host", "prior", ((F.col("good") + F.col("k") * F.col("prior")) / (F.col("n") + F.col("k"))).alias("host_posterior"))
     both = paths.join(hosts, "qc_host").withColumn("mean", F.col("good") / F.col("n"))
     weight = both.agg(strength(both, "mean", "n", "host_posterior").alias("k"))
-    return stage(both.crossJoin(F.broadcast(weight)).select("qc_host", "qc_path", "prior", "host_posterior", (
+    return stage(both.crossJoin(F.broadcast(weight)).select("qc_host", "qc_path", F.col("prior").alias("qc_prior"), "host_posterior", (
         (F.col("good") + F.col("k") * F.col("host_posterior")) / (F.col("n") + F.col("k"))).alias("path_posterior")), "op6-sites")
 
 
@@ -102,16 +106,20 @@ def graded(docs: DataFrame, labels: DataFrame, host: str = "source", path: str =
     docs: doc_id, text, host and path columns, more allowed; labels: doc_id, quality. The model is
     fitted on at most `most` labelled documents; scores and site sums take every row. Null hosts and
     paths are the value "unknown", null text is empty. Without labels of both kinds every model score
-    is 0.5 and everything is kept.
+    is 0.5 and everything is kept. Columns of docs with the name of a result are replaced by it, but for
+    the host and path columns, which may have any name.
     """
+    rows = docs.withColumns({HOST: F.coalesce(F.col(host).cast("string"), F.lit("unknown")), PATH: F.coalesce(F.col(path).cast("string"), F.lit("unknown"))})
+    docs = without(docs, RESULTS)
     model = fit(docs, labels, most)
     text = whole_text()
-    rows = docs.withColumns({"qc_doc": document_score(model, text), "qc_host": F.coalesce(F.col(host).cast("string"), F.lit("unknown")), "qc_path": F.coalesce(F.col(path).cast("string"), F.lit("unknown"))})
+    rows = rows.drop("qc_host", "qc_path").withColumnsRenamed({HOST: "qc_host", PATH: "qc_path"})
+    rows = rows.select(*docs.columns, "qc_host", "qc_path").withColumn("qc_doc", document_score(model, text))
     sites = site_posteriors(rows.select("qc_host", "qc_path", "qc_doc"))
     if sites.count() <= SMALL:
         sites = F.broadcast(sites)
     odds = lambda c: F.log(F.col(c) / (1 - F.col(c)))
     clip = lambda c: F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), F.col(c)))
-    out = rows.join(sites, ["qc_host", "qc_path"]).withColumns({c: clip(c) for c in ("qc_doc", "prior", "host_posterior", "path_posterior")})
-    out = out.withColumn("qc_score", 1 / (1 + F.exp(-(odds("qc_doc") + odds("path_posterior") - odds("prior")))))
+    out = rows.join(sites, ["qc_host", "qc_path"]).withColumns({c: clip(c) for c in ("qc_doc", "qc_prior", "host_posterior", "path_posterior")})
+    out = out.withColumn("qc_score", 1 / (1 + F.exp(-(odds("qc_doc") + odds("path_posterior") - odds("qc_prior")))))
     return out.withColumn("qc_kept", F.col("qc_score") >= threshold).select(*docs.columns, "qc_doc", "qc_host", "qc_path", "host_posterior", "path_posterior", "qc_score", "qc_kept")

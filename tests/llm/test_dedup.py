@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 
 from barloom.llm import exact_dedup, ngram_join, suffix_dedup
 
-DOCS = "doc_id long, text string, lang string, gram long, dd_digest string, component string"  # names that the operators use inside
+DOCS = "doc_id long, text string, lang string, gram long, dd_digest string, component string, keep_id string, kept string, prior int"  # names that the operators use inside
 
 
 def frame(spark, rows):
-    return spark.createDataFrame([(i, t, "en", 1, "x", "y") for i, t in rows], DOCS)
+    return spark.createDataFrame([(i, t, "en", 1, "x", "y", "k", "no", 2) for i, t in rows], DOCS)
 
 
 def prose(seed, n, words=300):
@@ -84,8 +84,8 @@ def test_copies_equal_brute_force(spark):
         groups[norm(t)].append(i)
     weak = lambda text: F.unhex(F.substring(F.sha2(text, 256), 1, 2))  # noqa: E731 a digest that clashes
     for digest in (exact_dedup.sha256, weak):
-        out = exact_dedup.grouped_copies(frame(spark, rows).repartition(3).drop("dd_digest"), digest)
-        assert out.columns[:5] == ["doc_id", "text", "lang", "gram", "component"]
+        out = exact_dedup.grouped_copies(frame(spark, rows).repartition(3), digest)
+        assert out.columns == ["doc_id", "text", "lang", "gram", "component", "prior", "dd_digest", "dd_place", "keep_id", "group_size", "kept"]
         got = out.collect()
         assert len(got) == len(rows)
         for r in got:
@@ -128,6 +128,6 @@ def test_loser_tree_merges_with_right_prefixes():
     assert lcp[1:] == [suffix_dedup._shared(a, b, 0) for a, b in zip(out, out[1:])]
 
 
-@pytest.mark.parametrize("run", [lambda d: ngram_join.similar_groups(d), lambda d: exact_dedup.grouped_copies(d.drop("dd_digest")), lambda d: suffix_dedup.cut_repeats(d)])
+@pytest.mark.parametrize("run", [lambda d: ngram_join.similar_groups(d), lambda d: exact_dedup.grouped_copies(d), lambda d: suffix_dedup.cut_repeats(d)])
 def test_empty_table(spark, run):
     assert run(frame(spark, [])).count() == 0
