@@ -1,8 +1,9 @@
 """Toxicity by a weighted finite-state pattern grammar (operator 4).
 
-Words become symbols: INSULT, THREAT, TARGET, NEGATION, REPORT, clause BREAK, or OTHER. Small
-transducers read the symbols and each keeps one thing in its state: whether a negation is near,
-whether the clause reports what others say, whether someone is addressed. Their composition runs over
+Words become symbols: INSULT, THREAT, TARGET, NEGATION, REPORT, the end of a sentence (BREAK) or of a
+clause inside it (SOFT), or OTHER. Small transducers read the symbols and each keeps one thing in its
+state: whether a negation is near, whether the clause reports what others say, whether someone is
+addressed. A report reaches over the comma or colon behind it, and back over the one before it. Their composition runs over
 the symbols once; at the end of a clause it emits the clause's score, so words count by the clause
 they stand in. Insults are learned: word beginnings that labelled toxic documents have and others do
 not. A logistic model turns the clause scores of a document into a probability.
@@ -28,7 +29,9 @@ BUCKETS = 1 << 20  # counters of the word beginnings, a fixed size
 MOST_STEMS = 5_000  # learned beginnings, the strongest of those that pass
 LEAST_DOCS, LEAST_SHARE, LEAST_ODDS = 3, 0.005, 3.0  # a learned beginning: toxic documents, their share, log odds
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, BREAK = range(7)
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, BREAK, SOFT = range(8)
+SYMBOLS = 8
+REPORTED = 0.7  # what a reported insult or threat counts
 
 # Words of the grammar in four languages (fixed values of this library).
 WORDS = {
@@ -49,23 +52,23 @@ def negation_machine(symbol: int, state: int) -> Step:
     """A negation weakens insults and threats among the next three words of its clause."""
     if symbol == NEGATION:
         return Step(3, 1.0, 0.0)
-    if symbol == BREAK:
+    if symbol in (BREAK, SOFT):
         return Step(0, 1.0, 0.0)
     return Step(max(0, state - 1), 0.6 if state and symbol in (INSULT, THREAT) else 1.0, 0.0)
 
 
 def report_machine(symbol: int, state: int) -> Step:
-    """What a clause reports counts less."""
+    """What a clause reports counts less, there (state 1) and in the clause behind the next comma or colon (state 2)."""
     if symbol == REPORT:
         return Step(1, 1.0, 0.0)
-    if symbol == BREAK:
-        return Step(0, 1.0, 0.0)
-    return Step(state, 0.7 if state and symbol in (INSULT, THREAT) else 1.0, 0.0)
+    if symbol in (BREAK, SOFT):
+        return Step(2 if state == 1 and symbol == SOFT else 0, 1.0, 0.0)
+    return Step(state, REPORTED if state and symbol in (INSULT, THREAT) else 1.0, 0.0)
 
 
 def target_machine(symbol: int, state: int) -> Step:
     """An insult or threat that meets a target in its clause, before or after it, counts more, once a clause."""
-    if symbol == BREAK:
+    if symbol in (BREAK, SOFT):
         return Step(0, 1.0, 0.0)
     met, hit = state & 1 or symbol == TARGET, state & 2 or symbol in (INSULT, THREAT)
     state_now = (1 if met else 0) | (2 if hit else 0) | (state & 4)
@@ -74,17 +77,17 @@ def target_machine(symbol: int, state: int) -> Step:
     return Step(state_now, 1.0, 0.0)
 
 
-MACHINES = ((negation_machine, 4), (report_machine, 2), (target_machine, 8))
+MACHINES = ((negation_machine, 4), (report_machine, 3), (target_machine, 8))
 
 
 def compose() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Product of the machines as tables by state and symbol: next state, factor, bonus."""
     sizes = [n for _, n in MACHINES]
-    shape = (int(np.prod(sizes)), 7)
+    shape = (int(np.prod(sizes)), SYMBOLS)
     after, factor, bonus = np.zeros(shape, np.int64), np.ones(shape), np.zeros(shape)
     for states in itertools.product(*(range(n) for n in sizes)):
         here = int(np.ravel_multi_index(states, sizes))
-        for symbol in range(7):
+        for symbol in range(SYMBOLS):
             steps = [m(symbol, s) for (m, _), s in zip(MACHINES, states, strict=True)]
             after[here, symbol] = np.ravel_multi_index([x.state for x in steps], sizes)
             factor[here, symbol] = np.prod([x.factor for x in steps])
@@ -99,10 +102,11 @@ class Grammar:
         order = np.argsort(stems)
         self.stems, self.weights = stems[order], weights[order]
         self.after, self.factor, self.bonus = (t.tolist() for t in compose())
+        self.reported = [bool(np.unravel_index(k, [n for _, n in MACHINES])[1]) for k in range(len(self.after))]
         powers, codes, kinds = Powers(), [], []
         for kind, words in WORDS.items():
             data = np.frombuffer(words.encode(), np.uint8)
-            code = split_words(data, np.array([0, len(data)]), powers)[3]
+            code = split_words(data, np.array([0, len(data)]), powers, marks=True)[3]  # cut as texts are: isn't is two words
             codes.append(code)
             kinds.append(np.full(len(code), kind))
         codes, kinds = np.concatenate(codes), np.concatenate(kinds)
@@ -129,15 +133,39 @@ class Grammar:
         weight[kind == THREAT] = 1.0
         hot = np.zeros(len(offsets) - 1, dtype=bool)
         hot[owner[(kind == INSULT) | (kind == THREAT)]] = True
-        stop = np.zeros(256, dtype=bool)
-        stop[[ord(c) for c in ".!?;:,\n"]] = True
+        stop = np.zeros(256, dtype=np.int64)
+        stop[[ord(c) for c in ".!?;\n"]], stop[[ord(c) for c in ",:"]] = BREAK, SOFT
         cuts = np.flatnonzero(stop[data])
         cut_owner = np.searchsorted(offsets, cuts, side="right") - 1
         cuts, cut_owner = cuts[hot[cut_owner]], cut_owner[hot[cut_owner]]
         words = np.flatnonzero(hot[owner])
         place = np.r_[start[words], cuts]
         order = np.argsort(place, kind="stable")
-        return np.r_[owner[words], cut_owner][order], np.r_[kind[words], np.full(len(cuts), BREAK)][order], np.r_[weight[words], np.zeros(len(cuts))][order]
+        return np.r_[owner[words], cut_owner][order], np.r_[kind[words], stop[data[cuts]]][order], np.r_[weight[words], np.zeros(len(cuts))][order]
+
+    def clauses(self, kind: list[int], weight: list[float]) -> tuple[list[float], int]:
+        """Scores of the clauses of a text that have one, and the number of clauses."""
+        state, score, scores, clauses = 0, 0.0, [], 0
+        before = -1  # place of the clause in front of this one, where a report may still follow
+        told = verb = False  # this clause is reported already; it has a verb of saying
+        for k, w in zip([*kind, BREAK], [*weight, 0.0], strict=True):
+            if k == REPORT:
+                verb = True
+                if before >= 0:
+                    scores[before], before = scores[before] * REPORTED, -1
+            if k in (INSULT, THREAT) and self.reported[state]:
+                told = True
+            score += w * self.factor[state][k] + self.bonus[state][k]
+            state = self.after[state][k]
+            if k in (BREAK, SOFT):
+                clauses += 1
+                before = -1
+                if score:
+                    scores.append(score)
+                    if k == SOFT and not told and not verb:
+                        before = len(scores) - 1
+                score, told, verb = 0.0, False, False
+        return scores, clauses
 
     def features(self, data, offsets, powers: Powers) -> np.ndarray:
         """Per text: log of all clause scores, the largest, the share of scored clauses, log of bare insults, threats."""
@@ -146,15 +174,7 @@ class Grammar:
         cut = np.searchsorted(owner, np.arange(len(offsets)))
         for t in np.flatnonzero(np.diff(cut)).tolist():
             a, b = cut[t], cut[t + 1]
-            state, score, scores, clauses = 0, 0.0, [], 0
-            for k, w in zip(kind[a:b].tolist() + [BREAK], weight[a:b].tolist() + [0.0], strict=True):
-                score += w * self.factor[state][k] + self.bonus[state][k]
-                state = self.after[state][k]
-                if k == BREAK:
-                    clauses += 1
-                    if score:
-                        scores.append(score)
-                    score = 0.0
+            scores, clauses = self.clauses(kind[a:b].tolist(), weight[a:b].tolist())
             bare = weight[a:b][kind[a:b] == INSULT].sum()
             threats = (kind[a:b] == THREAT).sum()
             scores = scores if bare or threats else []
@@ -281,7 +301,7 @@ def toxicity(grammar: Grammar, weights: np.ndarray | None, text: Column) -> Colu
 
 
 def scored(docs: DataFrame, labels: DataFrame, learn_from: Column | None = None, most: int = TRAIN_ROWS) -> DataFrame:
-    """docs plus tox_score.
+    """docs plus tox_score, which replaces a column of that name.
 
     docs: doc_id, text, more columns allowed; labels: doc_id, toxic. learn_from: condition on doc_id
     of the labels that may be learned from. Lexicon and model come from at most `most` of those; texts
