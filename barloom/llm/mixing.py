@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.base import stage, whole_text, words_of
+from barloom.llm.base import stage, whole_text, without, words_of
 
 MARGINS = ("source", "lang", "topic")
 SMALL = 10_000  # cells up to this number are broadcast, more are joined by hash
@@ -24,6 +24,9 @@ TOLERANCE = 1e-13  # of the shares of each margin
 TOPICS = (("licence", ("License", "license", "Copyright", "copyright")), ("table", (" | ",)), ("shouting", ("!!",)), ("contact", ("@", " +")))
 
 
+RESULTS = ("mx_source", "mx_lang", "mx_topic", "mx_tokens", "mx_draw", "mx_probability", "mx_kept")
+
+
 def topic_of(text: Column) -> Column:
     out = F.lit("prose")
     for name, marks in reversed(TOPICS):
@@ -32,7 +35,8 @@ def topic_of(text: Column) -> Column:
 
 
 def described(docs: DataFrame, seed: str = "") -> DataFrame:
-    """docs plus mx_source, mx_lang, mx_topic, mx_tokens and mx_draw."""
+    """docs plus mx_source, mx_lang, mx_topic, mx_tokens and mx_draw; columns of these names are replaced."""
+    docs = without(docs, RESULTS)
     text = whole_text()
     return docs.withColumns({
         "mx_source": F.coalesce(F.col("source").cast("string"), F.lit("unknown")), "mx_lang": F.coalesce(F.col("lang").cast("string"), F.lit("unknown")),
@@ -89,11 +93,13 @@ class Factors:
         return sums.agg(F.max("_off")).first()[0]
 
 
-def raked(cells: DataFrame, powers: dict[str, float], wanted: dict[str, dict[str, float]], tolerance: float = TOLERANCE, rounds: int = 1000, small: int = SMALL_MARGIN) -> DataFrame:
+def raked(cells: DataFrame, powers: dict[str, float], wanted: dict[str, dict[str, float]], tolerance: float = TOLERANCE, rounds: int = 100, small: int = SMALL_MARGIN, strict: bool = True) -> DataFrame:
     """Cells with their raked weight; the rounds end where every margin is within `tolerance` of its target.
 
     The cells keep their present weight; each margin has one table of factors, fitted in turn to the
-    cells times the factors of the other margins. A cell's raked weight is the product at the end.
+    cells times the factors of the other margins. A cell's raked weight is the product at the end. Targets
+    that contradict each other are an error; without `strict`, the weights after `rounds` rounds count, of
+    which the last margin is met.
     """
     total = cells.agg(F.sum("tokens").alias("all"))
     base = stage(cells.where("tokens > 0").crossJoin(F.broadcast(total)).withColumn("weight", F.col("tokens") / F.col("all")).drop("all"), "op1-weights")
@@ -103,10 +109,13 @@ def raked(cells: DataFrame, powers: dict[str, float], wanted: dict[str, dict[str
     for _ in range(rounds):
         worst = max(f.fitted(base, [o for o in factors if o is not f]) for f in factors)
         if worst < tolerance:
-            for f in factors:
-                base = f.applied(base)
-            return base.withColumn("weight", reduce(Column.__mul__, [F.col(f.name) for f in factors], F.col("weight"))).drop(*[f.name for f in factors])
-    raise RuntimeError(f"margins do not agree after {rounds} rounds (off by {worst:.3g}): the targets cannot be met together")
+            break
+    else:
+        if strict:
+            raise RuntimeError(f"margins do not agree after {rounds} rounds (off by {worst:.3g}): the targets cannot be met together")
+    for f in factors:
+        base = f.applied(base)
+    return base.withColumn("weight", reduce(Column.__mul__, [F.col(f.name) for f in factors], F.col("weight"))).drop(*[f.name for f in factors])
 
 
 def draw(doc_id: Column, text: Column, seed: str = "") -> Column:
@@ -114,10 +123,10 @@ def draw(doc_id: Column, text: Column, seed: str = "") -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.coalesce(doc_id.cast("string"), text), F.lit(seed))), 1, 12), 16, 10).cast("double") / float(1 << 48)
 
 
-def drawn(rows: DataFrame, powers: dict[str, float] | None = None, wanted: dict[str, dict[str, float]] | None = None, tolerance: float = TOLERANCE) -> DataFrame:
+def drawn(rows: DataFrame, powers: dict[str, float] | None = None, wanted: dict[str, dict[str, float]] | None = None, tolerance: float = TOLERANCE, strict: bool = True) -> DataFrame:
     """Described rows plus mx_probability and mx_kept."""
     sums = rows.groupBy("mx_source", "mx_lang", "mx_topic").agg(F.sum("mx_tokens").alias("tokens"))
-    cells = raked(stage(sums, "op1-cells"), powers or {}, wanted or {}, tolerance)
+    cells = raked(stage(sums, "op1-cells"), powers or {}, wanted or {}, tolerance, strict=strict)
     ratio = cells.withColumn("ratio", F.col("weight") / F.col("tokens"))
     top = ratio.agg(F.max("ratio").alias("top"))
     chance = stage(ratio.crossJoin(F.broadcast(top)).select("mx_source", "mx_lang", "mx_topic", (F.col("ratio") / F.col("top")).alias("mx_probability")), "op1-chances")
@@ -127,13 +136,15 @@ def drawn(rows: DataFrame, powers: dict[str, float] | None = None, wanted: dict[
     return out.withColumn("mx_kept", F.col("mx_draw") < F.col("mx_probability")).select(*rows.columns, "mx_probability", "mx_kept")
 
 
-def mixed(docs: DataFrame, powers: dict[str, float] | None = None, wanted: dict[str, dict[str, float]] | None = None, seed: str = "", tolerance: float = TOLERANCE) -> DataFrame:
+def mixed(docs: DataFrame, powers: dict[str, float] | None = None, wanted: dict[str, dict[str, float]] | None = None, seed: str = "", tolerance: float = TOLERANCE, strict: bool = True) -> DataFrame:
     """docs plus mx_source, mx_lang, mx_topic, mx_tokens, mx_draw, mx_probability, mx_kept.
 
     docs: doc_id, text, lang, source, more columns allowed. Null lang or source is the value
     "unknown". A document without words weighs nothing and is not drawn. powers: exponent per margin
     (0.5 where none is given), wanted: given weights per margin, which replace the exponent; values
     that they leave out get nothing. Repeated rows are drawn together, as the draw depends on doc_id.
-    Every margin ends within `tolerance` of its target share.
+    Every margin ends within `tolerance` of its target share; see `raked` for targets that contradict each
+    other. Columns of docs with the name of a result
+    are replaced by it.
     """
-    return drawn(described(docs, seed), powers, wanted, tolerance)
+    return drawn(described(docs, seed), powers, wanted, tolerance, strict)

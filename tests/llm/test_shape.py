@@ -49,6 +49,14 @@ def test_targets_that_cannot_be_met(spark):
     with pytest.raises(RuntimeError, match="cannot be met"):
         cells = mixing.described(docs).groupBy("mx_source", "mx_lang", "mx_topic").agg(F.sum("mx_tokens").alias("tokens"))
         mixing.raked(cells, {}, {"lang": {"en": 0.9, "de": 0.1}, "source": {"x": 0.1, "y": 0.9}}, rounds=4)
+    rows = mixing.raked(cells, {}, {"lang": {"en": 0.9, "de": 0.1}, "source": {"x": 0.1, "y": 0.9}}, rounds=4, strict=False).collect()
+    assert len(rows) == 2 and abs(sum(r.weight for r in rows) - 1) < 1e-9
+
+
+def test_raking_does_not_depend_on_how_factors_travel(spark):
+    cells = mixing.described(spark.createDataFrame(documents(), DOCS)).groupBy("mx_source", "mx_lang", "mx_topic").agg(F.sum("mx_tokens").alias("tokens"))
+    a, b = ({(r.mx_source, r.mx_lang, r.mx_topic): r.weight for r in mixing.raked(cells, {}, {}, 1e-6, small=small).collect()} for small in (1000, 0))
+    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-12 for k in a)
 
 
 def test_preference_pairs(spark):
