@@ -6,6 +6,8 @@ last return the columns of documents; the last adds the weight and the chance of
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,14 +16,22 @@ from barloom.llm.base import stage, table
 from barloom.llm.catalog import MIX_POWERS
 
 
+def all_columns(docs: DataFrame, operator: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows that `operator` returns, with the columns of docs: those that it does not read travel aside under one name."""
+    read = ["doc_id", "text", "lang", "source"]
+    rest = [c for c in docs.columns if c not in read]
+    packed = docs.select(*read, F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in rest]).alias("pipeline_rest"))
+    return operator(packed).select(*[F.col(c) if c in read else F.col("pipeline_rest")[c].alias(c) for c in docs.columns])
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject (operator 6)."""
-    return quality.graded(docs, table(spark, sf_dir, "labels")).where("qc_kept").select(docs.columns)
+    return all_columns(docs, lambda d: quality.graded(d, table(spark, sf_dir, "labels")).where("qc_kept"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts (operator 7)."""
-    return exact_dedup.grouped_copies(docs).where("kept").select(docs.columns)
+    return all_columns(docs, lambda d: exact_dedup.grouped_copies(d).where("kept"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,11 +48,12 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn to the target weights of source, language and topic (operator 1)."""
-    return mixing.mixed(docs, MIX_POWERS).where("mx_kept").select(*docs.columns, F.col("mx_topic").alias("topic"), F.col("mx_tokens").alias("tokens"), F.col("mx_probability").alias("probability"))
+    own = [c for c in docs.columns if c not in ("topic", "tokens", "probability")]  # the results replace them
+    return mixing.mixed(docs, MIX_POWERS, strict=False).where("mx_kept").select(*own, F.col("mx_topic").alias("topic"), F.col("mx_tokens").alias("tokens"), F.col("mx_probability").alias("probability"))
 
 
 STAGES = [("quality classifier", keep_good), ("exact dedup", drop_copies), ("n-gram Jaccard join", drop_near_copies), ("benchmark decontamination", drop_leaks), ("mixing sources to target weights", mix_sources)]
-ORACLE_SQL = None  # the classifier is trained and near copies are groups of links: tested against brute force instead
+ORACLE_SQL = None  # the classifier is trained and near copies are groups of links: tests/llm compares every stage with brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
