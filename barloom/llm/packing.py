@@ -30,7 +30,8 @@ from barloom.llm.base import chunks, stage, whole_text
 SIZE = 2048  # tokens of a sequence
 END = 0  # id after each document
 RANK_ROWS = 1_000  # pieces of one rank bucket, on average
-CACHE_WORDS = 1_500_000  # words whose ids a worker process keeps
+CHUNK = 8 << 20  # bytes of text whose words are told apart at a time
+CACHE_WORDS = 2_000_000  # words whose ids a worker process keeps
 MARKS = ".,;:!?"  # a word's last sentence mark is encoded on its own
 
 
@@ -184,7 +185,7 @@ def pieces(docs: DataFrame, vocabulary: str, size: int = SIZE, end: int = END, b
         for b in batches:
             rows, held = [], 0
             texts = b.column("text")
-            every = (raw for at, stop, _, _ in chunks(texts) for raw in words.ids(texts.slice(at, stop - at)))
+            every = (raw for at, stop, _, _ in chunks(texts, CHUNK) for raw in words.ids(texts.slice(at, stop - at)))
             for doc, raw in zip(b.column("doc_id").to_pylist(), every, strict=True):
                 raw += closing
                 for k, at in enumerate(range(0, len(raw), width)):
