@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from barloom.catalog import query
 from barloom.catalog.common import BARS_1D, BARS_1H, daily, hourly, r, show
 from barloom.catalog.q_rules import bollinger_rows_sql, ema_rows_sql, numbered_sql
+from barloom.operators.series import by_blocks
 from barloom.plans import backtest as BT
 from barloom.plans import rules as R
 from barloom.plans import sweep as S
@@ -114,9 +117,36 @@ def signal_frequency(spark, sf):
     return BT.signal_frequency(signals_1h(spark, sf), RULE)
 
 
-@query("lookahead_audit", f"""WITH {BARS_1H} SELECT symbol, CAST(floor(count(*) * 0.7::DOUBLE) * 18 AS BIGINT) AS checked, 0::BIGINT AS changed FROM bars GROUP BY 1""")
+def _audit_sql() -> str:
+    """Both price paths through the same rules, and a rule that reads the next bar."""
+    moved = re.sub(r"\b(nb|bb0|bb1|bb2|sig)\b", r"m_\1", numbered_sql("@").removeprefix("@, ").replace("FROM bars", "FROM m_bars") + ", " + bollinger_rows_sql())
+    cols = ", ".join(f"CASE WHEN late THEN {c} * 1.03::DOUBLE ELSE {c} END AS {c}" for c in ("open", "high", "low", "close"))
+    leak = lambda src: f"SELECT symbol, i, coalesce(lead(close) OVER w > close, false) AS entry, coalesce(lead(close) OVER w < close, false) AS exit FROM {src} WINDOW w AS (PARTITION BY symbol ORDER BY i)"
+    sums = "count(*) AS checked, count(*) FILTER (a.entry <> b.entry OR a.exit <> b.exit) AS changed"
+    return f"""WITH {numbered_sql(BARS_1H)}, {bollinger_rows_sql()},
+m_bars AS (SELECT symbol, ts, volume, {cols} FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 >= floor(count(*) OVER (PARTITION BY symbol) * 0.7::DOUBLE) AS late FROM bars)),
+{moved}, lim AS (SELECT symbol, floor(count(*) * 0.7::DOUBLE) AS cut FROM bars GROUP BY 1), l0 AS ({leak('nb')}), l1 AS ({leak('m_nb')})
+SELECT symbol, 'bollinger' AS family, {sums} FROM sig a JOIN m_sig b USING (symbol, rule_id, i) JOIN lim USING (symbol) WHERE i - 1 < cut GROUP BY 1
+UNION ALL SELECT symbol, 'next_bar', {sums} FROM l0 a JOIN l1 b USING (symbol, i) JOIN lim USING (symbol) WHERE i - 1 < cut GROUP BY 1"""
+
+
+def next_bar_inputs(bars, family, keys, rows):
+    """A state that leaks: close and the close of the bar after."""
+    out = by_blocks(bars, keys, lambda df, w: df.withColumn("_x", F.array("close", F.coalesce(F.lead("close").over(w), F.lit(float("nan"))))), 0, 1, rows)
+    return out.select(*keys, "ts", "pos", "_x")
+
+
+def next_bar_signals(x, rules):
+    yield [0], (x[:, 1] > x[:, 0])[None, :], (x[:, 1] < x[:, 0])[None, :]
+
+
+@query("lookahead_audit", _audit_sql())
 def lookahead_audit(spark, sf):
-    return S.lookahead_audit(hourly(spark, sf), "bollinger")
+    """Signals before a change of later prices: of the Bollinger rules, and of a rule that looks ahead."""
+    bars = stage(hourly(spark, sf), "audit-bars")
+    good = S.lookahead_audit(bars, "bollinger").withColumn("family", F.lit("bollinger"))
+    bad = S.lookahead_audit(bars, "", rules=[R.Rule("next_bar", "next_bar", ())], inputs=next_bar_inputs, signals=next_bar_signals).withColumn("family", F.lit("next_bar"))
+    return good.unionByName(bad).select("symbol", "family", "checked", "changed")
 
 
 # --- sweep over look-back windows -------------------------------------------------------------

@@ -153,7 +153,7 @@ def fill_both_ways(spark, sf):
     return show(B.fill_both_ways(rows, ["high", "low"], "close", 7 * DAY), ["symbol", "ts"], ["close", "high", "low"])
 
 
-_CLOCK = {"5m": 5, "1h": 60, "4h": 240, "1d": 1440, "1w": 10080}
+_CLOCK = {"5m": 5, "15m": 15, "1h": 60, "4h": 240, "1d": 1440, "1w": 10080}
 
 
 @query("close_clock", f"WITH {BARS_1M} SELECT symbol, ts, " + ", ".join(

@@ -291,23 +291,36 @@ def page_markers(spark, sf):
     return m.select("page_id", "has_jsonld", "has_canonical", F.array_join("missing_langs", ",").alias("missing"))
 
 
-@query("surface_score", f"""WITH p AS (SELECT regexp_extract(url, '^(https?)', 1) AS scheme, length(html) AS lat, contains(html, '</html>') AS ok, {_MARK} FROM pages),
-a AS (SELECT scheme, count(*) AS pages, 100.0 * avg(ok::INT) AS uptime, 100.0 * avg(has_canonical::INT) AS canonical, 100.0 * avg(has_jsonld::INT) AS jsonld, 0 AS hreflang FROM p GROUP BY 1),
+# every fifth page gets its language links, every seventh only one of them
+_LINKED = """replace(html, '</title>', '</title>' || CASE WHEN page_id % 5 = 0 THEN '<link rel="alternate" hreflang="en" href="/a"><link rel="alternate" hreflang="zh-TW" href="/b">' WHEN page_id % 7 = 0 THEN '<link rel="alternate" hreflang="en" href="/a">' ELSE '' END)"""
+
+
+@query("surface_score", f"""WITH q AS (SELECT url, {_LINKED} AS html FROM pages), p AS (SELECT regexp_extract(url, '^(https?)', 1) AS scheme, length(html) AS lat, contains(html, '</html>') AS ok, {_MARK},
+ contains(lower(html), 'hreflang="en"') AND contains(lower(html), 'hreflang="zh-tw"') AS langs FROM q),
+a AS (SELECT scheme, count(*) AS pages, 100.0 * avg(ok::INT) AS uptime, 100.0 * avg(has_canonical::INT) AS canonical, 100.0 * avg(has_jsonld::INT) AS jsonld, 100.0 * avg(langs::INT) AS hreflang FROM p GROUP BY 1),
 k AS (SELECT *, row_number() OVER (PARTITION BY scheme ORDER BY lat) - 1 AS i FROM p),
 l AS (SELECT k.scheme, min(lat) AS p95 FROM k JOIN a USING (scheme) WHERE i >= floor(pages * 0.95::DOUBLE) GROUP BY 1)
-SELECT scheme, pages, {r('uptime', 'uptime')}, p95 AS p95_latency, {r('0.72 * uptime + 0.28 * greatest(0, least(100, 100 - greatest(0, p95 - 800) / 14.0))', 'reliability')}, {r('0.45 * uptime + 0.2 * canonical + 0.2 * jsonld + 0.15 * hreflang', 'seo')} FROM a JOIN l USING (scheme)""")
+SELECT scheme, pages, {r('uptime', 'uptime')}, {r('hreflang', 'hreflang')}, p95 AS p95_latency, {r('0.72 * uptime + 0.28 * greatest(0, least(100, 100 - greatest(0, p95 - 800) / 14.0))', 'reliability')}, {r('0.45 * uptime + 0.2 * canonical + 0.2 * jsonld + 0.15 * hreflang', 'seo')} FROM a JOIN l USING (scheme)""")
 def surface_score(spark, sf):
-    """Page length stands for latency, a closed document for a page that answers."""
-    p = X.page_markers(table(spark, sf, "pages")).select(
+    """Page length stands for latency, a closed document for a page that answers; some pages have language links."""
+    pages = table(spark, sf, "pages").select("url", F.expr(_LINKED).alias("html"))
+    p = X.page_markers(pages).select(
         F.regexp_extract("url", "^(https?)", 1).alias("scheme"), F.length("html").alias("latency_ms"), F.col("html").contains("</html>").alias("ok"), "has_canonical", "has_jsonld", "missing_langs")
-    return show(X.surface_score(p, ["scheme"]), ["scheme", "pages", "p95_latency"], ["uptime", "reliability", "seo"])
+    return show(X.surface_score(p, ["scheme"]), ["scheme", "pages", "p95_latency"], ["uptime", "hreflang", "reliability", "seo"])
+
+
+# headings in front of some texts: the given ones have none
+_HEADED = "CASE WHEN doc_id % 3 = 0 THEN concat('## Evidence ', chr(10)) ELSE '' END || CASE WHEN doc_id % 4 = 0 THEN concat('the', chr(10), '### risk boundary', chr(10)) ELSE '#### Riskless' END || coalesce(text, '')"
+_HEADING = lambda words: f"100.0 * avg(regexp_matches(t, '(?i)(^|\\n)#{{1,6}}\\s*({words})\\s*\\n')::INT)"
 
 
-@query("content_quality", f"""SELECT source, count(*) AS rows, {r("100.0 * avg(contains(text, 'the')::INT)", 'entity')}, {r("100.0 * avg(contains(regexp_extract(text, '^([^" + chr(92) + "n]*)', 1), 'the')::INT)", 'anchor_first')},
- {r("least(100, 100.0 * count(DISTINCT lang) / 4)", 'locale')}, {r("0.35 * 100.0 * avg(contains(text, 'the')::INT) + 0.1 * least(100, 100.0 * count(DISTINCT lang) / 4)", 'quality')} FROM documents GROUP BY 1""")
+@query("content_quality", f"""WITH d AS (SELECT source, lang, {_HEADED} AS t FROM documents),
+a AS (SELECT source, count(*) AS rows, 100.0 * avg(contains(t, 'the')::INT) AS entity, 100.0 * avg(contains(regexp_extract(t, '^([^\\n]*)', 1), 'the')::INT) AS anchor_first,
+ {_HEADING('Evidence|證據')} AS evidence, {_HEADING('Risk Boundary|風險邊界')} AS risk, least(100, 100.0 * count(DISTINCT lang) / 4) AS locale FROM d GROUP BY 1)
+SELECT source, rows, {', '.join(r(c, c) for c in ('entity', 'anchor_first', 'evidence', 'risk', 'locale'))}, {r('0.35 * entity + 0.3 * evidence + 0.25 * risk + 0.1 * locale', 'quality')} FROM a""")
 def content_quality(spark, sf):
-    q = X.content_quality(table(spark, sf, "documents"), ["source"], "the")
-    return show(q, ["source", "rows"], ["entity", "anchor_first", "locale", "quality"])
+    docs = table(spark, sf, "documents").select("source", "lang", F.expr(_HEADED).alias("text"))
+    return show(X.content_quality(docs, ["source"], "the"), ["source", "rows"], ["entity", "anchor_first", "evidence", "risk", "locale", "quality"])
 
 
 @query("event_log_lines", r"""SELECT event_id, event_type AS event, ts FROM events WHERE event_type <> 'error'""")

@@ -95,7 +95,31 @@ def feature_set(spark, sf):
     return show(features_of(spark, sf)[0], KEY, ALL_COLUMNS)
 
 
-_REGISTRY_SQL = f"""{BASE_SQL}, lg AS ({' UNION ALL '.join(f"SELECT symbol, '{c}' AS name, {q(c)} AS x FROM base" for c in FT.BASE_FEATURES)}),
+# Look-back windows that begin inside the month of events, so that each has rows before it.
+_LATE = {"all": None, "20d": 20, "10d": 10, "5d": 5}
+
+
+def _causal_sql() -> str:
+    wins = ", ".join(f"('{w}', {d or 100000})" for w, d in _LATE.items())
+    at = lambda c, q: f"quantile_cont(f.{c}, {q}) FILTER (f.ts < s.start_ts)"
+    lo_hi = ", ".join(f"{at(q(c), FT.WINSOR[0])} AS lo_{i}, {at(q(c), FT.WINSOR[1])} AS hi_{i}" for i, c in enumerate(ALL_COLUMNS))
+    cut = ", ".join(r(f"CASE WHEN {q(c)} < lo_{i} THEN lo_{i} WHEN {q(c)} > hi_{i} THEN hi_{i} ELSE {q(c)} END", q(c)) for i, c in enumerate(ALL_COLUMNS))
+    return f"""WITH {SET_SQL}, st AS (SELECT symbol, win, min(ts) AS start_ts FROM feat JOIN (SELECT symbol, max(ts) AS mx FROM feat GROUP BY 1) USING (symbol) CROSS JOIN (VALUES {wins}) v(win, days)
+ WHERE ts >= mx - to_days(days) GROUP BY 1, 2),
+wb AS (SELECT f.symbol, s.win, any_value(s.start_ts) AS start_ts, {lo_hi} FROM feat f JOIN st s ON s.symbol = f.symbol GROUP BY 1, 2)
+SELECT symbol, ts, win AS "window", {cut} FROM feat JOIN wb USING (symbol) WHERE ts >= start_ts"""
+
+
+@query("feature_windows", _causal_sql())
+def feature_windows(spark, sf):
+    """The feature set of each look-back window, clipped to bounds from the rows before the window."""
+    feats = stage(features_of(spark, sf)[0], "features")
+    starts = stage(B.lookback_slices(feats.select("symbol", "ts"), lookbacks=_LATE).groupBy("symbol", "window").agg(F.min("ts").alias("start_ts")), "starts")
+    return show(FT.causal_windows(feats, starts, list(_LATE), ["symbol"], ALL_COLUMNS), [*KEY, "window"], ALL_COLUMNS)
+
+
+_NAMES = ", ".join(q(c) for c in ALL_COLUMNS)
+_REGISTRY_SQL = f"""{SET_SQL}, lg AS (SELECT symbol, name, x FROM (SELECT symbol, {_NAMES} FROM feat) UNPIVOT INCLUDE NULLS (x FOR name IN ({_NAMES}))),
 rg AS (SELECT symbol, name, CASE WHEN contains(name, '__') THEN split_part(name, '__', 1) ELSE 'flow_liquidity' END AS family, count(x) / count(*)::DOUBLE AS non_null_ratio,
  coalesce(stddev_samp(x), 0) AS std, coalesce(avg(abs(x)), 0) AS mean_abs FROM lg GROUP BY ALL)"""
 _REG = ["non_null_ratio", "std", "mean_abs"]
@@ -103,13 +127,13 @@ _REG = ["non_null_ratio", "std", "mean_abs"]
 
 @query("feature_registry", f"WITH {_REGISTRY_SQL} SELECT symbol, name, family, {', '.join(r(c, c, 5) for c in _REG)} FROM rg")
 def feature_registry(spark, sf):
-    return show(FT.feature_registry(FT.base_features(minutely(spark, sf)), FT.BASE_FEATURES), ["symbol", "name", "family"], _REG, 5)
+    return show(FT.feature_registry(features_of(spark, sf)[0], ALL_COLUMNS), ["symbol", "name", "family"], _REG, 5)
 
 
 @query("registry_merge", f"""WITH {_REGISTRY_SQL}, x AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY non_null_ratio DESC, symbol) AS rn FROM rg)
 SELECT symbol, name, family, {', '.join(r(c, c, 5) for c in _REG)} FROM x WHERE rn = 1""")
 def registry_merge(spark, sf):
-    reg = FT.feature_registry(FT.base_features(minutely(spark, sf)), FT.BASE_FEATURES)
+    reg = FT.feature_registry(features_of(spark, sf)[0], ALL_COLUMNS)
     return show(FT.merge_registries(reg), ["symbol", "name", "family"], _REG, 5)
 
 
@@ -165,8 +189,8 @@ def fusion_adaptive(spark, sf):
 
 # --- feature worth ----------------------------------------------------------------------------
 
-_DIAG_SQL = f"""{BASE_SQL}, tg AS (SELECT symbol, ts, coalesce(ln((lead(close, 5) OVER w + 1e-12) / (close + 1e-12)), 0) AS y FROM bars {WINDOW}),
-lg AS ({' UNION ALL '.join(f"SELECT symbol, '{c}' AS name, {q(c)} AS x, y FROM base JOIN tg USING (symbol, ts)" for c in FT.BASE_FEATURES)}),
+_DIAG_SQL = f"""{SET_SQL}, tg AS (SELECT symbol, ts, coalesce(ln((lead(close, 5) OVER w + 1e-12) / (close + 1e-12)), 0) AS y FROM bars {WINDOW}),
+wd AS (SELECT symbol, ts, y, {_NAMES} FROM feat JOIN tg USING (symbol, ts)), lg AS (SELECT symbol, ts, name, x, y FROM wd UNPIVOT INCLUDE NULLS (x FOR name IN ({_NAMES}))),
 dg0 AS (SELECT symbol, name, CASE WHEN contains(name, '__') THEN split_part(name, '__', 1) ELSE 'flow_liquidity' END AS family, corr(x, y) AS correlation, avg((abs(x) > 1e-12)::INT) AS coverage
  FROM lg WHERE x IS NOT NULL GROUP BY ALL HAVING count(*) >= 80 AND stddev_samp(x) > 1e-12),
 dg1 AS (SELECT *, abs(correlation) * (0.5::DOUBLE + 0.5::DOUBLE * coverage) AS utility FROM dg0),
@@ -175,31 +199,27 @@ dg AS (SELECT *, CASE WHEN correlation >= 0 THEN 'positive' ELSE 'negative' END
 
 
 def diagnosed(spark, sf):
-    bars = minutely(spark, sf)
-    rows = FT.base_features(bars).join(FU.forward_returns(bars, 5).select(*KEY, "fwd_ret"), KEY)
+    feats, bars = features_of(spark, sf)
+    rows = feats.join(FU.forward_returns(bars, 5).select(*KEY, "fwd_ret"), KEY)
     return stage(rows, "diagnosed")
 
 
 @query("feature_diagnostics", f"WITH {_DIAG_SQL} SELECT symbol, name, family, direction, rank, {', '.join(r(c, c) for c in ('utility', 'correlation', 'coverage', 'family_share'))} FROM dg WHERE rank <= 30")
 def feature_diagnostics(spark, sf):
-    return show(FU.diagnostics(diagnosed(spark, sf), FT.BASE_FEATURES), ["symbol", "name", "family", "direction", "rank"], ["utility", "correlation", "coverage", "family_share"])
-
+    return show(FU.diagnostics(diagnosed(spark, sf), ALL_COLUMNS), ["symbol", "name", "family", "direction", "rank"], ["utility", "correlation", "coverage", "family_share"])
 
-def _pairs_sql() -> str:
-    n = FT.BASE_FEATURES
-    return " UNION ALL ".join(f"SELECT symbol, '{a}' AS name, '{b}' AS leader, abs(corr({q(a)}, {q(b)})) AS c FROM base GROUP BY symbol" for a in n for b in n if a != b)
 
-
-@query("prune_list", f"""WITH {_DIAG_SQL}, pr AS ({_pairs_sql()}), ct AS (SELECT symbol, quantile_cont(utility, 0.2) AS cut FROM dg GROUP BY 1),
+@query("prune_list", f"""WITH {_DIAG_SQL}, pr AS (SELECT a.symbol, a.name, b.name AS leader, abs(corr(a.x, b.x)) AS c FROM lg a JOIN lg b ON b.symbol = a.symbol AND b.ts = a.ts AND b.name <> a.name GROUP BY ALL), ct AS (SELECT symbol, quantile_cont(utility, 0.2) AS cut FROM dg GROUP BY 1),
 bs AS (SELECT pr.symbol, pr.name, arg_max(leader, (round(c, 9), leader)) AS correlated_with, arg_max(c, (round(c, 9), leader)) AS correlation_abs
  FROM pr JOIN dg ON dg.symbol = pr.symbol AND dg.name = pr.leader AND dg.rank <= 10 WHERE NOT isnan(c) GROUP BY 1, 2),
 lo AS (SELECT dg.symbol, dg.name, family, utility, correlated_with, coalesce(correlation_abs, 0) AS correlation_abs,
- CASE WHEN correlation_abs >= 0.9 THEN 'low_utility_high_collinearity' ELSE 'low_utility' END AS reason FROM dg JOIN ct USING (symbol) LEFT JOIN bs ON bs.symbol = dg.symbol AND bs.name = dg.name WHERE utility <= cut)
-SELECT symbol, name, family, correlated_with, reason, {r('utility', 'utility')}, {r('correlation_abs', 'correlation_abs')}, row_number() OVER (PARTITION BY symbol ORDER BY (reason = 'low_utility')::INT, round(utility, 9), name) AS rank FROM lo""")
+ CASE WHEN correlation_abs >= 0.9 THEN 'low_utility_high_collinearity' ELSE 'low_utility' END AS reason FROM dg JOIN ct USING (symbol) LEFT JOIN bs ON bs.symbol = dg.symbol AND bs.name = dg.name WHERE utility <= cut),
+lr AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY (reason = 'low_utility')::INT, round(utility, 9), name) AS rank FROM lo)
+SELECT symbol, name, family, correlated_with, reason, {r('utility', 'utility')}, {r('correlation_abs', 'correlation_abs')}, rank FROM lr WHERE rank <= 20""")
 def prune_list(spark, sf):
     rows = diagnosed(spark, sf)
-    ranked = FU.diagnostics(rows, FT.BASE_FEATURES, top=None)
-    out = FU.prune_candidates(rows, FT.BASE_FEATURES, ranked)
+    ranked = FU.diagnostics(rows, ALL_COLUMNS, top=None)
+    out = FU.prune_candidates(rows, ALL_COLUMNS, ranked)
     return show(out, ["symbol", "name", "family", "correlated_with", "reason", "rank"], ["utility", "correlation_abs"])
 
 
@@ -268,7 +288,7 @@ def gate_levels(spark, sf):
 def feature_importance(spark, sf):
     from barloom.plans.reports import feature_importance as overview
 
-    return show(overview(FU.diagnostics(diagnosed(spark, sf), FT.BASE_FEATURES, top=None)), ["name", "family", "seen"], ["avg_utility", "avg_abs_corr"])
+    return show(overview(FU.diagnostics(diagnosed(spark, sf), ALL_COLUMNS, top=None)), ["name", "family", "seen"], ["avg_utility", "avg_abs_corr"])
 
 
 @query("prune_overview", f"""WITH {_DIAG_SQL}, ct AS (SELECT symbol, quantile_cont(utility, 0.2) AS cut FROM dg GROUP BY 1), lo AS (SELECT name, family, utility FROM dg JOIN ct USING (symbol) WHERE utility <= cut)
@@ -277,7 +297,7 @@ def prune_overview(spark, sf):
     from barloom.plans.reports import prune_overview as overview
 
     rows = diagnosed(spark, sf)
-    out = overview(FU.prune_candidates(rows, FT.BASE_FEATURES, FU.diagnostics(rows, FT.BASE_FEATURES, top=None)))
+    out = overview(FU.prune_candidates(rows, ALL_COLUMNS, FU.diagnostics(rows, ALL_COLUMNS, top=None)))
     return show(out, ["name", "family", "seen"], ["avg_utility"])
 
 
@@ -300,7 +320,7 @@ def _core_sweep_sql() -> str:
         return {"x>": f"coalesce({px} <= {lv} AND {x} > {lv}, false)", "x<": f"coalesce({px} >= {lv} AND {x} < {lv}, false)", ">": f"{x} > {lv}", "<": f"{x} < {lv}"}[op]
 
     arms = []
-    for rule in R.core_rule_grid("timing_efficiency") + R.core_rule_grid("mean_reclaim"):
+    for rule in R.core_rule_grid():
         c, p = R.CORE_RULES[rule.rule_key], dict(rule.params)
         arms.append(f"SELECT symbol, ts, close, ret, '{rule.rule_id}' AS rule_id, '{c.core}' AS family, {' AND '.join(test(*t, p) for t in c.entry)} AS entry, {' OR '.join(test(*t, p) for t in c.exit)} AS exit FROM cr")
     return f"""{SET_SQL}, hb AS (SELECT symbol, time_bucket(INTERVAL '1 hour', ts) AS ts, arg_max(close, ts) AS close FROM bars GROUP BY 1, 2),
@@ -329,12 +349,10 @@ def sweep_inputs(feats, minute, step):
 
 @query("core_sweep", f"WITH {_core_sweep_sql()}")
 def core_sweep(spark, sf):
-    """Two feature cores (24 rules) on hourly bars, ungated and gated by the fixed fusion, in every look-back window."""
+    """All six feature cores (132 rules) on hourly bars, ungated and gated by the fixed fusion, in every look-back window."""
     from barloom.plans import sweep as S
 
     bars, aligned, fusion = sweep_inputs(*features_of(spark, sf), "1h")
-    sig = R.core_signals(aligned, "timing_efficiency").unionByName(R.core_signals(aligned, "mean_reclaim"))
-    windows = S.window_table(bars, min_bars=20)
-    runs = S.gated_runs(S.signals_by_window(sig, windows, "1h"), fusion)
-    out = S.score(stage(S.candidates(runs, windows), "core-candidates"))
+    cands = S.indicator_sweep(bars, [], "1h", gate=fusion, min_bars=20, features=aligned, cores=sorted({c.core for c in R.CORE_RULES.values()}))
+    out = S.score(cands)
     return show(out, ["symbol", "family", "gate", "window", "rule_id", "trades", "rank"], ["score"], 5)

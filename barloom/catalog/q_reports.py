@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from barloom.catalog import query
@@ -10,7 +12,8 @@ from barloom.catalog.q_backtest import SWEEP_SQL, daily_candidates, slog, slog_s
 from barloom.plans import reports as P
 from barloom.plans import runs as H
 from barloom.plans import sweep as S
-from barloom.session import stage
+from barloom.session import stage, staging_dir
+from barloom.sources import artifacts
 from barloom.sources.tables import table
 
 # Each fast span of the EMA cross plays a core; the two sides play the gates.
@@ -194,6 +197,31 @@ def policy_value(spark, sf):
     return show(out, ["symbol", "window", "side", "candidates", "best_rule", "exp_reward"], ["exp_drawdown", "exp_trades"])
 
 
+_SHADOW_SQL = f"""{SWEEP_SQL}, z AS (SELECT *, score - 0.35::DOUBLE * credibility_penalty - 0.25::DOUBLE * stability_penalty AS z FROM sc WHERE "window" = 'all' AND side = 'long' AND rank <= 8),
+e AS (SELECT *, exp(z - max(z) OVER ()) AS e FROM z)"""
+
+
+@query("shadow_report", f"""WITH {_SHADOW_SQL}, a AS (SELECT count(*) FILTER (rank = 1) AS legacy_count, avg(net_return) FILTER (rank = 1) AS lr, min(max_drawdown) FILTER (rank = 1) AS ld, avg(trades) FILTER (rank = 1) AS lt,
+ count(*) AS shadow_count, sum(e * net_return) / sum(e) AS sr, sum(e * max_drawdown) / sum(e) AS sd, sum(e * trades) / sum(e) AS st FROM e),
+b AS (SELECT *, lr - 0.45::DOUBLE * abs(ld) - 0.0008::DOUBLE * greatest(0, round_even(lt, 0)) AS lw, sr - 0.45::DOUBLE * abs(sd) - 0.0008::DOUBLE * greatest(0, round_even(st, 0)) AS sw FROM a)
+SELECT legacy_count, shadow_count, {r(slog_sql('lr'), 'legacy_return_log', 5)}, {r('ld', 'legacy_drawdown')}, {r('lt', 'legacy_trades')}, {r(slog_sql('sr'), 'shadow_return_log', 5)}, {r('sd', 'shadow_drawdown')}, {r('st', 'shadow_trades')},
+ CASE WHEN sw > lw * 1.03::DOUBLE AND abs(sd) <= abs(ld) * 1.05::DOUBLE THEN 'candidate_for_promotion' ELSE 'hold_shadow' END AS recommend FROM b""")
+def shadow_report(spark, sf):
+    """Winners of the daily sweep against a softmax policy over the eight best of each set."""
+    out, _ = H.shadow_policy(S.score(daily_candidates(spark, sf)), ["symbol", "family", "gate"])
+    out = out.withColumns({f"{k}_return_log": F.round(slog(F.col(f"{k}_return")), 5) for k in ("legacy", "shadow")})
+    return show(out, ["legacy_count", "shadow_count", "legacy_return_log", "shadow_return_log", "recommend"], ["legacy_drawdown", "legacy_trades", "shadow_drawdown", "shadow_trades"])
+
+
+@query("shadow_actions", f"""WITH {_SHADOW_SQL}, t AS (SELECT *, sum(e) OVER () AS w, sum(e * max_drawdown) OVER () AS wd, row_number() OVER (ORDER BY round(z, 9) DESC, symbol, family, gate, rule_id) AS place FROM e)
+SELECT symbol, rule_id, place, {r('e / w', 'probability')}, {r('score', 'score')}, trades, {r('(wd - e * max_drawdown) / nullif(w - e, 0)', 'rest_drawdown')} FROM t WHERE place <= 12""")
+def shadow_actions(spark, sf):
+    """The twelve most likely actions, and the policy's drawdown without each."""
+    scored = stage(S.score(daily_candidates(spark, sf)), "scored")
+    _, out = H.shadow_policy(scored, ["symbol", "family", "gate"])
+    return show(out, ["symbol", "rule_id", "place", "trades"], ["probability", "score", "rest_drawdown"])
+
+
 # --- run history: orders as runs, one series per priority -------------------------------------
 
 RUNS_SQL = "runs AS (SELECT o_orderpriority AS profile, o_orderdate AS ts, o_orderkey AS run_id, o_totalprice / 600000 AS pass_rate, o_custkey AS c FROM orders)"
@@ -232,6 +260,31 @@ def expectation(spark, sf):
     return show(out, ["profile"], ["latest", "slope", "next", "band", "round_seconds"]).join(show(out, ["profile"], ["rounds_to_target"], 4), "profile")
 
 
+def _reach_sql(targets: dict[str, tuple[str, float]]) -> str:
+    """Chance per measure (expression, target) and their geometric mean, over the last eight runs."""
+    d = ", ".join(f"{m} - lag({m}) OVER w AS d_{m}" for m in targets)
+    a = ", ".join(f"arg_max({m}, (ts, run_id)) AS l_{m}, coalesce(quantile_cont(d_{m}, 0.5), 0) AS s_{m}" for m in targets)
+    n = ", ".join(f"CASE WHEN l_{m} >= {t}::DOUBLE THEN 0 WHEN s_{m} > 1e-9 THEN ({t}::DOUBLE - l_{m}) / s_{m} END AS r_{m}" for m, (_, t) in targets.items())
+    p = ", ".join(f"CASE WHEN l_{m} >= {t}::DOUBLE THEN 0.88::DOUBLE WHEN r_{m} IS NULL THEN CASE WHEN s_{m} <= 0 THEN 0.06::DOUBLE ELSE 0.15::DOUBLE END ELSE least(1, exp(-0.45::DOUBLE * r_{m})) END AS p_{m}" for m, (_, t) in targets.items())
+    return f"""WITH {RUNS_SQL.replace('FROM orders', ', ' + ', '.join(f'{e} AS {m}' for m, (e, _) in targets.items() if m != 'pass_rate') + ' FROM orders')},
+l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY profile ORDER BY ts DESC, run_id DESC) AS rn FROM runs) WHERE rn <= 8), d AS (SELECT *, {d} FROM l WINDOW w AS (PARTITION BY profile ORDER BY ts, run_id)),
+a AS (SELECT profile, {a} FROM d GROUP BY 1), n AS (SELECT *, {n} FROM a), p AS (SELECT *, {p} FROM n)
+SELECT profile, {', '.join(r(f'p_{m}', f'{m}_chance') for m in targets)}, {r('pow(' + ' * '.join(f'p_{m}' for m in targets) + f', 1.0::DOUBLE / {len(targets)})', 'reach_probability')},
+ {r('greatest(' + ', '.join(f'r_{m}' for m in targets) + ')', 'eta_rounds', 4)} FROM p"""
+
+
+_TARGETS = {"pass_rate": ("o_totalprice / 600000", 0.35), "alpha": ("o_totalprice / 300000 - 0.5", 0.4), "deploy": ("(o_custkey % 12)::DOUBLE", 6.0)}
+
+
+@query("reach_probability", _reach_sql(_TARGETS))
+def reach_probability(spark, sf):
+    runs = table(spark, sf, "orders").select(
+        F.col("o_orderpriority").alias("profile"), F.col("o_orderdate").alias("ts"), F.col("o_orderkey").alias("run_id"), (F.col("o_totalprice") / 600000).alias("pass_rate"),
+        (F.col("o_totalprice") / 300000 - 0.5).alias("alpha"), (F.col("o_custkey") % 12).cast("double").alias("deploy"))
+    out = H.reach_probability(runs, SERIES, {m: t for m, (_, t) in _TARGETS.items()})
+    return show(out, ["profile"], [*(f"{m}_chance" for m in _TARGETS), "reach_probability"]).join(show(out, ["profile"], ["eta_rounds"], 4), "profile")
+
+
 @query("baseline_gate", f"""WITH {RUNS_SQL}, m AS (SELECT profile, quantile_cont(pass_rate, 0.5) AS pass_rate, quantile_cont(run_id, 0.5) AS run_id FROM runs GROUP BY 1)
 SELECT profile, {r('pass_rate', 'pass_rate')}, concat_ws(',', CASE WHEN pass_rate < 0.25 THEN 'pass_rate' END, CASE WHEN run_id > 7500 THEN 'run_id' END) AS blockers FROM m""")
 def baseline_gate(spark, sf):
@@ -271,17 +324,32 @@ def rollback_needed(spark, sf):
     return show(H.rollback_needed(runs_of(spark, sf), SERIES, "pass_rate", 0.05), ["profile", "rollback"], ["latest", "baseline"])
 
 
-@query("run_progress", f"""WITH d AS (SELECT event_type AS symbol, user_id AS run_id, min(ts) AS ts FROM events GROUP BY ALL),
-l AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY ts DESC, symbol DESC) AS rn FROM d),
+@query("run_progress", f"""WITH d AS (SELECT event_type AS symbol, event_id % 6 AS task, user_id AS run_id, min(ts) AS ts FROM events GROUP BY ALL),
+l AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY ts DESC, symbol DESC, task DESC) AS rn FROM d),
 a AS (SELECT run_id, count(*) AS done, count(DISTINCT symbol) AS symbols, epoch(max(ts))::BIGINT AS mx, max(ts) AS t1, min(ts) AS t0 FROM d GROUP BY 1),
-n AS (SELECT run_id, count(*) AS k, min(ts) AS k0, max(ts) AS k1 FROM l WHERE rn <= 3 GROUP BY 1),
-z AS (SELECT a.run_id, done, symbols, done / 5.0::DOUBLE AS share, floor(epoch(t1))::BIGINT - floor(epoch(t0))::BIGINT AS total, floor(epoch(k1))::BIGINT - floor(epoch(k0))::BIGINT AS span, k FROM a JOIN n USING (run_id))
-SELECT run_id, done, symbols, {r('least(1, share)', 'share')}, {r('CASE WHEN total > 0 THEN (done - 1) / total END * 3600', 'global_per_hour')}, {r('CASE WHEN span > 0 THEN (k - 1) / span END * 3600', 'recent_per_hour')} FROM z""")
+n AS (SELECT run_id, count(*) AS k, min(ts) AS k0, max(ts) AS k1 FROM l WHERE rn <= 6 GROUP BY 1),
+z AS (SELECT a.run_id, done, symbols, done / 30.0::DOUBLE AS share, floor(epoch(t1))::BIGINT - floor(epoch(t0))::BIGINT AS total, floor(epoch(k1))::BIGINT - floor(epoch(k0))::BIGINT AS span, k FROM a JOIN n USING (run_id))
+SELECT run_id, done, symbols, {r('least(1, share)', 'share')}, {r('CASE WHEN total > 0 THEN (done - 1) / total END * 3600', 'global_per_hour')}, {r('CASE WHEN span > 0 THEN (k - 1) / span END * 3600', 'recent_per_hour')}, {r('CASE WHEN coalesce(s, g) > 0 THEN greatest(0, 30 - done) / coalesce(s, g) END / 3600', 'eta_hours')},
+ CASE WHEN done >= 6 AND g > 0 AND s > 0 AND abs(s - g) / greatest(g, 1e-9) < 0.15::DOUBLE THEN 'high' WHEN done >= 6 AND g > 0 AND s > 0 AND abs(s - g) / greatest(g, 1e-9) < 0.35::DOUBLE THEN 'medium' ELSE 'low' END AS confidence
+FROM (SELECT *, CASE WHEN total > 0 THEN (done - 1) / total END AS g, CASE WHEN span > 0 THEN (k - 1) / span END AS s FROM z)""")
 def run_progress(spark, sf):
-    """Users as runs, event types as tasks."""
-    e = table(spark, sf, "events").select(F.col("user_id").alias("run_id"), F.col("event_type").alias("symbol"), F.lit("all").alias("task"), "ts")
-    out = H.progress(e, 5, recent=3)
-    return out.select("run_id", "done", "symbols", F.round("share", 6).alias("share"), F.round(F.col("global_rate") * 3600, 6).alias("global_per_hour"), F.round(F.col("recent_rate") * 3600, 6).alias("recent_per_hour"))
+    """Users as runs, event types as symbols with six tasks each."""
+    e = table(spark, sf, "events").select(F.col("user_id").alias("run_id"), F.col("event_type").alias("symbol"), (F.col("event_id") % 6).alias("task"), "ts")
+    out = H.progress(e, 30, recent=6)
+    return out.select("run_id", "done", "symbols", "confidence", F.round(F.col("eta_seconds") / 3600, 6).alias("eta_hours"), F.round("share", 6).alias("share"), F.round(F.col("global_rate") * 3600, 6).alias("global_per_hour"), F.round(F.col("recent_rate") * 3600, 6).alias("recent_per_hour"))
+
+
+@query("run_symbols", """WITH d AS (SELECT user_id AS run_id, event_type AS symbol, count(DISTINCT event_id % 4) AS done FROM events GROUP BY 1, 2),
+c AS (SELECT * FROM (SELECT DISTINCT user_id AS run_id FROM events), (SELECT DISTINCT event_type AS symbol FROM events))
+SELECT run_id, symbol, least(coalesce(done, 0), 3) AS done, round(least(coalesce(done, 0), 3) * 100.0 / 3.0::DOUBLE, 4) AS percent,
+ CASE WHEN done >= 3 THEN 'done' WHEN done > 0 THEN 'running' ELSE 'pending' END AS phase FROM c LEFT JOIN d USING (run_id, symbol)""")
+def run_symbols(spark, sf):
+    """Users as runs; three of the four kinds of task finish a symbol."""
+    e = table(spark, sf, "events").select(F.col("user_id").alias("run_id"), F.col("event_type").alias("symbol"), (F.col("event_id") % 4).alias("task"))
+    names = e.select("symbol").distinct().agg(F.collect_set("symbol").alias("s"))  # five names
+    every = e.select("run_id").distinct().crossJoin(F.broadcast(names)).select("run_id", F.explode("s").alias("symbol"))
+    out = H.symbol_progress(e, every, 3)
+    return out.select("run_id", "symbol", "done", F.round("percent", 4).alias("percent"), "phase")
 
 
 @query("validation_tail", """WITH p AS (SELECT user_id, floor(epoch(max(ts) FILTER (event_type = 'click')))::BIGINT AS d, floor(epoch(max(ts) FILTER (event_type = 'purchase')))::BIGINT AS e FROM events GROUP BY 1)
@@ -289,3 +357,43 @@ SELECT count(*) AS runs, round(quantile_cont(e - d, 0.5)::DOUBLE, 4) AS median_t
 def validation_tail(spark, sf):
     e = table(spark, sf, "events").select(F.col("user_id").alias("run_id"), F.col("event_type").alias("event"), "ts")
     return show(H.validation_tail(e, "click", "purchase"), ["runs"], ["median_tail_seconds"], 4)
+
+
+# --- run reports: months of a priority as runs, written as JSON in the reports' form and read back ----
+
+_MONTHLY = """SELECT o_orderpriority || ' ' || strftime(o_orderdate, '%Y-%m') AS run_id, o_orderpriority AS profile, CAST(strftime(min(o_orderdate), '%m') AS INT) AS mon, max(o_orderdate) AS ts, count(*) AS n,
+ count(*) FILTER (o_orderstatus = 'F') AS f, count(*) FILTER (o_orderstatus = 'O') AS o, count(*) FILTER (o_orderstatus = 'P') AS p, avg(o_totalprice) / 200000 - 0.7::DOUBLE AS alpha,
+ quantile_cont(o_totalprice / 600000, 0.5) AS med, count(DISTINCT o_custkey % 5) AS syms, avg(o_totalprice / 300000 - 0.5) AS dalpha FROM orders GROUP BY 1, 2"""
+_RUN_TARGETS = {"pass_rate": 0.5, "all_alpha": -0.1, "deploy_alpha": -0.05, "deploy_symbols": 4, "deploy_rules": 6}
+
+
+@query("run_reports", f"""WITH m AS ({_MONTHLY}), x AS (SELECT *, mon % 5 = 0 AS no_val, mon % 4 = 0 AS no_dep FROM m),
+y AS (SELECT run_id, profile, CASE WHEN no_val THEN 0 ELSE n END AS candidates_total, CASE WHEN no_val THEN 0 ELSE f END AS candidates_passed,
+ CASE WHEN no_val THEN CASE WHEN mon = 10 THEN 0.25::DOUBLE ELSE 0 END ELSE f / n::DOUBLE END AS pass_rate, CASE WHEN no_val THEN 0 ELSE med END AS median_score,
+ CASE WHEN no_val THEN CASE WHEN mon = 10 THEN 0.125::DOUBLE ELSE -10 END ELSE alpha END AS all_alpha, CASE WHEN no_dep THEN 0 ELSE syms END AS deploy_symbols, CASE WHEN no_dep THEN 0 ELSE n END AS deploy_rules,
+ CASE WHEN no_dep THEN 0 ELSE dalpha END AS deploy_alpha, CASE WHEN no_val THEN 0 ELSE p / n::DOUBLE END AS fail,
+ CASE WHEN no_val OR greatest(o, p) = 0 THEN NULL WHEN o >= p THEN 'open' ELSE 'pending' END AS top_rejection FROM x)
+SELECT run_id, profile, candidates_total, candidates_passed, {', '.join(r(c, c) for c in ('pass_rate', 'median_score', 'all_alpha', 'deploy_alpha'))}, deploy_symbols, deploy_rules, top_rejection,
+ {' AND '.join(f'{k} >= {v}' for k, v in _RUN_TARGETS.items())} AS gate_hit,
+ CASE WHEN fail >= 0.999 THEN 'STATUS_VETO_ALL' WHEN pass_rate <= 0 THEN 'STATUS_STALLED' WHEN pass_rate < 0.2 THEN 'STATUS_RECOVERY' ELSE 'STATUS_STABLE' END AS status,
+ CASE WHEN fail >= 0.5 THEN 'REGIME_VETO_HOLD' WHEN all_alpha > 0 THEN 'REGIME_EXPANSION' ELSE 'REGIME_CONSOLIDATION' END AS regime FROM y""")
+def run_reports(spark, sf):
+    """Reports of every run; some runs lack a report, and the oldest form lacks the best round."""
+    orders = table(spark, sf, "orders").select(
+        F.concat_ws(" ", "o_orderpriority", F.date_format("o_orderdate", "yyyy-MM")).alias("run_id"), F.col("o_orderpriority").alias("profile"), "o_orderdate", "o_orderstatus", "o_totalprice", "o_custkey")
+    mon = F.substring("run_id", -2, 2).cast("int")
+    count = lambda s: F.count_if(F.col("o_orderstatus") == s)
+    runs = orders.groupBy("run_id", "profile").agg(F.max(F.col("o_orderdate").cast("timestamp")).alias("ts_utc")).withColumn("best_round_score", F.when(mon == 10, F.struct(
+        F.lit(0.25).alias("validation_pass_rate"), F.lit(0.125).alias("all_window_avg_alpha_vs_spot"))))
+    val = orders.where(mon % 5 != 0).groupBy("run_id").agg(
+        F.count("*").alias("candidates_total"), count("F").alias("candidates_passed"), (count("F") / F.count("*")).alias("pass_rate"), (count("P") / F.count("*")).alias("failsafe_veto_all_rate"),
+        F.collect_list(F.struct(F.struct((F.col("o_totalprice") / 600000).alias("final_score")).alias("scores"))).alias("rows"),  # the orders of a month
+        F.array(F.struct(F.lit("30d").alias("window"), F.lit(9.0).alias("avg_alpha_vs_spot")), F.struct(F.lit("all"), F.avg("o_totalprice") / 200000 - 0.7)).alias("summary_by_window"),
+        F.create_map(F.lit("open"), count("O"), F.lit("pending"), count("P")).alias("failed_reason_counts"), F.lit("v2").alias("unknown_field"))
+    per = orders.where(mon % 4 != 0).groupBy("run_id", (F.col("o_custkey") % 5).cast("string").alias("symbol")).agg(F.collect_list(F.struct((F.col("o_totalprice") / 300000 - 0.5).alias("alpha_vs_spot"))).alias("rules"))
+    dep = per.groupBy("run_id").agg(F.count("*").alias("total_symbols"), F.sum(F.size("rules")).alias("total_rules"), F.collect_list(F.struct("symbol", "rules")).alias("symbols"))
+    root = f"{staging_dir(spark).rstrip('/')}/reports-{uuid.uuid4().hex}"
+    for name, df in (("runs", runs), ("validation", val), ("deploy", dep)):
+        df.write.json(f"{root}/{name}")
+    out = H.run_metrics(artifacts.read_run_reports(spark, f"{root}/runs", f"{root}/validation", f"{root}/deploy"), _RUN_TARGETS)
+    return show(out, ["run_id", "profile", "candidates_total", "candidates_passed", "deploy_symbols", "deploy_rules", "top_rejection", "gate_hit", "status", "regime"], ["pass_rate", "median_score", "all_alpha", "deploy_alpha"])

@@ -270,21 +270,27 @@ def atr_regime_signals(spark, sf):
     return summary(R.indicator_signals(hourly(spark, sf), "atr_regime"))
 
 
-_COUNTS = [(f, k, len([x for x in R.rule_grid(f) if x.rule_key == k])) for f in R.GRIDS for k in R.RULE_KEYS[f]]
-
-
-@query("rule_grid", "WITH s AS (SELECT event_type AS symbol, count(*) AS ticks FROM events GROUP BY 1), " + ", ".join([
-    f"rsi AS (SELECT k.rule_key, count(*) AS n FROM (SELECT unnest(['mean_revert', 'breakout', 'centerline']) AS rule_key) k, {_values('w', G['rsi']['rsi_window'])}, {_values('lo', G['rsi']['lower'])}, {_values('hi', G['rsi']['upper'])} WHERE lo < hi GROUP BY 1)",
-    f"macd AS (SELECT k.rule_key, count(*) AS n FROM (SELECT unnest(['momentum_follow', 'zero_line_follow']) AS rule_key) k, {_values('f', G['macd']['fast_window'])}, {_values('sl', G['macd']['slow_window'])}, {_values('g', G['macd']['signal_window'])} WHERE f < sl GROUP BY 1)",
-    f"cci AS (SELECT k.rule_key, count(*) AS n FROM (SELECT unnest(['cci_mean_revert', 'cci_breakout']) AS rule_key) k, {_values('w', (20, 30))}, {_values('lo', (-200, -150, -100))}, {_values('hi', (100, 150, 200))} WHERE lo < hi GROUP BY 1)",
-    f"ema AS (SELECT 'trend_cross' AS rule_key, count(*) AS n FROM {_values('f', (8, 13, 21, 34))}, {_values('sl', (55, 89, 144))} WHERE f < sl)",
-]) + """, g AS (SELECT 'rsi' AS family, * FROM rsi UNION ALL SELECT 'macd', * FROM macd UNION ALL SELECT 'cci', * FROM cci UNION ALL SELECT 'ema_cross', * FROM ema)
+def _grid_sql() -> str:
+    """Counts of every family and core: products of the parameter lists, with lower < upper and fast < slow."""
+    arms = []
+    for f, grid in R.GRIDS.items():
+        keys = ", ".join(f"'{k}'" for k in R.RULE_KEYS[f])
+        where = " AND ".join([f'"{a}" < "{b}"' for a, b in R.ORDERED_PAIRS if a in grid and b in grid]) or "true"
+        lists = ", ".join(f'(SELECT unnest({[float(v) for v in values]}) AS "{name}")' for name, values in grid.items())
+        arms.append(f"SELECT '{f}' AS family, rule_key, count(*) AS n FROM (SELECT unnest([{keys}]) AS rule_key), {lists} WHERE {where} GROUP BY 2")
+    for key, c in R.CORE_RULES.items():
+        lists = ", ".join(f'(SELECT unnest({[float(v) for v in values]}) AS "{name}")' for name, values in c.grid.items())
+        arms.append(f"SELECT '{c.core}', '{key}', count(*) FROM {lists}")
+    return " UNION ALL ".join(arms)
+
+
+@query("rule_grid", f"""WITH s AS (SELECT event_type AS symbol, count(*) AS ticks FROM events GROUP BY 1), g AS ({_grid_sql()})
 SELECT symbol, family, rule_key, n AS rules, n * ticks AS rule_ticks FROM s, g""")
 def rule_grid(spark, sf):
-    """Rules per symbol and family, with the number of (rule, tick) pairs a sweep evaluates."""
+    """Rules per symbol and family or core, with the number of (rule, tick) pairs a sweep evaluates."""
     from barloom.sources.tables import event_ticks
 
-    rules = [x for f in ("rsi", "macd", "cci", "ema_cross") for x in R.rule_grid(f)]
+    rules = [x for f in R.GRIDS for x in R.rule_grid(f)] + R.core_rule_grid()
     ticks = event_ticks(spark, sf).groupBy("symbol").agg(F.count("*").alias("ticks"))
     grid = ticks.withColumn("r", F.explode(R.rules_literal(rules)))
     out = grid.groupBy("symbol", "r.family", "r.rule_key").agg(F.count("*").alias("rules"), F.first("ticks").alias("ticks"))

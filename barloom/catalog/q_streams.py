@@ -54,3 +54,20 @@ def stream_repair(spark, sf):
     """The bars the stream has not emitted yet, rebuilt from the raw ticks."""
     emitted = stage(drain(J.tick_bars(tick_stream(spark, sf), "1h", tie=["event_id"])), "emitted")
     return show(J.repair_bars(event_ticks(spark, sf), emitted, "1h", ["event_id"]), ["symbol", "ts"], _OHLCV)
+
+
+@query("stream_compacted", """WITH v AS (SELECT user_id, event_type, value, ts, event_id, event_id % 4 AS version FROM events)
+SELECT user_id, arg_max(event_type, (version, ts, event_id)) AS event_type, arg_max(event_id, (version, ts, event_id)) AS event_id FROM v GROUP BY 1""")
+def stream_compacted(spark, sf):
+    """Upserts in four batches: two, a compaction, one more, a replay of an old one, another compaction, the last."""
+    events = spark.read.parquet(f"{sf}/events.parquet").select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    last = F.struct("ts", "event_id")
+    batch = lambda v: events.where(F.col("event_id") % 4 == v).groupBy("user_id").agg(F.max_by("event_type", last).alias("event_type"), F.max_by("event_id", last).alias("event_id"))
+    path = f"{staging_dir(spark).rstrip('/')}/upserts-{uuid.uuid4().hex}"
+    write = J.append_versions(path)
+    for step in (0, 1, "compact 1", 2, 0, "compact 2", 3, 1):
+        if isinstance(step, int):
+            write(batch(step), step)
+        else:
+            J.compact(spark, path, ["user_id"], int(step.split()[1]))
+    return J.current_rows(spark, path, ["user_id"])

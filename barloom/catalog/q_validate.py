@@ -154,7 +154,7 @@ def winner_rows(spark, sf):
     ret = by_blocks(bars, ["symbol"], lambda df, w: df.withColumn("ret", F.col("close") / F.lag("close").over(w) - 1.0), 1)
     base = ret.join(FT.base_features(bars).drop("pos"), ["symbol", "ts"])
     span = S.window_table(bars, min_bars=20).select("symbol", "window", "start_ts", "window_bars")
-    start = bars.join(span, "symbol").where("ts = start_ts").select("symbol", "window", F.col("pos").alias("_p0"), F.col("window_bars").alias("n"))
+    start = bars.join(span.withColumnRenamed("start_ts", "ts"), ["symbol", "ts"]).select("symbol", "window", F.col("pos").alias("_p0"), F.col("window_bars").alias("n"))
     sig = R.indicator_signals(bars, "ema_cross").select("symbol", "pos", "rule_id", "entry", "exit")
     picked = sig.join(won.select(*KEYS), ["symbol", "rule_id"]).join(start, ["symbol", "window"]).where("pos >= _p0")
     rows = picked.join(base, ["symbol", "pos"]).withColumn("pos", F.col("pos") - F.col("_p0")).withColumn("seg", time_segment(86_400 * S.SEGMENT_ROWS))

@@ -14,6 +14,7 @@ from barloom.operators.series import (
     carry_backward,
     carry_forward,
     dense_position,
+    look_up,
     number_bars,
     spread_blocks,
     time_segment,
@@ -216,7 +217,7 @@ def lookback_slices(bars: DataFrame, keys: Sequence[str] = ("symbol",), lookback
     lookbacks = lookbacks or LOOKBACKS
     newest = bars.groupBy(*keys).agg(F.max("ts").alias("_max"))
     options = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(d).cast("int").alias("days")) for n, d in lookbacks.items()])
-    tagged = bars.join(newest, list(keys)).withColumn("_w", F.explode(options))
+    tagged = look_up(bars, newest, list(keys), F.col("ts")).withColumn("_w", F.explode(options))
     since = F.col("_max") - F.make_dt_interval(days=F.col("_w.days"))
     return (
         tagged.where(F.col("_w.days").isNull() | (F.col("ts") >= since))
@@ -227,14 +228,14 @@ def lookback_slices(bars: DataFrame, keys: Sequence[str] = ("symbol",), lookback
 def every_nth(bars: DataFrame, step: int, keys: Sequence[str] = ("symbol",), pos: str = "pos") -> DataFrame:
     """Every `step`-th row of a key and its last row; needs dense positions."""
     last = bars.groupBy(*keys).agg(F.max(pos).alias("_last"))
-    picked = bars.join(last, list(keys)).where((F.col(pos) % step == 0) | (F.col(pos) == F.col("_last")))
+    picked = look_up(bars, last, list(keys), F.col(pos)).where((F.col(pos) % step == 0) | (F.col(pos) == F.col("_last")))
     return picked.select(*bars.columns)
 
 
 def drop_warmup(bars: DataFrame, rows: int = 720, keys: Sequence[str] = ("symbol",), pos: str = "pos") -> DataFrame:
     """Drop the first `rows` rows of keys that have more than that."""
     size = bars.groupBy(*keys).agg(F.count("*").alias("_n"))
-    kept = bars.join(size, list(keys)).where((F.col("_n") <= rows) | (F.col(pos) >= rows))
+    kept = look_up(bars, size, list(keys), F.col(pos)).where((F.col("_n") <= rows) | (F.col(pos) >= rows))
     return kept.select(*bars.columns)
 
 

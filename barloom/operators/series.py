@@ -23,6 +23,7 @@ from barloom.session import stage
 BLOCK_ROWS = 32_768
 KEY_ROWS = 50_000  # rows of a per-key table that may be broadcast
 SALTS = 64  # copies of a longer one
+RANGE_ROWS = 500_000  # rows of one range of an ordered table
 
 TIMEFRAME_SECONDS = {"1m": 60, "5m": 300, "15m": 900, "1h": 3600, "4h": 14_400, "1d": 86_400, "1w": 604_800}
 
@@ -171,3 +172,24 @@ def carry_backward(
     return inside.join(carried(carries), [*keys, block]).select(
         *keep, *[F.coalesce(f"_i_{c}", f"_c_{c}").alias(c) for c in columns]
     )
+
+
+def range_parts(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], rows: int = RANGE_ROWS, name: str = "_part") -> DataFrame:
+    """`df` cut into ranges of about `rows` rows in the order (keys, order), with the range's number.
+
+    The bounds follow the data, whatever its distribution, and rows of equal place stay together. The
+    table is written: a row keeps its range however often it is read.
+    """
+    parts = max(1, -(-df.count() // rows))
+    cut = df.repartitionByRange(parts, *keys, *order) if parts > 1 else df.coalesce(1)
+    return stage(cut.withColumn(name, F.spark_partition_id()), "ranges")
+
+
+def ordered_sums(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], sums: dict[str, Column], lagged: bool = False, rows: int = RANGE_ROWS) -> DataFrame:
+    """Running sums in any order, for keys of any size: sums inside ranges plus the totals of the ranges before."""
+    return running_sum(range_parts(df, keys, order, rows), keys, "_part", order, sums, lagged).drop("_part")
+
+
+def ordered_number(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], name: str, rows: int = RANGE_ROWS) -> DataFrame:
+    """Row number from 1 within each key; `order` must leave no ties."""
+    return ordered_sums(df, keys, order, {name: F.lit(1).cast("long")}, rows=rows)

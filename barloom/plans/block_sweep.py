@@ -263,6 +263,25 @@ def segments(rows: DataFrame, windows: DataFrame, rules: list[R.Rule], signals:
     return run(plain, False)
 
 
+def compared(rows: DataFrame, keys: Sequence[str], rules: list[R.Rule], signals: Signals) -> DataFrame:
+    """Rule x bar pairs of two paths (`_path` 0 and 1 of each pos) and how many of them differ in entry or exit."""
+    keys = list(keys)
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by([("_path", "ascending"), ("pos", "ascending")])
+        x = table.column("_x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(table), -1)
+        half = len(table) // 2
+        checked = changed = 0
+        for (_, e0, z0), (_, e1, z1) in zip(signals(x[:half], rules), signals(x[half:], rules), strict=True):
+            checked += e0.size
+            changed += int(((e0 != e1) | (z0 != z1)).sum())
+        return pa.table({**{k: pa.array([v.as_py()], v.type) for k, v in zip(keys, key)}, "checked": [checked], "changed": [changed]})
+
+    parts = rows.groupBy(*keys, "seg").applyInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", checked long, changed long")
+    return parts.groupBy(*keys).agg(F.sum("checked").alias("checked"), F.sum("changed").alias("changed"))
+
+
 # --- merging ----------------------------------------------------------------------------------
 
 

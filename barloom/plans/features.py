@@ -16,6 +16,7 @@ from barloom.operators import kernels as K
 from barloom.operators.bars import close_clock, drop_warmup
 from barloom.operators.quantiles import exact_quantiles
 from barloom.operators.series import (
+    look_up,
     BLOCK_ROWS,
     TIMEFRAME_SECONDS,
     by_blocks,
@@ -214,7 +215,7 @@ def winsor_bounds(rows: DataFrame, keys: Sequence[str], columns: Sequence[str],
 def winsor_apply(rows: DataFrame, bounds: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Clip to fitted bounds; columns or keys without bounds pass unchanged."""
     named = bounds.select(*keys, *[F.col(c).alias(f"_w_{c}") for c in columns])
-    joined = rows.join(named, list(keys), "left")
+    joined = look_up(rows, named, list(keys), F.struct(*columns), "left")
     cols = []
     for c in rows.columns:
         if c in columns:
@@ -225,6 +226,38 @@ def winsor_apply(rows: DataFrame, bounds: DataFrame, keys: Sequence[str], column
     return joined.select(*cols)
 
 
+def prefix_bounds(rows: DataFrame, starts: DataFrame, names: Sequence[str], keys: Sequence[str], columns: Sequence[str], q: tuple[float, float] = WINSOR, ts: str = "ts") -> DataFrame:
+    """Quantile bounds of the rows before each window's start: (keys, window, one (lo, hi) struct per column).
+
+    starts: keys, window, start_ts with one row per key and window; `names` are the windows wanted. The
+    prefixes are nested: a row counts for every window that it lies before, and all windows and columns
+    share one sketch, one count and one selection (see `exact_quantiles`). A window that begins with its
+    series has no rows before it and no bounds.
+    """
+    keys = list(keys)
+    begin = starts.where(F.col("window").isin(list(names))).groupBy(*keys).agg(F.collect_list(F.struct("window", "start_ts")).alias("_at"))  # a few windows per key
+    marked = look_up(rows.select(*keys, ts, *columns), begin, keys, F.col(ts)).withColumn("_w", F.explode("_at")).where(F.col(ts) < F.col("_w.start_ts"))
+    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("double").alias("x")) for i, c in enumerate(columns)]))
+    long = marked.select(*keys, F.col("_w.window").alias("window"), cells.alias("_c")).select(*keys, "window", F.col("_c.i").alias("_i"), F.col("_c.x").alias("_x"))
+    found = exact_quantiles(long, [*keys, "window", "_i"], {"lo": ("_x", q[0]), "hi": ("_x", q[1])})
+    each = [F.max(F.when(F.col("_i") == i, F.struct("lo", "hi"))).alias(c) for i, c in enumerate(columns)]
+    return found.groupBy(*keys, "window").agg(*each)
+
+
+def causal_windows(rows: DataFrame, starts: DataFrame, names: Sequence[str], keys: Sequence[str], columns: Sequence[str], q: tuple[float, float] = WINSOR) -> DataFrame:
+    """The rows of each window, clipped to bounds that were fitted before the window began: `rows` plus `window`."""
+    keys = list(keys)
+    bounds = prefix_bounds(rows, starts, names, keys, columns, q).withColumnsRenamed({c: f"_w_{c}" for c in columns})
+    about = starts.select(*keys, "window", "start_ts").join(bounds, [*keys, "window"], "left").groupBy(*keys).agg(F.collect_list(F.struct("window", "start_ts", *[f"_w_{c}" for c in columns])).alias("_ws"))
+    each = look_up(rows, about, keys, F.col("ts")).withColumn("_w", F.explode("_ws")).where(F.col("ts") >= F.col("_w.start_ts"))
+
+    def clipped(c: str) -> Column:
+        x, b = F.col(c), F.col("_w")[f"_w_{c}"]
+        return F.when(x < b["lo"], b["lo"]).when(x > b["hi"], b["hi"]).otherwise(x).alias(c)
+
+    return each.select(*[clipped(c) if c in columns else F.col(c) for c in rows.columns], F.col("_w.window").alias("window"))
+
+
 # --- registry ---------------------------------------------------------------------------------
 
 

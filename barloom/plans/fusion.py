@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.expr import EPS, clip, clip01, finite, min_max_scale
 from barloom.operators import kernels as K
-from barloom.operators.series import BLOCK_ROWS, by_blocks
+from barloom.operators.series import BLOCK_ROWS, by_blocks, look_up
 from barloom.plans import features as FT
 from barloom.session import stage
 
+# Families, weights and the columns they are read from.
 FAMILIES = ("trend", "oscillation", "risk", "flow", "timing")
 FAMILY_PREFIX = {"trend": "trend", "oscillation": "oscillation", "risk": "risk_volatility", "flow": "flow_liquidity", "timing": "timing_execution"}
 BASE_WEIGHTS = {"trend": 0.30, "oscillation": 0.20, "risk": 0.20, "flow": 0.20, "timing": 0.10}
@@ -43,7 +46,7 @@ def _scaled(rows: DataFrame, keys: Sequence[str], cols: dict[str, Column]) -> Da
     lim = tmp.groupBy(*keys).agg(
         *[F.min(f"_x_{n}").alias(f"_lo_{n}") for n in cols], *[F.max(f"_x_{n}").alias(f"_hi_{n}") for n in cols]
     )
-    out = tmp.join(lim, list(keys))
+    out = look_up(tmp, lim, list(keys), F.col("ts"))
     return out.select(*rows.columns, *[min_max_scale(F.col(f"_x_{n}"), F.col(f"_lo_{n}"), F.col(f"_hi_{n}")).alias(n) for n in cols])
 
 
@@ -130,6 +133,13 @@ def forward_returns(bars: DataFrame, horizon: int, keys: Sequence[str] = ("symbo
     return by_blocks(bars, keys, build, back=0, ahead=horizon, rows=rows)
 
 
+def correlation(x: str, y: str) -> Column:
+    """Correlation over the rows that have both, as an aggregate; NULL where either does not vary."""
+    there = F.col(x).isNotNull() & F.col(y).isNotNull()
+    spread = F.stddev_pop(F.when(there, F.col(x))) * F.stddev_pop(F.when(there, F.col(y)))
+    return F.when(spread > 0, F.covar_pop(x, y) / spread)
+
+
 def diagnostics(rows: DataFrame, columns: Sequence[str], keys: Sequence[str] = ("symbol",), target: str = "fwd_ret", min_rows: int = 80,
                 top: int | None = 30) -> DataFrame:
     """Correlation with the forward return, coverage, utility and family share of each feature.
@@ -142,7 +152,7 @@ def diagnostics(rows: DataFrame, columns: Sequence[str], keys: Sequence[str] = (
         *[
             F.struct(
                 F.lit(c).alias("name"), F.count(c).alias("n"), F.stddev_samp(c).alias("std"),
-                F.corr(c, target).alias("corr"), F.avg((F.abs(c) > EPS).cast("int")).alias("coverage"),
+                correlation(c, target).alias("corr"), F.avg((F.abs(c) > EPS).cast("int")).alias("coverage"),
             ).alias(f"_{i}")
             for i, c in enumerate(columns)
         ]
@@ -160,23 +170,51 @@ def diagnostics(rows: DataFrame, columns: Sequence[str], keys: Sequence[str] = (
     return out if top is None else out.where(F.col("rank") <= top)
 
 
+def pair_correlations(rows: DataFrame, columns: Sequence[str], keys: Sequence[str] = ("symbol",)) -> DataFrame:
+    """(keys, name, leader, corr) of every pair of columns, over the rows where both are finite.
+
+    A task adds up the moments of all pairs as matrix products of its rows, about the means of the key;
+    what is shuffled is one row per pair, key and task, summed on the way.
+    """
+    keys, d = list(keys), len(columns)
+    clean = rows.select(*keys, *[finite(F.col(c)).alias(f"c{i}") for i, c in enumerate(columns)])
+    means = clean.groupBy(*keys).agg(F.array(*[F.coalesce(F.avg(f"c{i}"), F.lit(0.0)) for i in range(d)]).alias("_m"))
+    shifted = look_up(clean, means, keys, F.struct(*[f"c{i}" for i in range(d)])).select(*keys, F.array(*[F.coalesce(F.col(f"c{i}") - F.get("_m", F.lit(i)), F.lit(float("nan"))) for i in range(d)]).alias("_x"))
+    first, second = np.triu_indices(d, 1)
+    kinds = {f.name: f.dataType.simpleString() for f in clean.schema.fields}
+    names = ["n", "x", "y", "xx", "yy", "xy"]
+
+    def moments(batches):
+        for b in batches:
+            pdf = pa.Table.from_batches([b]).select(keys).to_pandas()
+            x = b.column("_x").flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+            for key, at in pdf.groupby(keys, sort=False, dropna=False).indices.items():
+                there = ~np.isnan(x[at])
+                v, m = np.where(there, x[at], 0.0), there.astype(float)
+                parts = [m.T @ m, v.T @ m, m.T @ v, (v * v).T @ m, m.T @ (v * v), v.T @ v]
+                key = key if isinstance(key, tuple) else (key,)
+                cols = [pa.array([k] * len(first)).cast(b.schema.field(c).type) for c, k in zip(keys, key)]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(np.arange(len(first), dtype=np.int32)), *[pa.array(p[first, second]) for p in parts]], [*keys, "pair", *names])
+
+    sums = shifted.mapInArrow(moments, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", pair int, " + ", ".join(f"{c} double" for c in names)).groupBy(*keys, "pair").agg(*[F.sum(c).alias(c) for c in names])
+    spread = lambda c: F.col(c + c) - F.col(c) * F.col(c) / F.greatest("n", F.lit(1.0))
+    both = F.sqrt(F.greatest(spread("x"), F.lit(0.0))) * F.sqrt(F.greatest(spread("y"), F.lit(0.0)))
+    corr = F.when((F.col("n") > 1) & (both > 0), (F.col("xy") - F.col("x") * F.col("y") / F.col("n")) / both)
+    name = lambda side: F.element_at(F.array(*[F.lit(columns[i]) for i in side]), F.col("pair") + 1)
+    return sums.select(*keys, name(first).alias("name"), name(second).alias("leader"), corr.alias("corr"))
+
+
 def prune_candidates(rows: DataFrame, columns: Sequence[str], ranked: DataFrame, keys: Sequence[str] = ("symbol",), q: float = 0.20,
                      leaders: int = 10, top: int = 20) -> DataFrame:
     """Features of low utility, and the leading feature each resembles most.
 
-    `ranked` is the whole `diagnostics` table (top=None). All pairwise correlations are one
-    aggregate; its size is the square of the number of features, not of rows.
+    `ranked` is the whole `diagnostics` table (top=None).
     """
     keys = list(keys)
     cut = ranked.groupBy(*keys).agg(F.percentile("utility", F.lit(q)).alias("_cut"))
     low = ranked.join(cut, keys).where(F.col("utility") <= F.col("_cut"))
     lead = ranked.where(F.col("rank") <= leaders).select(*keys, F.col("name").alias("leader"))
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1, len(columns))]
-    clean = rows.select(*keys, *[finite(F.col(c)).alias(f"c{i}") for i, c in enumerate(columns)])
-    corr = clean.groupBy(*keys).agg(F.array(*[F.corr(f"c{i}", f"c{j}") for i, j in pairs]).alias("_m"))
-    names = F.array(*[F.struct(F.lit(columns[i]).alias("a"), F.lit(columns[j]).alias("b")) for i, j in pairs])
-    each = corr.select(*keys, F.explode(F.arrays_zip(names.alias("p"), F.col("_m").alias("c"))).alias("z"))
-    half = each.select(*keys, F.col("z.p.a").alias("name"), F.col("z.p.b").alias("leader"), F.abs("z.c").alias("corr_abs"))
+    half = pair_correlations(rows, columns, keys).select(*keys, "name", "leader", F.abs("corr").alias("corr_abs"))
     full = half.unionByName(half.select(*keys, F.col("leader").alias("name"), F.col("name").alias("leader"), "corr_abs"))
     near = full.where(~F.isnan("corr_abs") & F.col("corr_abs").isNotNull()).join(lead, [*keys, "leader"])
     best = near.groupBy(*keys, "name").agg(F.max_by(F.struct("leader", "corr_abs"), F.struct(F.round("corr_abs", 9), "leader")).alias("b"))

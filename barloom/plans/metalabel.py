@@ -17,7 +17,7 @@ from pyspark.sql.window import WindowSpec
 from barloom.functions.expr import EPS, finite, nonzero
 from barloom.operators import kernels as K
 from barloom.operators.quantiles import exact_quantiles
-from barloom.operators.series import BLOCK_ROWS, by_blocks, dense_position, look_up, running_sum
+from barloom.operators.series import BLOCK_ROWS, by_blocks, dense_position, look_up, ordered_sums, running_sum
 from barloom.plans.rules import true_range
 from barloom.session import stage
 
@@ -82,7 +82,8 @@ def barrier_events(
         nxt = F.collect_list(F.struct("pos", "high", "low", "close")).over(w.rowsBetween(1, horizon))
         return df.withColumn("_next", F.when(F.col("entry"), nxt))
 
-    e = by_blocks(rated, keys, ahead, back=0, ahead=horizon, rows=rows).where("entry").join(size, keys)
+    e = by_blocks(rated, keys, ahead, back=0, ahead=horizon, rows=rows).where("entry")
+    e = look_up(e, size, keys, F.col("pos"))
     e = e.where((F.col("pos") < F.col("_last") - 1) & (F.col("close") > 0))
     fallback = F.when(F.col("_mid") > 0, F.col("_mid")).otherwise(0.001)
     vol = F.greatest(F.when(F.col("_atr") > 0, F.col("_atr")).otherwise(fallback), F.lit(1e-6))
@@ -122,7 +123,7 @@ def uniqueness_weights(events: DataFrame, bars: DataFrame, keys: Sequence[str] =
     raw = events.join(a, [*keys, "entry_idx"]).join(b, [*keys, "exit_idx"])
     raw = raw.withColumn("_w", F.when(F.col("exit_idx") > F.col("entry_idx"), (F.col("_a1") - F.col("_a0")) / (F.col("exit_idx") - F.col("entry_idx"))).otherwise(1.0))
     mean = raw.groupBy(*keys).agg(F.avg("_w").alias("_m"))
-    out = raw.join(mean, keys).withColumn("weight", F.when(F.col("_m") > EPS, F.col("_w") / F.col("_m")).otherwise(F.col("_w")))
+    out = look_up(raw, mean, keys, F.col("entry_idx")).withColumn("weight", F.when(F.col("_m") > EPS, F.col("_w") / F.col("_m")).otherwise(F.col("_w")))
     return out.select(*events.columns, "weight")
 
 
@@ -151,7 +152,7 @@ def cpcv_rows(
     q, extra = F.floor(F.col("_n") / F.col("_k")), F.col("_n") % F.col("_k")
     big = extra * (q + 1)
     group = F.when(F.col("event_no") < big, F.floor(F.col("event_no") / (q + 1))).otherwise(extra + F.floor((F.col("event_no") - big) / q))
-    g = numbered.join(n, keys).withColumn("_k", k).withColumn("grp", group.cast("int"))
+    g = look_up(numbered, n, keys, F.col("entry_idx")).withColumn("_k", k).withColumn("grp", group.cast("int"))
     spans = g.groupBy(*keys, "_k", "grp").agg(F.min("entry_idx").alias("_lo"), F.max("entry_idx").alias("_hi"), F.count("*").alias("_c"))
     folds = [(size, i, c) for size in range(3, n_groups + 1) for i, c in fold_table(size, test_groups, max_folds)]
     table = F.from_json(F.lit(json.dumps([{"k": s, "fold": i, "test": c} for s, i, c in folds])), "array<struct<k:bigint,fold:int,test:array<int>>>")
@@ -159,7 +160,7 @@ def cpcv_rows(
     band = options.groupBy(*keys, F.col("f.fold").alias("fold")).agg(
         F.first("f.test").alias("test"), (F.min("_lo") - gap).alias("_b0"), (F.max("_hi") + gap).alias("_b1"))
     packed = band.groupBy(*keys).agg(F.collect_list(F.struct("fold", "test", "_b0", "_b1")).alias("_folds"))  # at most max_folds per key
-    each = g.join(packed, keys).withColumn("_f", F.explode("_folds"))
+    each = look_up(g, packed, keys, F.col("entry_idx")).withColumn("_f", F.explode("_folds"))
     inside = F.array_contains("_f.test", F.col("grp"))
     banned = F.col("entry_idx").between(F.col("_f._b0"), F.col("_f._b1"))
     out = each.withColumn("role", F.when(inside, "test").when(~banned, "train")).where("role IS NOT NULL")
@@ -187,7 +188,7 @@ def standardise(rows: DataFrame, features: Sequence[str], keys: Sequence[str]) -
     )
     unit = lambda c: F.when(F.col(f"_s_{c}") < 1e-9, 1.0).otherwise(F.col(f"_s_{c}"))
     scaled = {c: F.coalesce(finite((finite(c) - F.col(f"_m_{c}")) / unit(c)), F.lit(0.0)) for c in features}
-    return rows.join(stats, list(keys)).select(*[scaled[c].alias(c) if c in scaled else F.col(c) for c in rows.columns])
+    return look_up(rows, stats, list(keys), F.struct(*features)).select(*[scaled[c].alias(c) if c in scaled else F.col(c) for c in rows.columns])
 
 
 # --- logistic regression over all folds at once -----------------------------------------------
@@ -265,7 +266,7 @@ def fit_folds(
     balance = n / (2.0 * F.when(y == 1, F.col("_train1")).otherwise(F.col("_train0"))) if balanced else F.lit(1.0)
     clean = [F.coalesce(finite(f), F.lit(0.0)).alias(f) for f in x]
     train = stage(
-        rows.where("role = 'train'").join(kinds, keys).select(*keys, *clean, y.alias("_y"), (F.col(weight) * balance).alias("_w")), "fold-train"
+        look_up(rows.where("role = 'train'"), kinds, keys, F.struct(*x)).select(*keys, *clean, y.alias("_y"), (F.col(weight) * balance).alias("_w")), "fold-train"
     )
     most = train.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
     if most <= small:
@@ -384,14 +385,13 @@ def threshold_scan(scored: DataFrame, keys: Sequence[str], grid: Sequence[float]
 def average_precision(scored: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Area under the precision-recall steps at distinct scores.
 
-    Counts per distinct score come first; cumulative counts run inside score bands.
+    Counts per distinct score come first; cumulative counts run over ranges of the scores.
     """
     keys = list(keys)
     per = scored.groupBy(*keys, "prob").agg(F.sum(F.col("label").cast("long")).alias("_p"), F.count("*").alias("_n"))
-    per = per.withColumn("_band", F.floor((1.0 - F.col("prob")) * 4096)).withColumn("_neg", -F.col("prob"))
-    cum = running_sum(per, keys, "_band", ["_neg"], {"tp": F.col("_p"), "seen": F.col("_n")})
+    cum = ordered_sums(per, keys, [F.desc("prob")], {"tp": F.col("_p"), "seen": F.col("_n")})
     total = scored.groupBy(*keys).agg(F.sum(F.col("label").cast("long")).alias("_all"))
-    area = cum.join(total, keys).groupBy(*keys).agg(
+    area = look_up(cum, total, keys, F.col("prob")).groupBy(*keys).agg(
         F.coalesce(F.sum(F.when(F.col("_all") > 0, F.col("_p") / F.col("_all") * F.col("tp") / F.col("seen"))), F.lit(0.0)).alias("pr_auc")
     )
     return area

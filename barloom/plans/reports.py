@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.operators.series import ordered_number
+
 GATES = ("gated", "ungated")
 CELL = ["symbol", "core", "window"]
 
@@ -105,8 +107,7 @@ def core_overview(cells: DataFrame) -> DataFrame:
 
 def rank_shift(rows: DataFrame) -> DataFrame:
     """Rank by margin inside each window in either gate, and the change from ungated to gated."""
-    w = Window.partitionBy("gate", "window").orderBy(F.desc(F.round("alpha", 9)), "symbol", "core")
-    r = rows.withColumn("_rank", F.row_number().over(w))
+    r = ordered_number(rows.withColumn("_a", F.round("alpha", 9)), ["gate", "window"], [F.desc("_a"), "symbol", "core"], "_rank")  # a window holds every cell
     a = r.where("gate = 'gated'").select(*CELL, F.col("_rank").alias("gated_rank"))
     b = r.where("gate = 'ungated'").select(*CELL, F.col("_rank").alias("ungated_rank"))
     return a.join(b, CELL).withColumn("shift", F.col("ungated_rank") - F.col("gated_rank"))
@@ -145,8 +146,8 @@ def window_diagnostics(rows: DataFrame, by: str, window: str = "all") -> DataFra
 def explainability(rows: DataFrame, windows: DataFrame) -> DataFrame:
     """Every window result with its grade, window bounds and place, best grades first."""
     out = rows.withColumn("grade", grade()).join(windows.select("symbol", "window", "start_ts", "end_ts"), ["symbol", "window"])
-    w = Window.partitionBy("gate").orderBy("grade", F.desc(F.round("alpha", 9)), "symbol", "core", "window")
-    return out.withColumn("place", F.row_number().over(w))
+    out = ordered_number(out.withColumn("_a", F.round("alpha", 9)), ["gate"], ["grade", F.desc("_a"), "symbol", "core", "window"], "place")  # a gate holds every result
+    return out.drop("_a")
 
 
 def feature_importance(diagnostics: DataFrame, n: int = 120) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from barloom.functions.expr import EPS, clip01
 from barloom.operators.quantiles import exact_quantiles
 from barloom.operators.series import before, carried
+from barloom.session import stage
 
 BUCKET = "_month"
 
@@ -73,6 +74,27 @@ def expectation(runs: DataFrame, series: Sequence[str], measure: str, target: fl
     ).drop("_std")
 
 
+def reach_probability(runs: DataFrame, series: Sequence[str], targets: dict[str, float], recent: int = 8) -> DataFrame:
+    """Chance that a series reaches all its targets: geometric mean over the measures.
+
+    A measure at its target counts 0.88; one that moves there counts less the more rounds it needs; one
+    that does not move counts next to nothing.
+    """
+    out, parts = None, []
+    for m, target in targets.items():
+        e = expectation(runs, series, m, target, 0.0, recent)
+        base = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.exp(-0.45 * F.col("rounds_to_target"))))
+        p = F.when(F.col("latest") >= target, 0.88).when(F.col("rounds_to_target").isNull(), F.when(F.col("slope") <= 0, 0.06).otherwise(0.15)).otherwise(base)
+        e = e.select(*series, F.col("slope").alias(f"{m}_slope"), F.col("rounds_to_target").alias(f"{m}_rounds"), p.alias(f"{m}_chance"))
+        out = e if out is None else out.join(e, list(series))
+        parts.append(F.col(f"{m}_chance"))
+    product = parts[0]
+    for p in parts[1:]:
+        product = product * p
+    rounds = F.greatest(*[F.col(f"{m}_rounds") for m in targets], F.lit(None).cast("double"))  # of the measures that move
+    return out.withColumn("reach_probability", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.pow(product, F.lit(1.0 / len(parts)))))).withColumn("eta_rounds", rounds)
+
+
 def round_quality(results: DataFrame, expected: DataFrame) -> DataFrame:
     """Per gate: cells present of those expected, insufficient and pass rates, weakest window."""
     have = results.select("symbol", "core", "gate", "window", "beats_hold", "insufficient").withColumn("_have", F.lit(1))
@@ -91,6 +113,36 @@ def missing_cells(results: DataFrame, expected: DataFrame) -> DataFrame:
     return expected.join(results.select(*key), key, "left_anti")
 
 
+def run_metrics(reports: DataFrame, targets: dict[str, float]) -> DataFrame:
+    """Measures of each run from its reports, whether it meets the targets, its status, regime and most frequent rejection.
+
+    reports: see `artifacts.read_run_reports`. What the reports lack comes from the run's best round, then
+    from a default. targets: pass_rate, all_alpha, deploy_alpha, deploy_symbols, deploy_rules.
+    """
+    zero = F.lit(0.0)
+    scores = F.filter(F.transform("validation.rows", lambda x: x["scores"]["final_score"]), lambda x: x.isNotNull())
+    ordered, size = F.array_sort(scores), F.size(scores)
+    median = F.when(size > 0, (F.get(ordered, F.floor((size - 1) / 2).cast("int")) + F.get(ordered, F.floor(size / 2).cast("int"))) / 2.0)
+    every = F.filter("validation.summary_by_window", lambda w: w["window"] == "all")
+    alphas = F.filter(F.flatten(F.transform("deploy.symbols", lambda s: F.transform(s["rules"], lambda x: x["alpha_vs_spot"]))), lambda x: x.isNotNull())
+    reasons = F.filter(F.map_entries("validation.failed_reason_counts"), lambda e: e["value"] > 0)
+    top = F.aggregate(reasons, F.struct(zero.cast("long").alias("n"), F.lit(None).cast("string").alias("k")), lambda acc, e: F.when(
+        (e["value"] > acc["n"]) | ((e["value"] == acc["n"]) & (e["key"] < acc["k"])), F.struct(e["value"].alias("n"), e["key"].alias("k"))).otherwise(acc))
+    out = reports.select(
+        "run_id", "ts_utc", "profile", F.coalesce("validation.candidates_total", F.lit(0)).alias("candidates_total"), F.coalesce("validation.candidates_passed", F.lit(0)).alias("candidates_passed"),
+        F.coalesce("validation.pass_rate", "best.validation_pass_rate", zero).alias("pass_rate"), F.coalesce(median, zero).alias("median_score"),
+        F.coalesce(F.get(every, F.lit(0))["avg_alpha_vs_spot"], "best.all_window_avg_alpha_vs_spot", F.lit(-10.0)).alias("all_alpha"),
+        F.coalesce("deploy.total_symbols", "best.deploy_total_symbols", F.lit(0)).alias("deploy_symbols"), F.coalesce("deploy.total_rules", "best.deploy_total_rules", F.lit(0)).alias("deploy_rules"),
+        F.coalesce(F.when(F.size(alphas) > 0, F.aggregate(alphas, zero, lambda acc, x: acc + x) / F.size(alphas)), zero).alias("deploy_alpha"),
+        F.coalesce("validation.failsafe_veto_all_rate", zero).alias("failsafe_rate"), top["k"].alias("top_rejection"))
+    hit = F.lit(True)
+    for name, least in targets.items():
+        hit = hit & (F.col(name) >= least)
+    status = F.when(F.col("failsafe_rate") >= 0.999, "STATUS_VETO_ALL").when(F.col("pass_rate") <= 0, "STATUS_STALLED").when(F.col("pass_rate") < 0.2, "STATUS_RECOVERY").otherwise("STATUS_STABLE")
+    regime = F.when((F.col("status") == "STATUS_VETO_ALL") | (F.col("failsafe_rate") >= 0.5), "REGIME_VETO_HOLD").when(F.col("all_alpha") > 0, "REGIME_EXPANSION").otherwise("REGIME_CONSOLIDATION")
+    return out.withColumn("gate_hit", hit).withColumn("status", status).withColumn("regime", regime)
+
+
 def baseline_gate(rows: DataFrame, series: Sequence[str], limits: dict[str, tuple[str, float]]) -> DataFrame:
     """Medians against limits ('min' or 'max'), and the names of those missed."""
     med = exact_quantiles(rows, series, {c: (c, 0.5) for c in limits})
@@ -136,9 +188,25 @@ def progress(events: DataFrame, expected_tasks: int, recent: int = 20) -> DataFr
     rate = lambda n, s: F.when(F.col(s) > 0, (F.col(n) - 1) / F.col(s))
     out = out.select("run_id", "done", "symbols", F.least(F.lit(1.0), F.col("done") / float(expected_tasks)).alias("share"), rate("done", "_total").alias("global_rate"), rate("_k", "_span").alias("recent_rate"))
     speed = F.coalesce("recent_rate", "global_rate")
+    out = out.withColumn("confidence", confidence(F.col("done"), F.coalesce("global_rate", F.lit(0.0)), F.coalesce("recent_rate", F.lit(0.0))))
     return out.withColumn("eta_seconds", F.when(speed > 0, F.greatest(F.lit(0.0), expected_tasks - F.col("done")) / speed))
 
 
+def confidence(done: Column, global_rate: Column, recent_rate: Column) -> Column:
+    """How far the time left can be trusted: by the drift of the recent rate, from six tasks on."""
+    drift = F.abs(recent_rate - global_rate) / F.greatest(global_rate, F.lit(1e-9))
+    sound = (done >= 6) & (global_rate > 0) & (recent_rate > 0)
+    return F.when(sound & (drift < 0.15), "high").when(sound & (drift < 0.35), "medium").otherwise("low")
+
+
+def symbol_progress(events: DataFrame, symbols: DataFrame, per_symbol: int) -> DataFrame:
+    """Per run and symbol: distinct tasks done, percent and phase. `symbols` lists those that a run has (run_id, symbol)."""
+    done = events.groupBy("run_id", "symbol").agg(F.count_distinct("task").alias("done"))
+    out = symbols.join(done, ["run_id", "symbol"], "left").withColumn("done", F.least(F.coalesce("done", F.lit(0)), F.lit(per_symbol)).cast("long"))
+    phase = F.when(F.col("done") >= per_symbol, "done").when(F.col("done") > 0, "running").otherwise("pending")
+    return out.withColumn("percent", F.col("done") * 100.0 / float(per_symbol)).withColumn("phase", phase)
+
+
 def validation_tail(events: DataFrame, done: str, end: str) -> DataFrame:
     """Median over runs of the time between the last task and the end of the round."""
     per = events.groupBy("run_id").agg(F.max(F.when(F.col("event") == done, F.col("ts"))).alias("_d"), F.max(F.when(F.col("event") == end, F.col("ts"))).alias("_e"))
@@ -166,6 +234,35 @@ def policy_value(cands: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def shadow_policy(scored: DataFrame, sets: Sequence[str], window: str = "all", side: str = "long", pool: int = 8, top: int = 12) -> tuple[DataFrame, DataFrame]:
+    """The winners of all sets against a softmax policy over the `pool` best of each: (one row, the `top` actions).
+
+    Everything is a sum: an action's share is its weight over the total, and the policy's reward without
+    it is the totals less its own terms.
+    """
+    z = F.col("score") - 0.35 * F.col("credibility_penalty") - 0.25 * F.col("stability_penalty")
+    rows = scored.where((F.col("window") == window) & (F.col("side") == side) & (F.col("rank") <= pool)).withColumn("_z", z)
+    best = F.col("rank") == 1
+    peak = rows.agg(F.max("_z").alias("_m"))
+    e = stage(rows.crossJoin(F.broadcast(peak)).withColumn("_e", F.exp(F.col("_z") - F.col("_m"))), "shadow-pool")  # peak is one row
+    mean = lambda c: F.sum(F.col("_e") * F.col(c)) / F.sum("_e")
+    whole = lambda c: F.bround(c, 0)
+    sums = e.agg(
+        F.count_if(best).alias("legacy_count"), F.avg(F.when(best, F.col("net_return"))).alias("legacy_return"), F.min(F.when(best, F.col("max_drawdown"))).alias("legacy_drawdown"),
+        F.avg(F.when(best, F.col("trades"))).alias("legacy_trades"), F.count("*").alias("shadow_count"), mean("net_return").alias("shadow_return"), mean("max_drawdown").alias("shadow_drawdown"),
+        mean("trades").alias("shadow_trades"), F.sum("_e").alias("_w"), F.sum(F.col("_e") * F.col("net_return")).alias("_wr"), F.sum(F.col("_e") * F.col("max_drawdown")).alias("_wd"), F.sum(F.col("_e") * F.col("trades")).alias("_wt"))
+    sums = sums.withColumns({f"{k}_reward": reward(F.col(f"{k}_return"), F.col(f"{k}_drawdown"), whole(F.col(f"{k}_trades"))) for k in ("legacy", "shadow")})
+    better = (F.col("shadow_reward") > F.col("legacy_reward") * 1.03) & (F.abs("shadow_drawdown") <= F.abs("legacy_drawdown") * 1.05)
+    report = sums.select(*[c for c in sums.columns if not c.startswith("_")], F.when(F.coalesce(better, F.lit(False)), "candidate_for_promotion").otherwise("hold_shadow").alias("recommend"))
+    first = e.orderBy(F.desc(F.round("_z", 9)), *sets, "rule_id").limit(top)  # the report's own cut
+    acts = first.crossJoin(F.broadcast(sums.select("_w", "_wr", "_wd", "_wt")))
+    rest = F.nullif(F.col("_w") - F.col("_e"), F.lit(0.0))
+    without = lambda c, total: (F.col(total) - F.col("_e") * F.col(c)) / rest
+    w = Window.orderBy(F.desc(F.round("_z", 9)), *sets, "rule_id")  # `top` rows
+    return report, acts.select(*sets, "rule_id", F.row_number().over(w).alias("place"), (F.col("_e") / F.col("_w")).alias("probability"), "score", "net_return", "max_drawdown", "trades",
+                               reward(without("net_return", "_wr"), without("max_drawdown", "_wd"), whole(without("trades", "_wt"))).alias("rest_reward"))
+
+
 def rollback_needed(runs: DataFrame, series: Sequence[str], measure: str, drop: float, recent: int = 5) -> DataFrame:
     """Is the newest value lower than the median of the runs before it by more than `drop`?"""
     last = newest(runs, series, recent + 1)

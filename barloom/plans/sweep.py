@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.expr import clip, clip01, min_max_scale
 from barloom.operators.bars import LOOKBACKS
-from barloom.operators.series import BLOCK_ROWS
+from barloom.operators.series import BLOCK_ROWS, look_up
 from barloom.plans import backtest as BT
 from barloom.plans import block_sweep as BS
 from barloom.plans import rules as R
@@ -27,7 +27,7 @@ def window_table(bars: DataFrame, keys: Sequence[str] = ("symbol",), base_floor:
                  min_bars: int = MIN_WINDOW_BARS) -> DataFrame:
     """One row per (key, window): bounds, bars, buy-and-hold return and trade floor."""
     newest = bars.groupBy(*keys).agg(F.max("ts").alias("_max"))
-    tagged = bars.join(newest, list(keys)).withColumn("_w", F.explode(_options()))
+    tagged = look_up(bars, newest, list(keys), F.col("ts")).withColumn("_w", F.explode(_options()))
     inside = tagged.where(_in_window())
     out = inside.groupBy(*keys, F.col("_w.name").alias("window")).agg(
         F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"), F.count("*").alias("window_bars"), BT.hold_return().alias("hold_return"),
@@ -51,7 +51,7 @@ def signals_by_window(signals: DataFrame, windows: DataFrame, step: str, keys: S
     they are in.
     """
     bounds = windows.groupBy(*keys).agg(F.collect_list(F.struct("window", "start_ts")).alias("_ws"))  # four windows per key at most
-    out = signals.join(bounds, list(keys)).withColumn("_w", F.explode("_ws")).where(F.col("ts") >= F.col("_w.start_ts"))
+    out = look_up(signals, bounds, list(keys), F.col("ts")).withColumn("_w", F.explode("_ws")).where(F.col("ts") >= F.col("_w.start_ts"))
     return out.select(*signals.columns, F.col("_w.window").alias("window"), R.segment_column(step, rows).alias("seg"))
 
 
@@ -194,17 +194,21 @@ def gated_runs(signals: DataFrame, scores: DataFrame | None = None, keys: Sequen
 
 
 def lookahead_audit(bars: DataFrame, family: str, keys: Sequence[str] = ("symbol",), share: float = 0.7, factor: float = 1.03,
-                    rows: int = BLOCK_ROWS) -> DataFrame:
-    """Raise the bars after `share` of each series; earlier signals must not change."""
-    keys = list(keys)
+                    rows: int = BLOCK_ROWS, rules: Sequence[R.Rule] | None = None, inputs=None, signals=None) -> DataFrame:
+    """Raise the bars after `share` of each series; earlier signals must not change: (keys, checked, changed).
+
+    Both price paths go through the same blocks, as two series of one key, and their rules are compared
+    as matrices inside a segment: no row per rule and bar. `inputs` and `signals` audit rules of other
+    kinds than `family` (see `block_sweep.indicator_inputs` and `indicator_matrices`).
+    """
+    keys, both = list(keys), [*keys, "_path"]
     size = bars.groupBy(*keys).agg(F.count("*").alias("_n"))
-    cut = bars.join(size, keys).withColumn("_cut", F.floor(F.col("_n") * share))
-    late = F.col("pos") >= F.col("_cut")
-    moved = cut.select(*[c for c in bars.columns if c not in ("open", "high", "low", "close")],
-                       *[F.when(late, F.col(c) * factor).otherwise(F.col(c)).alias(c) for c in ("open", "high", "low", "close")])
-    cols = [*keys, "pos", "rule_id", "entry", "exit"]
-    a = R.indicator_signals(bars, family, keys, rows).select(*cols)
-    b = R.indicator_signals(moved, family, keys, rows).select(*keys, "pos", "rule_id", F.col("entry").alias("e2"), F.col("exit").alias("x2"))
-    both = a.join(b, [*keys, "pos", "rule_id"]).join(cut.select(*keys, "pos", "_cut"), [*keys, "pos"]).where("pos < _cut")
-    changed = (F.col("entry") != F.col("e2")) | (F.col("exit") != F.col("x2"))
-    return both.groupBy(*keys).agg(F.count("*").alias("checked"), F.count_if(changed).alias("changed"))
+    cut = look_up(bars, size, keys, F.col("pos")).withColumn("_cut", F.floor(F.col("_n") * share))
+    late = (F.col("pos") >= F.col("_cut")) & (F.col("_path") == 1)
+    paths = cut.withColumn("_path", F.explode(F.array(F.lit(0), F.lit(1))))
+    paths = paths.select(*[c for c in bars.columns if c not in ("open", "high", "low", "close")], "_path", "_cut",
+                         *[F.when(late, F.col(c) * factor).otherwise(F.col(c)).alias(c) for c in ("open", "high", "low", "close")])
+    states = (inputs or BS.indicator_inputs)(paths, family, both, rows)
+    limits = size.select(*keys, F.floor(F.col("_n") * share).alias("_cut"))
+    early = look_up(states, limits, keys, F.col("pos")).where("pos < _cut").withColumn("seg", F.floor(F.col("pos") / SEGMENT_ROWS))
+    return BS.compared(early, keys, list(rules if rules is not None else R.rule_grid(family)), signals or BS.indicator_matrices(family))

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barloom.operators.series import look_up, ordered_sums
+
 # Patterns that must not be published, and Latin terms allowed in Chinese texts.
 FORBIDDEN = [
     r"(?iU)\b[a-f0-9]{24,}\b", r"(?iU)/analysis/[a-z0-9_-]+", r"(?iU)\b(?:event[_\s-]?id|uuid|hash)\b",
@@ -63,7 +65,7 @@ def page_markers(pages: DataFrame, html: str = "html", required: Sequence[str] =
 def surface_score(pages: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Shares of pages with markers, nearest-rank p95 latency, reliability. Needs ok, latency_ms and markers.
 
-    Latencies are counted per value first, so the rank runs over distinct values.
+    Latencies are counted per value first, so the rank runs over ranges of distinct values.
     """
     keys = list(keys)
     share = lambda c: 100.0 * F.avg(c.cast("int"))
@@ -71,8 +73,7 @@ def surface_score(pages: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.count("*").alias("pages"), share(F.col("ok")).alias("uptime"), share(F.col("has_canonical")).alias("canonical"),
         share(F.col("has_jsonld")).alias("jsonld"), share(F.size("missing_langs") == 0).alias("hreflang"))
     counts = pages.groupBy(*keys, "latency_ms").agg(F.count("*").alias("_c"))
-    w = Window.partitionBy(*keys).orderBy("latency_ms").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.withColumn("_upto", F.sum("_c").over(w)).join(agg.select(*keys, "pages"), keys)
+    ranked = look_up(ordered_sums(counts, keys, ["latency_ms"], {"_upto": F.col("_c")}), agg.select(*keys, "pages"), keys, F.col("latency_ms"))
     p95 = ranked.where(F.col("_upto") > F.floor(F.col("pages") * 0.95)).groupBy(*keys).agg(F.min("latency_ms").alias("p95_latency"))
     out = agg.join(p95, keys)
     latency = F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100.0 - F.greatest(F.lit(0.0), F.col("p95_latency") - 800.0) / 14.0))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.expr import clip, clip01
-from barloom.operators.series import BLOCK_ROWS, by_blocks
+from barloom.operators.series import BLOCK_ROWS, by_blocks, look_up
 from barloom.plans import backtest as BT
 from barloom.plans.metalabel import FilterConfig, entry_filter
 from barloom.session import stage
@@ -35,8 +35,9 @@ def sampled_windows(bars: DataFrame, windows: DataFrame, step: int, rows: int =
     before.
     """
     span = windows.select("symbol", "window", "start_ts", "window_bars")
-    first = bars.join(span, "symbol").where(F.col("ts") == F.col("start_ts")).select("symbol", "window", F.col("pos").alias("_p0"), "window_bars")
-    inside = bars.join(first, "symbol").where(F.col("pos") >= F.col("_p0")).withColumn("_p", F.col("pos") - F.col("_p0"))
+    first = bars.join(span.withColumnRenamed("start_ts", "ts"), ["symbol", "ts"]).groupBy("symbol").agg(F.collect_list(F.struct("window", F.col("pos").alias("_p0"), "window_bars")).alias("_ws"))  # four windows at most
+    inside = look_up(bars, first, ["symbol"], F.col("pos")).withColumn("_w", F.explode("_ws")).where(F.col("pos") >= F.col("_w._p0"))
+    inside = inside.withColumns({"window": F.col("_w.window"), "window_bars": F.col("_w.window_bars"), "_p": F.col("pos") - F.col("_w._p0")})
     last = F.col("window_bars") - 1
     kept = inside.where((F.col("_p") % step == 0) | (F.col("_p") == last))
     idx = F.ceil(F.col("_p") / step)

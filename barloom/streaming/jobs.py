@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -49,21 +50,54 @@ def append_versions(path: str):
     """`foreachBatch` writer: each micro-batch is its own version of the keys it carries.
 
     A replayed batch overwrites its own folder, so the sink is idempotent; no batch rewrites the
-    table. `current_rows` resolves the last write per key at read time.
+    table. `current_rows` resolves the last write per key at read time, `compact` keeps that cheap.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/version={batch_id:012d}")
+        batch.write.mode("overwrite").parquet(f"{path}/versions/version={batch_id:012d}")
 
     return write
 
 
-def current_rows(spark: SparkSession, path: str, key: Sequence[str]) -> DataFrame:
-    """Last version of each key."""
-    rows = spark.read.parquet(path)
+def _mark(spark: SparkSession, path: str) -> int:
+    """Version up to which the newest finished base holds the table; -1 without one."""
+    try:
+        marks = spark.read.schema("mark long").parquet(f"{path}/marks")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return -1
+    top = marks.agg(F.max("mark")).first()[0]
+    return -1 if top is None else top
+
+
+def current_rows(spark: SparkSession, path: str, key: Sequence[str], upto: int | None = None) -> DataFrame:
+    """Last version of each key: the base of the newest mark and the versions after it, merged at read time."""
+    mark = _mark(spark, path)
+    rows = spark.read.option("basePath", f"{path}/versions").parquet(f"{path}/versions")
+    rows = rows.where(F.col("version") > mark) if upto is None else rows.where((F.col("version") > mark) & (F.col("version") <= upto))
+    if mark >= 0:
+        rows = spark.read.parquet(f"{path}/base/{mark:012d}").select(*rows.columns).unionByName(rows)
     return keep_last(rows, list(key), ["version"]).drop("version")
 
 
+def compact(spark: SparkSession, path: str, key: Sequence[str], upto: int) -> None:
+    """Merge the base and the versions up to `upto` into a new base.
+
+    The new base becomes the table with one write, that of its mark; readers see the old base and its
+    versions until then. A compaction that failed before its mark is simply written anew. A batch at or
+    below the mark that is replayed later rewrites its own folder, which nobody reads any more.
+    """
+    mark = _mark(spark, path)
+    if upto <= mark:
+        return
+    rows = spark.read.option("basePath", f"{path}/versions").parquet(f"{path}/versions").where((F.col("version") > mark) & (F.col("version") <= upto))
+    if mark >= 0:
+        rows = spark.read.parquet(f"{path}/base/{mark:012d}").select(*rows.columns).unionByName(rows)
+    keep_last(rows, list(key), ["version"]).write.mode("overwrite").parquet(f"{path}/base/{upto:012d}")
+    spark.range(1).select(F.lit(upto).cast("long").alias("mark")).coalesce(1).write.mode("append").parquet(f"{path}/marks")
+
+
 def progress_counts(lines: DataFrame, delay: str = "1 hour", every: str = "1 hour") -> DataFrame:
     """Log events per run and hour, for update mode."""
     events = parse_event_lines(lines)

@@ -40,6 +40,33 @@ def test_winsor_bounds_come_from_training_rows(spark):
     assert -1 < got[0] < -0.98 and 0.98 < got[1] < 1
 
 
+def test_windows_are_clipped_by_what_came_before(spark):
+    g = np.random.default_rng(6)
+    frames, want = [], []
+    starts = {"A": {"all": 0, "mid": 1500, "late": 1800}, "B": {"all": 0, "mid": 40}}
+    for s, n in (("A", 2000), ("B", 60)):
+        x = np.r_[np.linspace(-1, 1, n - n // 4), np.linspace(-50, 50, n // 4)]
+        pdf = pd.DataFrame({"symbol": s, "ts": pd.date_range("2024-01-01", periods=n, freq="min"), "x": x, "y": g.normal(size=n), "other": 1.0})
+        pdf.loc[::7, "y"] = None
+        frames.append(pdf)
+        for w, at in starts[s].items():
+            part = pdf.iloc[at:].assign(window=w)
+            if at:
+                for c in ("x", "y"):
+                    lo, hi = pdf[c].iloc[:at].quantile(FT.WINSOR[0]), pdf[c].iloc[:at].quantile(FT.WINSOR[1])
+                    part[c] = part[c].clip(lo, hi)
+            want.append(part)
+    rows = pd.concat(frames)
+    df = spark.createDataFrame(rows).withColumn("y", F.when(~F.isnan("y"), F.col("y")))
+    first = spark.createDataFrame([(s, w, frames[k]["ts"].iloc[at]) for k, s in enumerate(starts) for w, at in starts[s].items()], "symbol string, window string, start_ts timestamp")
+    got = FT.causal_windows(df, first, ["all", "mid", "late"], ["symbol"], ["x", "y"]).toPandas().sort_values(["symbol", "window", "ts"]).reset_index(drop=True)
+    want = pd.concat(want).sort_values(["symbol", "window", "ts"]).reset_index(drop=True)
+    assert got.columns.tolist() == ["symbol", "ts", "x", "y", "other", "window"] and (got["window"] == want["window"]).all()
+    np.testing.assert_allclose(got[["x", "y"]], want[["x", "y"]], atol=1e-12)
+    late = got[(got["symbol"] == "A") & (got["window"] == "mid")]["x"]
+    assert late.max() < 1 and late.min() > -1  # the wild part of the series is clipped to what the calm part allows
+
+
 def test_legacy_names(spark):
     df = spark.createDataFrame([(1.0,)], f"`{FT.RET}` double")
     assert FT.with_legacy_columns(df).columns == [FT.RET, "ret_1m"]

@@ -123,3 +123,28 @@ def test_resample_weeks_start_on_monday(spark):
     df = spark.createDataFrame(pd.DataFrame({"symbol": "A", "ts": pd.to_datetime(["2024-01-07 23:59", "2024-01-08 00:00"]), "open": [1.0, 2.0], "high": [1.0, 2.0], "low": [1.0, 2.0], "close": [1.0, 2.0], "volume": [1.0, 1.0]}))
     got = sorted_pd(B.resample(df, "1w"))
     assert got["ts"].dt.strftime("%Y-%m-%d").tolist() == ["2024-01-01", "2024-01-08"]
+
+
+def test_ordered_sums_over_ranges(spark):
+    from barloom.operators import series
+
+    g = np.random.default_rng(7)
+    pdf = pd.DataFrame({"k": np.where(np.arange(3000) % 10 == 0, "few", "hot"), "x": g.integers(0, 4000, 3000), "i": np.arange(3000), "v": g.integers(0, 9, 3000)})
+    df = spark.createDataFrame(pdf).repartition(5)
+    got = series.ordered_number(df, ["k"], [F.desc("x"), "i"], "n", rows=200).toPandas().sort_values("i")
+    want = pdf.sort_values(["x", "i"], ascending=[False, True]).groupby("k").cumcount().sort_index() + 1
+    assert got["n"].tolist() == want.tolist()
+    per = pdf.groupby(["k", "x"], as_index=False)["v"].sum()
+    sums = series.ordered_sums(spark.createDataFrame(per), ["k"], ["x"], {"s": F.col("v")}, lagged=True, rows=150).toPandas().sort_values(["k", "x"])
+    assert sums["s"].tolist() == (per.groupby("k")["v"].cumsum() - per["v"]).tolist()
+
+
+def test_look_up_by_size(spark):
+    from barloom.operators import series
+
+    rows = spark.createDataFrame([("a", i) for i in range(500)] + [("b", i) for i in range(5)] + [("z", 1)], "k string, i long")
+    table = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "k string, v double")
+    for most in (10, 0):
+        got = series.look_up(rows, table, ["k"], F.col("i"), "left", most)
+        assert got.columns == ["k", "i", "v"] and got.count() == 506 and got.where("v IS NULL").count() == 1
+        assert series.look_up(rows, table, ["k"], F.col("i"), most=most).agg(F.sum("v")).first()[0] == 510.0

@@ -39,6 +39,27 @@ def test_append_versions_keep_the_last_write(spark, tmp_path):
     assert {r.k: r.v for r in J.current_rows(spark, path, ["k"]).collect()} == {"a": 2, "b": 1}
 
 
+def test_compaction_shows_with_its_mark_and_survives_replays(spark, tmp_path):
+    path = str(tmp_path / "t")
+    write = J.append_versions(path)
+    rows = lambda *r: spark.createDataFrame([*r], "k string, v int")
+    now = lambda: {r.k: r.v for r in J.current_rows(spark, path, ["k"]).collect()}
+    for n, batch in enumerate([[("a", 1), ("b", 1)], [("a", 2), ("c", 2)], [("b", 3)]]):
+        write(rows(*batch), n)
+    want = {"a": 2, "b": 3, "c": 2}
+    rows(("a", 99)).withColumn("version", F.lit(9)).write.parquet(f"{path}/base/{1:012d}")  # a compaction that ended before its mark
+    assert now() == want
+    J.compact(spark, path, ["k"], 1)
+    assert now() == want and J._mark(spark, path) == 1
+    write(rows(("a", 1), ("b", 1)), 0)  # a late replay of a version below the mark
+    J.compact(spark, path, ["k"], 1)
+    J.compact(spark, path, ["k"], 0)
+    assert now() == want
+    write(rows(("a", 4)), 3)
+    J.compact(spark, path, ["k"], 3)
+    assert now() == {**want, "a": 4} and J._mark(spark, path) == 3
+
+
 def test_repeats_are_dropped(spark, tmp_path):
     src = str(tmp_path / "src")
     spark.createDataFrame([("e1", "2024-01-01 00:00:00"), ("e1", "2024-01-01 00:01:00"), ("e2", "2024-01-01 00:02:00")], "event_id string, ts string").select(
