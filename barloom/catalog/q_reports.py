@@ -388,7 +388,7 @@ def run_reports(spark, sf):
     val = orders.where(mon % 5 != 0).groupBy("run_id").agg(
         F.count("*").alias("candidates_total"), count("F").alias("candidates_passed"), (count("F") / F.count("*")).alias("pass_rate"), (count("P") / F.count("*")).alias("failsafe_veto_all_rate"),
         F.collect_list(F.struct(F.struct((F.col("o_totalprice") / 600000).alias("final_score")).alias("scores"))).alias("rows"),  # the orders of a month
-        F.array(F.struct(F.lit("30d").alias("window"), F.lit(9.0).alias("avg_alpha_vs_spot")), F.struct(F.lit("all"), F.avg("o_totalprice") / 200000 - 0.7)).alias("summary_by_window"),
+        F.array(F.struct(F.lit("30d").alias("window"), F.lit(9.0).alias("avg_alpha_vs_spot")), F.struct(F.lit("all").alias("window"), (F.avg("o_totalprice") / 200000 - 0.7).alias("avg_alpha_vs_spot"))).alias("summary_by_window"),
         F.create_map(F.lit("open"), count("O"), F.lit("pending"), count("P")).alias("failed_reason_counts"), F.lit("v2").alias("unknown_field"))
     per = orders.where(mon % 4 != 0).groupBy("run_id", (F.col("o_custkey") % 5).cast("string").alias("symbol")).agg(F.collect_list(F.struct((F.col("o_totalprice") / 300000 - 0.5).alias("alpha_vs_spot"))).alias("rules"))
     dep = per.groupBy("run_id").agg(F.count("*").alias("total_symbols"), F.sum(F.size("rules")).alias("total_rules"), F.collect_list(F.struct("symbol", "rules")).alias("symbols"))

@@ -260,7 +260,7 @@ def shadow_policy(scored: DataFrame, sets: Sequence[str], window: str = "all", s
     without = lambda c, total: (F.col(total) - F.col("_e") * F.col(c)) / rest
     w = Window.orderBy(F.desc(F.round("_z", 9)), *sets, "rule_id")  # `top` rows
     return report, acts.select(*sets, "rule_id", F.row_number().over(w).alias("place"), (F.col("_e") / F.col("_w")).alias("probability"), "score", "net_return", "max_drawdown", "trades",
-                               reward(without("net_return", "_wr"), without("max_drawdown", "_wd"), whole(without("trades", "_wt"))).alias("rest_reward"))
+                               without("max_drawdown", "_wd").alias("rest_drawdown"), reward(without("net_return", "_wr"), without("max_drawdown", "_wd"), whole(without("trades", "_wt"))).alias("rest_reward"))
 
 
 def rollback_needed(runs: DataFrame, series: Sequence[str], measure: str, drop: float, recent: int = 5) -> DataFrame:
