@@ -58,7 +58,7 @@ def test_windows_are_clipped_by_what_came_before(spark):
             want.append(part)
     rows = pd.concat(frames)
     df = spark.createDataFrame(rows).withColumn("y", F.when(~F.isnan("y"), F.col("y")))
-    first = spark.createDataFrame([(s, w, frames[k]["ts"].iloc[at]) for k, s in enumerate(starts) for w, at in starts[s].items()], "symbol string, window string, start_ts timestamp")
+    first = spark.createDataFrame([(s, w, frames[k]["ts"].iloc[at].to_pydatetime()) for k, s in enumerate(starts) for w, at in starts[s].items()], "symbol string, window string, start_ts timestamp")
     got = FT.causal_windows(df, first, ["all", "mid", "late"], ["symbol"], ["x", "y"]).toPandas().sort_values(["symbol", "window", "ts"]).reset_index(drop=True)
     want = pd.concat(want).sort_values(["symbol", "window", "ts"]).reset_index(drop=True)
     assert got.columns.tolist() == ["symbol", "ts", "x", "y", "other", "window"] and (got["window"] == want["window"]).all()
