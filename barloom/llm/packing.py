@@ -31,7 +31,7 @@ SIZE = 2048  # tokens of a sequence
 END = 0  # id after each document
 RANK_ROWS = 1_000  # pieces of one rank bucket, on average
 CHUNK = 4 << 20  # bytes of text whose words are told apart at a time
-CACHE_WORDS = 800_000  # words whose ids a worker process keeps
+CACHE_WORDS = 1_200_000  # words whose ids a worker process keeps
 MARKS = ".,;:!?"  # a word's last sentence mark is encoded on its own
 
 
