@@ -8,6 +8,7 @@ from barloom.catalog import query
 from barloom.catalog.common import WINDOW, event_bars_sql, minutely, r, show
 from barloom.catalog.q_bars import HTF_COLS, htf_sql
 from barloom.catalog.q_rules import SUMMARY, ewm_sql, summary
+from barloom.functions.expr import bar_return
 from barloom.operators import bars as B
 from barloom.plans import features as FT
 from barloom.plans import fusion as FU
@@ -239,7 +240,7 @@ def core_rows(spark, sf):
     rets = stage(bars, "rets")
     from barloom.operators.series import by_blocks
 
-    ret = by_blocks(rets, ["symbol"], lambda df, w: df.withColumn("ret", F.col("close") / F.lag("close").over(w) - 1.0), 1)
+    ret = by_blocks(rets, ["symbol"], lambda df, w: df.withColumn("ret", bar_return(F.col("close"), F.lag("close").over(w))), 1)
     return stage(feats.join(ret.select(*KEY, "ret", "close"), KEY), "core-rows")
 
 

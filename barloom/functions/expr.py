@@ -25,6 +25,11 @@ def nonzero(c: Column) -> Column:
     return F.when(c != 0.0, c)
 
 
+def bar_return(close: Column, prev: Column) -> Column:
+    """Change since the bar before; NULL, which counts as no change, where that bar is missing or its price is 0."""
+    return close / nonzero(prev) - 1.0
+
+
 def log_ratio(a: Column, b: Column) -> Column:
     return finite(F.ln((a + EPS) / (b + EPS)))
 
