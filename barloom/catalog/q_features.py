@@ -342,7 +342,7 @@ def sweep_inputs(feats, minute, step):
     bars = stage(number_bars(B.resample(minute, step), step=step), "sweep-bars")
     used = {f for c in R.CORE_RULES.values() for f, _, _ in (*c.entry, *c.exit)} | {FU.FIXED_COLUMNS[f][0] for f in FU.FAMILIES}
     last = B.resample_last(feats, step, sorted(used))
-    ret = by_blocks(bars, ["symbol"], lambda df, w: df.withColumn("ret", F.col("close") / F.lag("close").over(w) - 1.0), 1)
+    ret = by_blocks(bars, ["symbol"], lambda df, w: df.withColumn("ret", bar_return(F.col("close"), F.lag("close").over(w))), 1)
     index = ret.select("symbol", "ts", "pos", "ret", "close")
     aligned = stage(B.align_to_index(index, last, sorted(used), 7 * 86_400), "aligned")
     return bars, aligned, stage(FU.fixed_fusion(aligned).select("symbol", "ts", "fusion_score", "confidence"), "fusion")

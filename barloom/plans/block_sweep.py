@@ -10,6 +10,9 @@ of any length and rule grids of any size cost a few rows per segment and rule.
 Positions count entries less exits from the start of the window, so a segment needs the count at its
 start. Where a series has several segments, a first pass over the same matrices gives each segment's
 total, and prefix sums of those give the counts.
+
+A price of 0 takes all equity, and with the cost of leaving in that bar a little more: equity is then
+below zero. Such a segment also lists its depths with the peaks before them, so that falls still merge.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.functions.expr import EPS
+from barloom.functions.expr import EPS, nonzero
 from barloom.operators.series import BLOCK_ROWS, before, by_blocks
 from barloom.plans import backtest as BT
 from barloom.plans import rules as R
@@ -34,6 +37,8 @@ GATES, SIDES = ("ungated", "gated"), ("long", "inverse")
 SUMMARY = {
     "n": "long", "mean": "double", "m2": "double", "growth": "double", "gross_growth": "double", "lo": "double", "hi": "double", "worst": "double", "starts": "long",
     "head": "double", "tail": "double", "trades": "long", "wins": "long", "trade_mean": "double", "trade_m2": "double"}
+# Depths of the equity, and of its mirror image (for a segment that starts below zero); NULL where no equity is below zero.
+DEPTHS, DEPTH = ("dips", "rises"), pa.list_(pa.struct([("peak", pa.float64()), ("low", pa.float64())]))
 
 
 # --- inputs: one array of numbers per bar -----------------------------------------------------
@@ -117,6 +122,18 @@ def _slices(members: list[int], bars: int) -> Iterator[list[int]]:
 # --- one segment ------------------------------------------------------------------------------
 
 
+def _depths(path: np.ndarray) -> list[dict[str, float]]:
+    """Points (peak so far or 0, value) among which is the deepest fall, whatever the scale of the path and the peak before it."""
+    peak, below = np.maximum(np.maximum.accumulate(path), 0.0), path < 0.0
+    if below.any():  # the lowest value under each peak
+        peaks, first = np.unique(peak[below], return_index=True)
+        points = zip(peaks, np.minimum.reduceat(path[below], first))
+    else:
+        worst = np.argmin(np.divide(path, peak, out=np.ones_like(path), where=peak > 0.0))
+        points = [(0.0, path.min()), (peak[worst], path[worst])]
+    return [{"peak": float(p), "low": float(x)} for p, x in points]
+
+
 def summaries(entry: np.ndarray, exit_: np.ndarray, ret: np.ndarray, base: np.ndarray, cost: float) -> dict[str, np.ndarray]:
     """Summary of each rule (row) over the bars (columns) of a segment; `base` is the count before it."""
     rules, bars = entry.shape
@@ -128,9 +145,13 @@ def summaries(entry: np.ndarray, exit_: np.ndarray, ret: np.ndarray, base: np.nd
     net = gross - np.where(held != was, cost, 0.0)
     equity = np.cumprod(1.0 + net, axis=1)
     mean = net.mean(axis=1)
+    peak = np.maximum.accumulate(equity, axis=1)
     out = {
         "n": np.full(rules, bars), "mean": mean, "m2": np.square(net - mean[:, None]).sum(axis=1), "growth": equity[:, -1], "gross_growth": np.prod(1.0 + gross, axis=1),
-        "lo": equity.min(axis=1), "hi": equity.max(axis=1), "worst": (equity / np.maximum.accumulate(equity, axis=1) - 1.0).min(axis=1)}
+        "lo": equity.min(axis=1), "hi": equity.max(axis=1), "worst": np.divide(equity, peak, out=np.ones_like(equity), where=peak > 0.0).min(axis=1) - 1.0}
+    crossing = out["lo"] < 0.0
+    for name, path in zip(DEPTHS, (equity, -equity)):
+        out[name] = [_depths(path[k]) if crossing[k] else None for k in range(rules)]
     # trades: runs of held bars; a column of flat bars keeps the rows apart
     flat = np.zeros((rules, bars + 1), dtype=np.int8)
     flat[:, :-1] = held
@@ -219,6 +240,8 @@ def _segment(keys: Sequence[str], rules: list[R.Rule], signals: Signals, bps: fl
             wide = totals or SUMMARY[c] == "long"
             values = np.concatenate([f[4][c] for f in found]) if found else np.zeros(0)
             table[c] = pa.array(values.astype(np.int64 if wide else float), pa.int64() if wide else pa.float64(), from_pandas=True)
+        for c in () if totals else DEPTHS:
+            table[c] = pa.array([x for f in found for x in f[4][c]], DEPTH)
         return pa.table(table)
 
     return run
@@ -245,7 +268,7 @@ def segments(rows: DataFrame, windows: DataFrame, rules: list[R.Rule], signals:
     group = [*keys, "seg", "chunk"]
 
     def run(side: DataFrame, totals: bool) -> DataFrame:
-        schema = f"{head}, rule int, total long" if totals else f"{head}, family string, rule_id string, " + ", ".join(f"{k} {v}" for k, v in SUMMARY.items())
+        schema = f"{head}, rule int, total long" if totals else f"{head}, family string, rule_id string, " + ", ".join([*[f"{k} {v}" for k, v in SUMMARY.items()], *[f"{k} array<struct<peak:double,low:double>>" for k in DEPTHS]])
         side = stage(side, "sweep-about")  # a few rows per group; written, as it stems from the rows it meets
         return each(cut).groupBy(*group).cogroup(side.groupBy(*group)).applyInArrow(_segment(keys, rules, signals, bps, gated, inverse, totals), schema)
 
@@ -290,8 +313,12 @@ def metrics(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
     keys = list(keys)
     prior = before(keys, ["seg"])
     parts = parts.select("*", F.coalesce(F.product("growth").over(prior), F.lit(1.0)).alias("_e0"), F.coalesce(F.sum("starts").over(prior), F.lit(0)).alias("_t0"))
-    parts = parts.withColumn("_m0", F.max(F.col("_e0") * F.col("hi")).over(prior))
-    fall = F.least(F.col("worst"), F.when(F.col("_m0").isNotNull(), F.col("_e0") * F.col("lo") / F.col("_m0") - 1.0))
+    e0, m0 = F.col("_e0"), F.col("_m0")
+    least, most = F.least(e0 * F.col("lo"), e0 * F.col("hi")), F.greatest(e0 * F.col("lo"), e0 * F.col("hi"))
+    parts = parts.withColumn("_m0", F.max(most).over(prior))
+    depths = F.transform(F.when(e0 > 0, F.col("dips")).otherwise(F.col("rises")), lambda d: F.abs(e0) * d["low"] / nonzero(F.greatest(m0, F.abs(e0) * d["peak"])) - 1.0)
+    fall = F.least(F.when(e0 > 0, F.col("worst")), least / nonzero(m0) - 1.0)
+    fall = F.when(e0 == 0, -1.0).when(F.col("lo") < 0, F.array_min(depths)).otherwise(fall)
     # parts of trades at the ends of segments: those of one trade have the same number
     ends = F.filter(F.array(F.struct(F.col("_t0").alias("id"), F.col("head").alias("g")), F.struct((F.col("_t0") + F.col("starts")).alias("id"), F.col("tail").alias("g"))), lambda s: s["g"].isNotNull())
     curve = parts.withColumn("_ends", ends).groupBy(*keys).agg(

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
-from barloom.functions.expr import crossed_above, crossed_below, flag, nonzero
+from barloom.functions.expr import bar_return, crossed_above, crossed_below, flag, nonzero
 from barloom.operators import kernels as K
 from barloom.operators.quantiles import exact_quantiles
 from barloom.operators.series import BLOCK_ROWS, TIMEFRAME_SECONDS, by_blocks, time_segment
@@ -355,7 +355,7 @@ def indicator_states(bars: DataFrame, family: str, keys: Sequence[str] = ("symbo
     """(keys, ts, pos, ret, _v): the states of all variants of a family, one row per bar."""
 
     def build(df: DataFrame, w: WindowSpec) -> DataFrame:
-        out = df.withColumn("ret", F.col("close") / F.lag("close").over(w) - 1.0)
+        out = df.withColumn("ret", bar_return(F.col("close"), F.lag("close").over(w)))
         return STATES[family](out, w, [*keys, "_blk"])
 
     states = by_blocks(bars, keys, build, back=HISTORY[family], rows=rows)
