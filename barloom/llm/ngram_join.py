@@ -1,24 +1,29 @@
 """N-gram Jaccard join with prefix trees (operator 3).
 
 Sets of word n-grams are ordered by their hash, one global order. Which sets have to meet is decided
-without comparing any: sets of sizes a <= b with Jaccard similarity t or more differ in at most
-D = (a + b)(1 - t)/(1 + t) elements, so if the elements are dealt over k > D parts, at least k - D parts are
-equal, and one of them is among the D + 1 first parts of both in any fixed order of parts. Parts with
-rare elements come first, by counts over the whole corpus, so passages that many documents share
-route nothing. The hash of each such part is a routing key; sets that share a key get a link to the
-smallest document of that key, and the groups of these links are an upper bound of the true groups.
-Each group's sets are shipped once and joined in a prefix tree: nodes hold runs of 16 elements,
+without comparing any. A set of n elements shares at least ceil(t * n) of them with a set of Jaccard
+similarity t or more, so in any fixed order of all elements one that they share is among the first
+n - ceil(t * n) + 1 of both. Here the elements of a fixed slice of the hash space come first, those that
+fewer sets have before others; only the few sets with too little in the slice look at more. So a share
+SLICE * (1 - t) of the elements is dealt by hash to buckets and counted exactly there. Elements that one
+set alone has come first and route nothing: a set is routed only if more than 1 - 1 / SLICE of the slice is
+found elsewhere, by the rarest of that, however many passages it shares and however large the corpus is.
+
+What travels to a bucket is packed: a few bytes an element. Buckets are made for about KEYS elements, so
+the memory of a task does not grow with the corpus. Sets that share a routing element get a link to the
+smallest document of that element, and the groups of these links are an upper bound of the true
+groups. Each group's sets are shipped once and joined in a prefix tree: nodes hold runs of 16 elements,
 a traversal carries the overlap of the path shared by all sets below, and a subtree is cut off when
 its overlap plus the smaller of the remaining lengths cannot reach what the smallest set below needs.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,17 +31,10 @@ from barloom.llm.base import Powers, chunks, connected, mix, shingle_hashes, spl
 
 RUN = 16  # elements of a tree node
 GROUP_TOKENS = 4_000_000  # elements of a group that one task takes; a larger group is dealt in pairs of slices
-EQUAL = 0.4  # share of the parts that are certain to be equal in two similar sets
-BUCKETS = 1 << 20  # counters of the corpus-wide element counts, a fixed size
-BLOCK = 1 << 12  # counters that travel in one row
-
-
-def size_classes(upto: int, ratio: float = 1.5) -> list[int]:
-    """Lower bounds of the size classes."""
-    bounds = [1]
-    while bounds[-1] <= upto:
-        bounds.append(max(bounds[-1] + 1, int(bounds[-1] * ratio)))
-    return bounds
+SLICE = 3.5  # share of the hash space that comes first, as a multiple of the share in which similar sets may differ
+KEYS = 500_000  # elements that a bucket is made for
+FLUSH = 1_000_000  # elements that a task holds before it deals them out
+DEALT = "bucket int, docs binary, keys binary, levels binary"
 
 
 def ordered_sets(data, offsets, powers: Powers, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -53,41 +51,57 @@ def ordered_sets(data, offsets, powers: Powers, n: int) -> tuple[np.ndarray, np.
     return np.bincount(owner, minlength=texts), value
 
 
-def set_keys(sizes: np.ndarray, values: np.ndarray, num: int, den: int, bounds: list[int], seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Routing keys of sets: set index and key. seen: how often each hash bucket occurs in the corpus."""
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    edges = np.asarray(bounds)
-    own = np.searchsorted(edges, sizes, side="right") - 1
-    partner = np.searchsorted(edges, sizes * den // num, side="right") - 1  # class of the largest possible partner
-    who, keys = [], []
-    spread = mix(values ^ np.uint64(0x5851F42D4C957F2D))
-    common = seen[(values & np.uint64(len(seen) - 1)).astype(np.int64)]
-    for step in range(int((partner - own).max(initial=0)) + 1):
-        cls = own + step
-        largest = edges[np.minimum(cls + 1, len(edges) - 1)] - 1
-        differ = 2 * largest * (den - num) // (den + num)
-        use = (sizes > 0) & (cls <= partner) & (differ > 0)  # where nothing may differ, equal sets are found by their fingerprint
-        parts = np.where(use, np.ceil(differ / (1 - EQUAL)).astype(np.int64) + 1, 0)
-        base = np.concatenate([[0], np.cumsum(parts)])
-        sel = use[owner]
-        if not sel.any():
-            continue
-        part = base[owner[sel]] + (spread[sel] % parts[owner[sel]].astype(np.uint64)).astype(np.int64)
-        v = mix(values[sel] + np.uint64(0x2545F4914F6CDD1D))
-        low = np.bincount(part, (v & np.uint64(0xFFFFFFFF)).astype(np.float64), base[-1]).astype(np.uint64)
-        high = np.bincount(part, (v >> np.uint64(32)).astype(np.float64), base[-1]).astype(np.uint64)
-        rarest = np.full(base[-1], np.iinfo(seen.dtype).max, dtype=seen.dtype)  # empty parts come last
-        np.minimum.at(rarest, part, common[sel])
-        whose = np.repeat(np.arange(len(sizes)), parts)
-        number = np.arange(base[-1]) - base[whose]
-        key = mix(low * np.uint64(0x9E3779B97F4A7C15) ^ mix(high + np.uint64(77)) ^ mix((number * 4096 + cls[whose]).astype(np.uint64)))
-        order = np.lexsort((key, rarest, whose))  # whose is sorted already: each set keeps its range
-        send = order[number <= differ[whose]]
-        who.append(whose[send])
-        keys.append(key[send])
-    if not who:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate(who), np.concatenate(keys)
+def in_slice(values: np.ndarray, num: int, den: int) -> np.ndarray:
+    return (values >> np.uint64(32)) < np.uint64(min(1.0, SLICE * (den - num) / den) * (1 << 32))
+
+
+def leading(sizes: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Of how many first elements similar sets share one."""
+    return sizes + num * sizes // -den + 1
+
+
+def slice_sizes(sizes: np.ndarray, values: np.ndarray, num: int, den: int) -> np.ndarray:
+    return np.bincount(np.repeat(np.arange(len(sizes)), sizes)[in_slice(values, num, den)], minlength=len(sizes))
+
+
+def planes(a: np.ndarray) -> bytes:
+    """All first bytes, all second bytes and so on: small numbers leave runs of zeros, which the shuffle packs."""
+    return np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()
+
+
+def unplaned(raw: bytes, dtype) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).ravel()
+
+
+def dealt(bucket: np.ndarray, docs: np.ndarray, keys: np.ndarray, levels: np.ndarray | None = None) -> pa.RecordBatch:
+    """A row for each bucket: its documents as differences, their keys and the levels of the keys."""
+    order = np.lexsort((docs, bucket))
+    bucket, docs, keys = bucket[order], docs[order], keys[order]
+    start = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
+    step = np.diff(docs, prepend=np.int64(0))  # may wrap around, and wraps back
+    step[start] = docs[start]
+    spans = list(zip(start.tolist(), [*start[1:].tolist(), len(bucket)], strict=True)) if len(start) else []
+    return pa.RecordBatch.from_arrays([
+        pa.array(bucket[start].astype(np.int32)), pa.array([planes(step[a:b]) for a, b in spans], pa.binary()), pa.array([planes(keys[a:b]) for a, b in spans], pa.binary()),
+        pa.array([None if levels is None else levels[order[a:b]].tobytes() for a, b in spans], pa.binary())], ["bucket", "docs", "keys", "levels"])
+
+
+def gathered(rows, dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Documents, keys and levels of the rows of a bucket."""
+    docs = [np.cumsum(unplaned(d, np.int64)) for d in rows.column("docs").to_pylist()]
+    keys = [unplaned(k, dtype) for k in rows.column("keys").to_pylist()]
+    levels = [np.frombuffer(x or b"", dtype=np.uint8) for x in rows.column("levels").to_pylist()]
+    return np.concatenate([np.zeros(0, np.int64), *docs]), np.concatenate([np.zeros(0, dtype), *keys]), np.concatenate([np.zeros(0, np.uint8), *levels])
+
+
+def occurrences(keys: np.ndarray) -> np.ndarray:
+    """How often the key of each place occurs."""
+    order = np.argsort(keys, kind="stable")
+    cut = np.flatnonzero(np.r_[True, keys[order][1:] != keys[order][:-1]]) if len(keys) else np.zeros(0, np.int64)
+    size = np.diff(np.r_[cut, len(keys)])
+    out = np.empty(len(keys), dtype=np.int64)
+    out[order] = np.repeat(size, size)
+    return out
 
 
 def fingerprints(sizes: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -100,50 +114,33 @@ def fingerprints(sizes: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.
     return out[0], out[1]
 
 
-def _described(n: int):
+def _described(n: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for b in batches:
             for at, end, data, offsets in chunks(b.column("text")):
                 sizes, values = ordered_sets(data, offsets, powers, n)
                 one, two = fingerprints(sizes, values)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, end - at), pa.array(sizes.astype(np.int64)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], ["doc_id", "n", "f1", "f2"])
+                inside = slice_sizes(sizes, values, num, den)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, end - at), *(pa.array(x.astype(np.int64)) for x in (sizes, inside)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], ["doc_id", "n", "inside", "f1", "f2"])
 
     return run
 
 
-def _counted(n: int):
+def _dealt_elements(n: int, num: int, den: int, buckets: int):
+    """Elements and their documents. An element is named by its bucket, 31 more bits and whether it is out of the
+    slice: two that share a name count as one, which links documents that need not meet and never keeps any apart."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, counts = Powers(), np.zeros(BUCKETS, dtype=np.int64)
-        for b in batches:
-            for _, _, data, offsets in chunks(b.column("text")):
-                _, values = ordered_sets(data, offsets, powers, n)
-                counts += np.bincount((values & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
-        full = [k for k in range(0, BUCKETS, BLOCK) if counts[k:k + BLOCK].any()]
-        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([zlib.compress(counts[k:k + BLOCK].tobytes(), 1) for k in full], pa.binary())], ["block", "counts"])
-
-    return run
-
+        powers, seen, docs, elements, held = Powers(), set(), [], [], 0
 
-def _summed(key, batch):
-    total = sum(np.frombuffer(zlib.decompress(c), dtype=np.int64) for c in batch.column("counts").to_pylist())
-    return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+        def out():
+            values = np.concatenate(elements)
+            name = mix(values ^ np.uint64(0x5851F42D4C957F2D))
+            key = (name & np.uint64(0xFFFFFFFE)) | ~in_slice(values, num, den)
+            return dealt(((name >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64), np.concatenate(docs), key.astype(np.uint32))
 
-
-def element_counts(known: DataFrame, n: int) -> np.ndarray:
-    """How often each of BUCKETS hash buckets occurs in all sets: one array of a fixed size."""
-    blocks = known.mapInArrow(_counted(n), "block int, counts binary").groupBy("block").applyInArrow(_summed, "block int, counts binary")
-    counts = np.zeros(BUCKETS, dtype=np.int64)
-    for row in blocks.toLocalIterator():
-        counts[row.block:row.block + BLOCK] = np.frombuffer(row.counts, dtype=np.int64)
-    return counts
-
-
-def _routed(n: int, num: int, den: int, counted):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, seen, counts = Powers(), set(), counted.value
         for b in batches:
-            ids = b.column("doc_id").to_numpy(zero_copy_only=False)
+            ids = b.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
             for at, end, data, offsets in chunks(b.column("text")):
                 sizes, values = ordered_sets(data, offsets, powers, n)
                 one, two = fingerprints(sizes, values)
@@ -152,26 +149,72 @@ def _routed(n: int, num: int, den: int, counted):
                     if f not in seen:
                         seen.add(f)
                         first[k] = True
-                kept = np.where(first, sizes, 0)
-                who, keys = set_keys(kept, values[np.repeat(first, sizes)], num, den, size_classes(int(sizes.max(initial=1)) * 2 + 16), counts)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ids[at:end][who].astype(np.int64))], ["key", "doc_id"])
+                more = slice_sizes(sizes, values, num, den) < leading(sizes, num, den)
+                owner = np.repeat(np.arange(len(sizes)), sizes)
+                use = first[owner] & (more[owner] | in_slice(values, num, den))
+                docs.append(ids[at:end][owner[use]])
+                elements.append(values[use])
+                held += len(elements[-1])
+                if held >= FLUSH:
+                    yield out()
+                    docs, elements, held = [], [], 0
+        if held:
+            yield out()
+
+    return run
+
+
+def document_bucket(docs: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(docs.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _levelled(buckets: int):
+    def run(key, rows):
+        """Elements found more than once go back to their documents with a level that grows with their count."""
+        docs, keys, _ = gathered(rows, np.uint32)
+        times = occurrences(keys)
+        docs, keys, times = docs[times > 1], keys[times > 1].astype(np.uint64) | np.uint64(key[0].as_py() << 32), times[times > 1]
+        return pa.Table.from_batches([dealt(document_bucket(docs, buckets), docs, keys, np.minimum(8 * np.log2(times), 255).astype(np.uint8))])
 
     return run
 
 
-def _shipped(n: int):
+def _spared(num: int, den: int, buckets: int):
+    """How many elements of each set come after its leading ones; the lowest bit tells that it looks out of the slice."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = Powers()
         for b in batches:
-            for at, end, data, offsets in chunks(b.column("text")):
-                sizes, values = ordered_sets(data, offsets, powers, n)
-                begin = np.concatenate([[0], np.cumsum(sizes)])
-                raw = [values[begin[k]:begin[k + 1]].tobytes() for k in range(len(sizes))]
-                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(at, end - at) for c in ("part", "doc_id")), pa.array(raw, pa.binary())], ["part", "doc_id", "elements"])
+            ids, sizes, inside = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("doc_id", "n", "inside"))
+            need = leading(sizes, num, den)
+            more = inside < need
+            yield dealt(document_bucket(ids, buckets), ids, ((np.where(more, sizes, inside) - need) * 2 + more).astype(np.uint64))
 
     return run
 
 
+def _routed(key, rows):
+    """Routing keys of the documents of a bucket: what they share, without the most common that come after the leading elements.
+
+    A set that looks out of the slice needs all that it shares in the slice. Of several texts of one
+    doc_id the one that spares least decides, so that each keeps what it needs.
+    """
+    known = pa.compute.is_null(rows.column("levels"))
+    texts, spare, _ = gathered(rows.filter(known), np.uint64)
+    docs, keys, levels = gathered(rows.filter(pa.compute.invert(known)), np.uint64)
+    outside = (keys & np.uint64(1)).astype(bool)
+    order = np.lexsort((keys, levels, outside, docs))
+    docs, keys, outside = docs[order], keys[order], outside[order]
+    ids, begin, shared = np.unique(docs, return_index=True, return_counts=True)
+    beyond = np.add.reduceat(outside.astype(np.int64), begin) if len(ids) else np.zeros(0, np.int64)
+    drop, more = np.full(len(ids), 1 << 62), np.zeros(len(ids), dtype=bool)
+    at = np.searchsorted(ids, texts)
+    mine = np.flatnonzero(ids[np.minimum(at, len(ids) - 1)] == texts) if len(ids) else np.zeros(0, np.int64)
+    np.minimum.at(drop, at[mine], (spare[mine] >> np.uint64(1)).astype(np.int64))
+    np.logical_or.at(more, at[mine], (spare[mine] & np.uint64(1)).astype(bool))
+    drop = np.where(more, np.minimum(drop, beyond), drop)
+    send = np.arange(len(docs)) < np.repeat(begin + shared - drop, shared)
+    return pa.table({"key": pa.array(keys[send].view(np.int64)), "doc_id": pa.array(docs[send])})
+
+
 class PrefixTree:
     """Ordered sets as a tree whose nodes hold runs of RUN elements, level by level in arrays."""
 
@@ -279,21 +322,24 @@ def spanning_links(ids: list[int], sets: list[np.ndarray], num: int, den: int) -
         group[np.isin(group, fresh)] = group[k]
 
 
-def _joined(num: int, den: int):
+def _joined(n: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, ids, sets = None, [], []
+        powers, part, ids, sets = Powers(), None, [], []
 
         def links():
             found = spanning_links(ids, sets, num, den) if len(ids) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
         for b in batches:  # sorted by part, so a group ends where the part changes
-            for p, i, e in zip(b.column("part").to_pylist(), b.column("doc_id").to_pylist(), b.column("elements").to_pylist(), strict=True):
-                if p != part:
-                    yield links()
-                    part, ids, sets = p, [], []
-                ids.append(i)
-                sets.append(np.frombuffer(e, dtype=np.uint64))
+            for at, end, data, offsets in chunks(b.column("text")):
+                sizes, values = ordered_sets(data, offsets, powers, n)
+                begin = np.concatenate([[0], np.cumsum(sizes)]).tolist()
+                for k, (p, i) in enumerate(zip(b.column("part").slice(at, end - at).to_pylist(), b.column("doc_id").slice(at, end - at).to_pylist(), strict=True)):
+                    if p != part:
+                        yield links()
+                        part, ids, sets = p, [], []
+                    ids.append(i)
+                    sets.append(values[begin[k]:begin[k + 1]])
         yield links()
 
     return run
@@ -309,14 +355,17 @@ def similar_groups(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, g
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     known = base.where("doc_id IS NOT NULL")
-    rows = stage(base.mapInArrow(_described(n), "doc_id long, n long, f1 long, f2 long"), "op3-sets")
+    rows = stage(base.mapInArrow(_described(n, num, den), "doc_id long, n long, inside long, f1 long, f2 long"), "op3-sets")
     full = rows.where("n > 0 AND doc_id IS NOT NULL")
     # equal sets: linked to their smallest document
     first = full.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"))
     dup = stage(first.where("rows > 1"), "op3-equal")
     equal = full.join(dup, ["f1", "f2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b")
-    counted = docs.sparkSession.sparkContext.broadcast(element_counts(known, n))
-    routes = known.mapInArrow(_routed(n, num, den, counted), "key long, doc_id long")
+    total = full.agg(F.sum("n")).first()[0] or 0
+    buckets = max(12, int(total * min(1.0, SLICE * (den - num) / den)) // KEYS)
+    found = known.mapInArrow(_dealt_elements(n, num, den, buckets), DEALT).groupBy("bucket").applyInArrow(_levelled(buckets), DEALT)
+    spared = full.select("doc_id", "n", "inside").mapInArrow(_spared(num, den, buckets), DEALT)
+    routes = found.unionByName(spared).groupBy("bucket").applyInArrow(_routed, "key long, doc_id long")
     hub = F.min("doc_id").over(Window.partitionBy("key"))
     coarse = routes.withColumn("hub", hub).where("hub <> doc_id").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
     may = connected(coarse.unionByName(equal), "op3-coarse")
@@ -330,9 +379,9 @@ def similar_groups(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, g
     others = F.when(F.col("slices") == 1, F.array(F.lit("0-0"))).otherwise(F.transform(
         F.filter(F.sequence(F.lit(0), F.col("slices") - 1), lambda j: j != mine), lambda j: F.concat_ws("-", F.least(j, mine), F.greatest(j, mine))))
     placed = placed.select("doc_id", F.explode(others).alias("slice"), "component").select("doc_id", F.concat_ws(":", "component", "slice").alias("part")).distinct()
-    # the groups grow with the documents, so they are never broadcast
-    parts = known.hint("merge").join(placed, "doc_id").mapInArrow(_shipped(n), "part string, doc_id long, elements binary")
-    links = parts.repartition("part").sortWithinPartitions("part").mapInArrow(_joined(num, den), "a long, b long")
+    # the groups grow with the documents, so they are never broadcast; texts are smaller than their sets
+    parts = known.hint("merge").join(placed, "doc_id").select("part", "doc_id", "text")
+    links = parts.repartition("part").sortWithinPartitions("part").mapInArrow(_joined(n, num, den), "a long, b long")
     final = connected(links.unionByName(equal), "op3-links")
     return rows.join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))

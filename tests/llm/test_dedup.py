@@ -66,6 +66,38 @@ def test_similar_groups_equal_brute_force(spark):
         assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == want
 
 
+def test_shared_passages_route_nothing(spark, monkeypatch):
+    """Documents do not meet by passages that many share, also where counters of a fixed number are as full as on a large corpus."""
+    g = random.Random(11)
+    passages = [prose(500 + k, 48, words=5000) for k in range(30)]
+    rows = []
+    for k in range(200):  # four tenths of each document are passages of others
+        parts = g.sample(passages, 3) + [prose(1000 + k, 200, words=50_000)]
+        g.shuffle(parts)
+        rows.append((k, " ".join(parts)))
+    rows += [(300 + k, rows[k][1] + f" end{k}") for k in range(20)]
+    links = []
+    real = ngram_join.connected
+    monkeypatch.setattr(ngram_join, "connected", lambda e, name: (links.extend(map(tuple, e.collect())) if name == "op3-coarse" else None, real(e, name))[1])
+    monkeypatch.setattr(ngram_join, "BUCKETS", 1 << 12, raising=False)  # of the counters that there were
+    monkeypatch.setattr(ngram_join, "KEYS", 700, raising=False)  # many buckets, many deals
+    monkeypatch.setattr(ngram_join, "FLUSH", 500, raising=False)
+    got = ngram_join.similar_groups(frame(spark, rows).repartition(3), 5, 80, 100).collect()
+    assert {r.doc_id: r.component_id for r in got} == {k: k % 300 for k, _ in rows}
+    assert {(max(a, b), min(a, b)) for a, b in links} == {(300 + k, k) for k in range(20)}
+
+
+def test_packed_elements_come_back():
+    g = np.random.default_rng(2)
+    docs, keys, levels = np.r_[g.integers(-(1 << 63), (1 << 63) - 1, 500), [-(1 << 63), (1 << 63) - 1]], g.integers(0, 1 << 32, 502).astype(np.uint32), g.integers(0, 256, 502).astype(np.uint8)
+    bucket = g.integers(0, 7, 502)
+    rows = ngram_join.pa.Table.from_batches([ngram_join.dealt(bucket, docs, keys, levels)])
+    assert rows.column("bucket").to_pylist() == sorted(set(bucket.tolist()))
+    for k in range(7):
+        got = ngram_join.gathered(rows.slice(k, 1), np.uint32)
+        assert Counter(zip(*(x.tolist() for x in got))) == Counter(zip(*(x[bucket == k].tolist() for x in (docs, keys, levels))))
+
+
 def test_prefix_tree_finds_all_partners():
     g = np.random.default_rng(1)
     sets = [np.unique(g.integers(0, 400, g.integers(1, 200)).astype(np.uint64)) for _ in range(40)]
